@@ -1,0 +1,6 @@
+"""All queries of the engine's own operators and the SQL that checks them."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
