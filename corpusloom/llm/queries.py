@@ -30,9 +30,9 @@ WITH RECURSIVE w AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM w
 ), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
-rare AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS both
+rare AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared
   FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2),
-links AS (SELECT a, b FROM rare WHERE 100 * both >= 85 * (na + nb - both)),
+links AS (SELECT a, b FROM rare WHERE 100 * shared >= 85 * (na + nb - shared)),
 ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(x, y) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.x, w.b FROM reach r JOIN ways w ON r.y = w.a),
 c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY 1)
