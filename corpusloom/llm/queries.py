@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import minhash, tokenids
+from corpusloom.llm import minhash, mixing, tokenids, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,14 +22,48 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.token_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op2_source_mixing": op2_source_mixing,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_toxicity": op4_toxicity,
     "op6_token_ids": op6_token_ids,
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLES = {
+    "op2_source_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT AS place FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER] AS weight FROM d GROUP BY 1
+), o AS (
+  SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS all_weight,
+    sum(source_size) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING) AS size_upto,
+    sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING) AS weight_upto FROM s
+), c AS (
+  SELECT *, (total - 3 * (size_upto - source_size)) * weight >= 3 * source_size * (all_weight - weight_upto + weight) AS capped FROM o
+), t AS (
+  SELECT source, source_size, CASE WHEN capped THEN (3 * source_size)::DOUBLE ELSE weight *
+    ((total - 3 * coalesce(sum(source_size) FILTER (capped) OVER (), 0))::DOUBLE / (all_weight - coalesce(sum(weight) FILTER (capped) OVER (), 0))) END AS target FROM c
+), w AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3)::BIGINT ELSE 0 END AS whole FROM t
+), m AS (
+  SELECT d.*, w.source_size, w.target, w.whole, w.target - w.whole * w.source_size AS rest,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 AS mid
+  FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source
+)
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN mid <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM m
+""",
     "op3_minhash_dedup": f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
