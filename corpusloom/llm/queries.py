@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import minhash, mixing, quality, tokenids, toxicity
+from corpusloom.llm import minhash, mixing, quality, tokenids, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(_table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op2_source_mixing": op2_source_mixing,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_warc": op5_warc,
     "op6_token_ids": op6_token_ids,
     "op7_quality": op7_quality,
 }
@@ -83,5 +88,16 @@ ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(x, y) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.x, w.b FROM reach r JOIN ways w ON r.y = w.a),
 c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY 1)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN c ON s.doc_id = c.x
+""",
+    "op5_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+d AS (
+  SELECT page_id, h, octet_length(payload)::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY h) AS first_id,
+    array_to_string([['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', h[i])] FOR i IN range(1, 41)], '') AS bits FROM p
+)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + 16 * bits[5*i+1]::INT + 8 * bits[5*i+2]::INT + 4 * bits[5*i+3]::INT + 2 * bits[5*i+4]::INT + bits[5*i+5]::INT)::INT, 1) FOR i IN range(0, 32)], '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to FROM d
 """,
 }
