@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import minhash, mixing, quality, tokenids, toxicity, warc
+from corpusloom.llm import decontaminate, minhash, mixing, quality, tokenids, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_source_mixing": op2_source_mixing,
     "op3_minhash_dedup": op3_minhash_dedup,
@@ -45,6 +49,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_token_ids": op6_token_ids,
     "op7_quality": op7_quality,
+    "op8_decontamination": op8_decontamination,
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
