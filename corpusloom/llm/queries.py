@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, minhash, mixing, quality, tokenids, toxicity, warc
+from corpusloom.llm import decontaminate, minhash, mixing, quality, substrings, tokenids, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.token_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with a span that an earlier document keeps; repeats within one document alone stay."""
+    spans = substrings.repeated_spans(_table(spark, sf_dir, "documents"))
+    return spans.where(F.exists("owners", lambda o: o != F.col("doc_id")))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -43,6 +49,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_source_mixing": op2_source_mixing,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_toxicity": op4_toxicity,
