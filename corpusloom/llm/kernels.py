@@ -151,3 +151,16 @@ def shingle_hashes(words: np.ndarray, word_offsets: np.ndarray, size: int = 5) -
 
 def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def normals(seed: int, n: int) -> np.ndarray:
+    """n fixed standard normal numbers."""
+    raw = (splitmix(seed, 2 * n) >> U64(11)).astype(float) / (1 << 53)
+    return np.sqrt(-2 * np.log(raw[:n] + 1e-300)) * np.cos(2 * np.pi * raw[n:])
+
+
+def hashed(text: str) -> bytes:
+    """Eight bytes of a digest of a short text."""
+    import hashlib
+
+    return hashlib.blake2b(text.encode(), digest_size=8).digest()
