@@ -190,3 +190,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SIZE, text:
     out = sketch.select("doc_id", "n_shingles", "one", "two").join(ends, (F.col("n_shingles") == F.col("n")) & (sketch["one"] == ends["one"]) & (sketch["two"] == ends["two"]), "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of docs of which one stays for each group of near-duplicates, with all their columns.
+
+    Rows that repeat a doc_id are one document, and one of them stays. Rows of a null doc_id stay.
+    """
+    found = near_duplicates(docs, percent)
+    stay = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("_stay")).distinct()
+    known = docs.join(stay, docs["doc_id"] == stay["_stay"], "left_semi").dropDuplicates(["doc_id"])
+    return known.unionByName(docs.where("doc_id is null"))

@@ -67,50 +67,84 @@ def hash_place(doc_id: Column, seed: str = "") -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3, seed: str = "", text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """One row for each row of docs: doc_id, source, size, source_size, target, copies, taken (= copies * size).
-
-    Sizes are words. weights: (source, weight) for every source, or None for 5, 2, 1 by turns. The null
-    source is a source. Null or empty texts have size 0; they are in the mix as often as whole repetitions
-    go, and with the fraction if it takes their place. Equal hashes are taken in the order of doc_id;
-    rows that repeat a doc_id go together into or out of the fraction. A null doc_id is hashed as ''.
-    The fraction ends with the document whose middle is nearest below its end, so a source misses its
-    target by at most half of one document (or half of a doc_id's rows). An empty table gives an empty mix.
-    """
+def _sized(docs: DataFrame, seed: str, text: str, doc_id: str, source: str) -> DataFrame:
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
-    d = materialise(d.withColumn("place", hash_place(F.col("doc_id"), seed)), "sizes")
-    bin_of = F.shiftright("place", 20).cast("int")
-    bins = d.groupBy("source", bin_of.alias("bin")).agg(F.sum("size").alias("bin_size"))
-    bins = materialise(bins, "bins")
+    return d.withColumn("place", hash_place(F.col("doc_id"), seed))
+
+
+def _bin(place: Column) -> Column:
+    return F.shiftright(place, 20).cast("int")
+
+
+def _order(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)))
+
+
+def plan_mix(d: DataFrame, weights: DataFrame | None, max_epochs: int) -> DataFrame:
+    """From (doc_id, source, size, place): for each source its whole repetitions and the cut of the fraction."""
+    bins = materialise(d.groupBy("source", _bin(F.col("place")).alias("bin")).agg(F.sum("size").alias("bin_size")), "bins")
     sources = bins.groupBy("source").agg(F.sum("bin_size").alias("source_size"))
     if weights is None:
         sources = default_weights(sources)
     else:
         w = weights.select(F.col("source").alias("w_source"), "weight")
         sources = sources.join(w, sources["source"].eqNullSafe(w["w_source"]), "left").drop("w_source")
-    sources = materialise(water_fill(sources, max_epochs), "sources")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    plan = sources.withColumn("whole", F.least(whole, F.lit(max_epochs)).cast("long"))
-    plan = plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    p = water_fill(sources, max_epochs).withColumn("whole", F.least(whole, F.lit(max_epochs)).cast("long"))
+    p = p.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    p = materialise(p.select(F.col("source").alias("p_source"), "rest", "whole", "source_size", "target"), "sources")
     # at most BINS rows for each source
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = bins.withColumn("before", F.coalesce(F.sum("bin_size").over(before), F.lit(0)))
-    p = plan.select(F.col("source").alias("p_source"), "rest", "whole", "source_size", "target")
-    cuts = cuts.join(p, cuts["source"].eqNullSafe(p["p_source"])).where("before < rest and before + bin_size > rest").select(F.col("source").alias("c_source"), F.col("bin").alias("c_bin"), F.col("before"), "rest")
+    begun = bins.withColumn("before", F.coalesce(F.sum("bin_size").over(before), F.lit(0))).join(p, bins["source"].eqNullSafe(p["p_source"])).where("before < rest")
+    cuts = begun.where("before + bin_size > rest").select(F.col("source").alias("c_source"), F.col("bin").alias("c_bin"), "before", "rest")
     # the rows of the one cut bin of each source, about one in BINS
-    edge = d.join(cuts, d["source"].eqNullSafe(cuts["c_source"]) & (bin_of == cuts["c_bin"]))
+    edge = d.join(cuts, d["source"].eqNullSafe(cuts["c_source"]) & (_bin(F.col("place")) == cuts["c_bin"]))
     edge = edge.groupBy("c_source", "c_bin", "place", "doc_id").agg(F.sum("size").alias("size"), F.min("before").alias("before"), F.min("rest").alias("rest"))
     upto = Window.partitionBy("c_source").orderBy("place", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("mid", F.col("before") + F.coalesce(F.sum("size").over(upto), F.lit(0)) + F.col("size") / 2.0)
     # (place, doc_id) of the last one taken; below the bin all, above none
-    last = edge.where("mid <= rest").groupBy("c_source").agg(F.max(F.struct("place", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"))).alias("last"))
-    c = cuts.join(last.withColumnRenamed("c_source", "l_source"), F.col("c_source").eqNullSafe(F.col("l_source")), "left").select("c_source", "c_bin", "last")
-    plan = p.join(c, p["p_source"].eqNullSafe(c["c_source"]), "left")
-    # without a cut bin the fraction ends between bins: with the last bin that begins before it
-    ends = bins.withColumn("before", F.coalesce(F.sum("bin_size").over(before), F.lit(0))).join(p.select("p_source", "rest"), bins["source"].eqNullSafe(p["p_source"])).where("before < rest").groupBy("source").agg(F.max("bin").alias("end_bin")).withColumnRenamed("source", "e_source")
-    plan = materialise(plan.join(ends, plan["p_source"].eqNullSafe(ends["e_source"]), "left").select("p_source", "whole", "source_size", "target", "c_bin", "last", "end_bin"), "plan")
-    out = d.join(plan, d["source"].eqNullSafe(plan["p_source"]))
-    here = F.struct(F.col("place"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"))
-    taken = F.when(F.col("c_bin").isNull(), bin_of <= F.col("end_bin")).otherwise((bin_of < F.col("c_bin")) | (bin_of == F.col("c_bin")) & (here <= F.col("last")))
-    out = out.withColumn("copies", F.col("whole") + F.coalesce(taken, F.lit(False)).cast("long"))
+    last = edge.where("mid <= rest").groupBy(F.col("c_source").alias("l_source")).agg(F.max(F.struct("place", _order(F.col("doc_id")).alias("doc_id"))).alias("last"))
+    c = cuts.join(last, F.col("c_source").eqNullSafe(F.col("l_source")), "left").select("c_source", "c_bin", "last")
+    # without a cut bin the fraction ends between bins: with the last one begun
+    ends = begun.groupBy(F.col("source").alias("e_source")).agg(F.max("bin").alias("end_bin"))
+    p = p.join(c, p["p_source"].eqNullSafe(c["c_source"]), "left")
+    p = p.join(ends, p["p_source"].eqNullSafe(ends["e_source"]), "left")
+    return materialise(p.select("p_source", "whole", "source_size", "target", "c_bin", "last", "end_bin"), "plan")
+
+
+def _copies(place: Column, prefix: str = "") -> Column:
+    """How often a row with the plan of its source (columns with a prefix) is in the mix."""
+    plan = lambda c: F.col(prefix + c)
+    at, here = _bin(place), F.struct(place.alias("place"), _order(F.col("doc_id")).alias("doc_id"))
+    taken = F.when(plan("c_bin").isNull(), at <= plan("end_bin")).otherwise((at < plan("c_bin")) | (at == plan("c_bin")) & (here <= plan("last")))
+    return plan("whole") + F.coalesce(taken, F.lit(False)).cast("long")
+
+
+def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3, seed: str = "", text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """One row for each row of docs: doc_id, source, size, source_size, target, copies, taken (= copies * size).
+
+    Sizes are words. weights: (source, weight) for every source, or None for 5, 2, 1 by turns. The null
+    source is a source. Null or empty texts have size 0; they are in the mix as often as whole repetitions
+    go, and with the fraction if it takes their place. Equal hashes are taken in the order of doc_id;
+    rows that repeat a doc_id go together into or out of the fraction. A null doc_id is hashed as ''.
+    The fraction ends with the document whose middle is nearest below its end, so a source misses its
+    target by at most half of one document (or half of a doc_id's rows). An empty table gives an empty mix.
+    """
+    d = materialise(_sized(docs, seed, text, doc_id, source), "sizes")
+    plan = plan_mix(d, weights, max_epochs)
+    out = d.join(plan, d["source"].eqNullSafe(plan["p_source"])).withColumn("copies", _copies(F.col("place")))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def expand(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3, seed: str = "") -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, with all its columns.
+
+    Texts are joined with nothing but the plan, which has a row for each source.
+    """
+    d = materialise(_sized(docs, seed, "text", "doc_id", "source"), "sizes")
+    plan = plan_mix(d, weights, max_epochs)
+    plan = plan.select(*(F.col(c).alias(f"_m_{c}") for c in plan.columns))
+    out = docs.join(plan, docs["source"].cast("string").eqNullSafe(plan["_m_p_source"]))
+    copies = _copies(hash_place(F.col("doc_id"), seed), "_m_")
+    out = out.withColumn("_m_copies", copies).where("_m_copies > 0").withColumn("_m_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m_copies"))))
+    return out.select(*docs.columns)
