@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from corpusloom.catalog import text
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _part in (text,):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
