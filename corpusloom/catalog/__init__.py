@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.catalog import text
+from corpusloom.catalog import filters, relations, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (text,):
+for _part in (text, filters, relations):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,45 +91,44 @@ def prepare_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def _contribution(variants: list[str]) -> Column:
-    """The best match of any variant with any key of a chunk, keys of headings weigh more."""
-    def best(keys: Column, weight: float) -> Column:
-        each = lambda k: F.greatest(*[A.stems_match(k, F.lit(v)) for v in variants], F.lit(0.0))
-        return F.coalesce(F.array_max(F.transform(keys, each)), F.lit(0.0)) * weight
-
-    return F.greatest(best(F.col("meta"), META_WEIGHT), best(F.col("body"), BODY_WEIGHT))
-
-
-def may_match(text: Column, terms: list[list[str]]) -> Column:
-    """Whether a text can hold a key that matches: the first letters of a variant, or Cyrillic (whose transliteration may match)."""
-    heads = sorted({re.escape(v[:4]) for t in terms for v in t if v})
-    return F.lower(text).rlike("|".join([*heads, "[а-яё]"]))
+    """The best match of any variant with the keys s and t of a word."""
+    one = lambda k: [A.stems_match(F.col(k), F.lit(v)) for v in variants]
+    return F.greatest(*one("s"), *one("t"), F.lit(0.0))
 
 
 def rank_chunks(chunks: DataFrame, query: str, limit: int = 20, synonyms=()) -> DataFrame:
     """The best files for a query by their best chunk: path, i, hits, coverage, more, rank, chain, t.
 
     chunks: (path, i, h, t). A word's weight is ln(1 + N / (1 + chunks that have it)). The first of equal
-    chunks stands for its file; further chunks add the logarithm of their number. Only chunks that can
-    match are analysed. One aggregate gives the weights and one the files; chunks are never joined with keys.
+    chunks stands for its file; further chunks add the logarithm of their number. A stem keeps the first
+    four letters of its word, so words that begin otherwise are dropped before they are stemmed, and only
+    the rest is grouped by chunk.
     """
     terms = A.query_terms(query, synonyms)
     n = len(terms)
     cols = [f"c{k}" for k in range(n)]
-    head = F.concat(F.concat_ws(" ", "h"), F.lit(" "), F.col("path"))
-    some = chunks.select("path", "i", "h", "t").where(may_match(F.coalesce("t", F.lit("")), terms) | may_match(head, terms))
-    found = prepare_chunks(some).select("path", "i", "h", "t", *(_contribution(t).alias(c) for t, c in zip(terms, cols)))
-    found = found.where(" or ".join(f"{c} > 0" for c in cols))
+    heads = sorted({v[:4] for t in terms for v in t})
+    word = lambda text, weight: chunks.select("path", "i", F.explode(F.array_distinct(A.tokens(text))).alias("w"), F.lit(weight).alias("weight"))
+    words = word(F.col("t"), BODY_WEIGHT).unionByName(word(F.concat(F.concat_ws(" ", "h"), F.lit(" "), F.col("path")), META_WEIGHT))
+    # what is Cyrillic may match by its transliteration
+    words = words.where(F.substring(F.replace("w", F.lit("ё"), F.lit("е")), 1, 4).isin(heads) | F.col("w").rlike("[а-яё]"))
+    words = words.groupBy("path", "i", "w").agg(F.max("weight").alias("weight"))
+    keyed = words.withColumn("s", A.stem(F.col("w"))).withColumn("t", A.translit(F.col("s")))
+    each = keyed.select("path", "i", *((_contribution(t) * F.col("weight")).alias(c) for t, c in zip(terms, cols)))
+    found = each.groupBy("path", "i").agg(*(F.max(c).alias(c) for c in cols)).where(" or ".join(f"{c} > 0" for c in cols))
     df = found.agg(*(F.count_if(F.col(c) > 0).alias(f"d{k}") for k, c in enumerate(cols))).crossJoin(chunks.agg(F.count("*").alias("N")))
     both = found.crossJoin(F.broadcast(df))  # one row
     idf = lambda k: F.log(1 + F.greatest(F.col("N"), F.lit(1)) / (1 + F.col(f"d{k}")))
     hits = sum((F.when(F.col(c) > 0, 1).otherwise(0) for c in cols), F.lit(0))
     score = sum((F.col(c) * idf(k) for k, c in enumerate(cols)), F.lit(0.0))
     coverage = hits / n
-    scored = both.select("path", "i", "h", "t", hits.cast("long").alias("hits"), coverage.alias("coverage"), F.round(score * coverage * coverage, 9).alias("score"))
-    files = scored.groupBy("path").agg(F.max_by(F.struct("i", "hits", "coverage", "score", "h", "t"), F.struct(F.col("score"), -F.col("i"))).alias("best"), F.count("*").alias("n"))
+    scored = both.select("path", "i", hits.cast("long").alias("hits"), coverage.alias("coverage"), F.round(score * coverage * coverage, 9).alias("score"))
+    files = scored.groupBy("path").agg(F.max_by(F.struct("i", "hits", "coverage", "score"), F.struct(F.col("score"), -F.col("i"))).alias("best"), F.count("*").alias("n"))
     rank = (F.col("best.score") + F.log1p(F.col("n") - 1) * MORE_WEIGHT) * A.authority(F.col("path"))
-    out = files.select("path", "best.i", "best.hits", F.round("best.coverage", 6).alias("coverage"), (F.col("n") - 1).alias("more"), F.round(rank, 6).alias("rank"), F.concat_ws(" › ", "best.h").alias("chain"), F.col("best.t").alias("t"))
-    return out.orderBy(F.desc("rank"), "path").limit(limit)
+    out = files.select("path", "best.i", "best.hits", F.round("best.coverage", 6).alias("coverage"), (F.col("n") - 1).alias("more"), F.round(rank, 6).alias("rank"))
+    top = out.orderBy(F.desc("rank"), "path").limit(limit)
+    # texts are fetched for the few that are shown
+    return chunks.join(F.broadcast(top), ["path", "i"]).select(*top.columns, F.concat_ws(" › ", "h").alias("chain"), "t")
 
 
 def fuse(lists: list[DataFrame], k: int = RRF_K, weights: list[float] | None = None, limit: int = 25) -> DataFrame:

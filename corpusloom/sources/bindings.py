@@ -91,3 +91,25 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "obsolete").otherwise("current")
     return o.select(F.col("o_orderkey").alias("pos"), F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("path"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("at"), status.alias("status"), F.col("o_orderpriority").alias("kind"))
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ends of the links: path, title, type, bytes (a stand-in for size), at (orders only)."""
+    t = lambda n: table(spark, sf_dir, n)
+    none = F.lit(None).cast("timestamp_ntz")
+    make = lambda df, kind, key, title, size, at=none: df.select(F.concat(F.lit(kind + "/"), F.col(key).cast("string")).alias("path"), title.alias("title"), F.lit(kind).alias("type"), size.cast("long").alias("bytes"), at.alias("at"))
+    out = make(t("customer"), "customer", "c_custkey", F.col("c_name"), F.length("c_name"))
+    out = out.unionByName(make(t("nation"), "nation", "n_nationkey", F.col("n_name"), F.length("n_name")))
+    out = out.unionByName(make(t("region"), "region", "r_regionkey", F.col("r_name"), F.length("r_name")))
+    out = out.unionByName(make(t("supplier"), "supplier", "s_suppkey", F.col("s_name"), F.length("s_name")))
+    out = out.unionByName(make(t("part"), "part", "p_partkey", F.col("p_name"), F.length("p_name")))
+    return out.unionByName(make(t("orders"), "order", "o_orderkey", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")), F.floor("o_totalprice"), F.col("o_orderdate").cast("timestamp_ntz")))
+
+
+NODES_SQL = """nodes AS (
+  SELECT 'customer/' || c_custkey AS path, c_name AS title, 'customer' AS type, length(c_name)::BIGINT AS bytes, NULL::TIMESTAMP AS at FROM customer
+  UNION ALL SELECT 'nation/' || n_nationkey, n_name, 'nation', length(n_name), NULL FROM nation
+  UNION ALL SELECT 'region/' || r_regionkey, r_name, 'region', length(r_name), NULL FROM region
+  UNION ALL SELECT 'supplier/' || s_suppkey, s_name, 'supplier', length(s_name), NULL FROM supplier
+  UNION ALL SELECT 'part/' || p_partkey, p_name, 'part', length(p_name), NULL FROM part
+  UNION ALL SELECT 'order/' || o_orderkey, 'Order ' || o_orderkey, 'order', floor(o_totalprice)::BIGINT, o_orderdate::TIMESTAMP FROM orders)"""
