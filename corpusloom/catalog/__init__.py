@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.catalog import filters, relations, text
+from corpusloom.catalog import corpus, filters, relations, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (text, filters, relations):
+for _part in (text, filters, relations, corpus):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
