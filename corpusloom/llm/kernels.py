@@ -112,7 +112,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     np.cumsum(values, out=sums[1:])
     out = sums[ends]
     out -= sums[starts]
-    out *= _powers(_R_INV, len(data))[starts]
+    out *= _powers(_R_INV, len(data) + 1)[starts]
     return mix(out)
 
 

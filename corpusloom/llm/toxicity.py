@@ -6,14 +6,16 @@ a set of (trie node, edits so far), and it moves on one byte of a word. States
 are made as texts need them and remembered, so a block of words runs through
 the automaton as array look-ups, all words in step, and most die early.
 
-A hit counts by its term's log-odds and its edits, in a window of words around
-it: hits near one another or near an address of the reader strengthen each
+A hit counts by its term's log-odds; one with edits by odds of its own, which
+start below those of the term and fall with every clean document that has such
+a hit. A hit is seen in a window of words around it: hits near one another or near an address of the reader strengthen each
 other, and hits within quotation marks or after a word of reporting weaken. A
 logistic model turns the sums into a score.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,15 +160,18 @@ def _words_by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.bincount(pairs // n, toxic, len(one)).astype(np.int64)), pa.array(np.bincount(pairs // n, ~toxic, len(one)).astype(np.int64))], names=["word", "toxic", "clean"])
 
 
-N_FEATURES = 7
+N_FEATURES = 6
+#: What a word with edits has less, before evidence, than the term's log-odds; and what a further edit leaves.
+MISSPELT, FURTHER = 3.0, 0.8
 
 
 class Scorer:
-    """Features of texts under a lexicon of (term, log-odds)."""
+    """Features of texts under a lexicon of (term, log-odds, log-odds with edits)."""
 
-    def __init__(self, lexicon: list[tuple[str, float]]):
-        self.automaton = Automaton([t for t, _ in lexicon])
-        self.odds = np.array([o for _, o in lexicon] + [0.0])
+    def __init__(self, lexicon: list[tuple[str, float, float]]):
+        self.automaton = Automaton([t for t, _, _ in lexicon])
+        self.odds = np.array([o for _, o, _ in lexicon] + [0.0])
+        self.misspelt = np.array([m for _, _, m in lexicon] + [0.0])
         self.address = set(self._hash(ADDRESS))
         self.reports = set(self._hash(REPORTS))
 
@@ -176,6 +181,21 @@ class Scorer:
         ends = np.cumsum([len(r) for r in raw])
         return K.span_hashes(np.frombuffer(b"".join(raw), np.uint8), ends - [len(r) for r in raw], ends, lower=False).tolist()
 
+    def edited(self, column: pa.Array) -> list[np.ndarray]:
+        """For each text the terms that it has with edits."""
+        out = [np.zeros(0, np.int64)] * len(column)
+        for at, n, data, offsets in K.text_blocks(_lowered(column)):
+            starts, ends, places = K.word_spans(data, offsets, K.NOT_ALNUM)
+            if not len(starts):
+                continue
+            codes, one = _distinct(data, starts, ends)
+            term, edits = self.automaton.match(data, starts[one], ends[one])
+            term = np.where(edits > 0, term, -1)[codes]
+            for i in range(n):
+                mine = term[places[i] : places[i + 1]]
+                out[at + i] = np.unique(mine[mine >= 0])
+        return out
+
     def features(self, column: pa.Array) -> np.ndarray:
         out = np.zeros((len(column), N_FEATURES))
         for at, n, data, offsets in K.text_blocks(_lowered(column)):
@@ -187,11 +207,11 @@ class Scorer:
             one = np.empty(len(distinct), np.int64)
             one[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             term, edits = self.automaton.match(data, starts[one], ends[one])
-            hit = np.flatnonzero(term[codes] >= 0)
+            value = np.where(edits == 0, self.odds[term], self.misspelt[term] * FURTHER ** np.maximum(edits - 1, 0))
+            hit = np.flatnonzero(((term >= 0) & (value > 0))[codes])
             if not len(hit):
                 continue
-            term, edits = term[codes[hit]], edits[codes[hit]]
-            weight = self.odds[term] * 0.6**edits
+            weight = value[codes[hit]]
             doc = np.searchsorted(places, hit, side="right") - 1
             lo, hi = np.maximum(hit - WINDOW, places[doc]), np.minimum(hit + WINDOW + 1, places[doc + 1])
             # other hits, words of address and of reporting within the window
@@ -207,8 +227,8 @@ class Scorer:
             score = total(weight * context)
             most = np.zeros(n)
             np.maximum.at(most, doc, weight * context)
-            exact, fuzzy = total(edits == 0), total(edits > 0)
-            out[at : at + n] = np.stack([np.log1p(score), most, np.log1p(exact), np.log1p(fuzzy), np.log1p(100 * score / np.maximum(words, 20)), np.log1p(total(quoted | told)), (exact + fuzzy > 0).astype(float)], 1)
+            hits = total(np.ones(len(hit)))
+            out[at : at + n] = np.stack([np.log1p(score), most, np.log1p(hits), np.log1p(100 * score / np.maximum(words, 20)), np.log1p(total(quoted | told)), (hits > 0).astype(float)], 1)
         return out
 
     @staticmethod
@@ -226,7 +246,7 @@ class Scorer:
 _scorers: dict[tuple, Scorer] = {}
 
 
-def _scorer(lexicon: list[tuple[str, float]]) -> Scorer:
+def _scorer(lexicon: list[tuple[str, float, float]]) -> Scorer:
     key = tuple(lexicon)
     if key not in _scorers:
         _scorers.clear()
@@ -276,7 +296,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, sam
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     best = words.where((F.col("toxic") >= LEAST_DOCS) & (F.length("word") >= 3)).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
     # at most TERMS rows come here
-    lexicon = [(r["word"], float(r["odds"])) for r in best.orderBy(F.desc("odds"), F.desc("toxic"), "word").limit(TERMS).collect()]
+    terms = [(r["word"], float(r["odds"]), 0.0) for r in best.orderBy(F.desc("odds"), F.desc("toxic"), "word").limit(TERMS).collect()]
+
+    def misspelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, y = _scorer(terms).edited(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+            t, of = np.concatenate([np.zeros(0, np.int64), *found]), np.repeat(y, [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)), pa.array((of == 1).astype(np.int64)), pa.array((of != 1).astype(np.int64))], names=["term", "toxic", "clean"])
+
+    # a row for each term at most
+    seen = {r["term"]: (r["toxic"], r["clean"]) for r in rows.mapInArrow(misspelt, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()} if terms else {}
+
+    def edited_odds(i: int, odds: float) -> float:
+        """Odds from the documents seen and from one imagined toxic one, with as many clean ones as odds - MISSPELT ask for."""
+        t, c = seen.get(i, (0, 0))
+        return math.log((t + 1) / toxic) - math.log((c + clean / toxic * math.exp(MISSPELT - odds)) / clean)
+
+    # with edits a term counts only at the odds that a term needs
+    lexicon = [(w, o, m if (m := min(o, edited_odds(i, o))) >= LEAST_ODDS else 0.0) for i, (w, o, _) in enumerate(terms)]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
