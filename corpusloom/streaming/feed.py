@@ -16,13 +16,17 @@ def _at(changes: DataFrame, late: str) -> DataFrame:
     return changes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
+def _keys(d: DataFrame, key: str | None) -> list[Column]:
+    """A stream's sessions need a key; without one all rows have the same (which is no literal, or it would be dropped)."""
+    return [F.col(key)] if key else [F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(1)).alias("feed")] if d.isStreaming else []
+
+
 def debounce(changes: DataFrame, gap: str | Column = WATCH_GAP, late: str = "1 hour", key: str | None = None) -> DataFrame:
     """Bursts of changes (ts, path) parted by silence: start, end, n, paths (distinct). Sessions merge from
     partial ones on the map side, so a burst's rows need not meet before they are summed."""
-    keys = [key] if key else []
     d = _at(changes, late)
-    s = d.groupBy(F.session_window("ts", gap), *keys).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("path")).alias("paths"))
-    return s.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *keys, "n", "paths")
+    s = d.groupBy(F.session_window("ts", gap), *_keys(d, key)).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("path")).alias("paths"))
+    return s.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *([key] if key else []), "n", "paths")
 
 
 def reload_gap(touched: Column, short: str = TOUCHED_GAP, long: str = OTHER_GAP) -> Column:
@@ -32,10 +36,9 @@ def reload_gap(touched: Column, short: str = TOUCHED_GAP, long: str = OTHER_GAP)
 def reloads(pushes: DataFrame, short: str = TOUCHED_GAP, long: str = OTHER_GAP, late: str = "1 hour", key: str | None = None) -> DataFrame:
     """Reloads that pushes (ts, touched) cause: each waits for a silence that depends on the push; a reload
     covers all pushes of its wait: start, end, n, touched."""
-    keys = [key] if key else []
     d = _at(pushes, late)
-    s = d.groupBy(F.session_window("ts", reload_gap(F.col("touched"), short, long)), *keys).agg(F.count("*").alias("n"), F.max("touched").alias("touched"))
-    return s.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *keys, "n", "touched")
+    s = d.groupBy(F.session_window("ts", reload_gap(F.col("touched"), short, long)), *_keys(d, key)).agg(F.count("*").alias("n"), F.max("touched").alias("touched"))
+    return s.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *([key] if key else []), "n", "touched")
 
 
 def replay(queue: DataFrame, key: str = "path") -> DataFrame:
