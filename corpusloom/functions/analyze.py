@@ -54,6 +54,7 @@ SEPARATOR = "[^0-9a-zа-яё]+"
 #: A lazy head and an anchored tail pick the longest ending that leaves four letters; no ending is a
 #: tail of a later, longer one, so that is the first of the list as well.
 ENDING = "^(.{4,}?)(?:" + "|".join(SUFFIXES) + ")$"
+LATIN_ENDING = "^(.{4,}?)(?:" + "|".join(s for s in SUFFIXES if s.isascii()) + ")$"
 _ONE = {k: v for k, v in TRANSLIT.items() if len(v) == 1}
 _MANY = {k: v for k, v in TRANSLIT.items() if len(v) != 1}
 
@@ -63,16 +64,30 @@ _MANY = {k: v for k, v in TRANSLIT.items() if len(v) != 1}
 
 def tokens(text: Column) -> Column:
     """Words of two letters or more that are no stop words, in order, with repeats; null gives none."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATOR)
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(words, lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))
+    return F.filter(words(text), is_token)
+
+
+def words(text: Column) -> Column:
+    """The pieces between separators; null gives one empty piece."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATOR)
+
+
+def is_token(word: Column) -> Column:
+    return (F.length(word) >= 2) & ~word.isin(*STOP_WORDS)
+
+
+def _stripped(word: Column, ending: str) -> Column:
+    return F.regexp_replace(F.regexp_replace(word, ending, "$1"), ending, "$1")
+
+
+def _cyrillic(word: Column) -> Column:
+    return word.rlike("[А-яёЁ]")
 
 
 def stem(word: Column) -> Column:
-    w = F.replace(F.lower(word), F.lit("ё"), F.lit("е"))
-    for _ in range(2):
-        w = F.regexp_replace(w, ENDING, "$1")
-    return w
+    """A word without Cyrillic has Latin endings only, which are few."""
+    full = _stripped(F.replace(F.lower(word), F.lit("ё"), F.lit("е")), ENDING)
+    return F.when(_cyrillic(word), full).otherwise(_stripped(F.lower(word), LATIN_ENDING))
 
 
 def translit(word: Column) -> Column:
@@ -83,9 +98,9 @@ def translit(word: Column) -> Column:
 
 
 def keys_of(word: Column) -> Column:
-    """The stem, and its transliteration if that is another string."""
-    s = stem(word)
-    return F.array_distinct(F.array(s, translit(s)))
+    """The stem, and its transliteration if that is another string (which takes Cyrillic)."""
+    s = _stripped(F.replace(F.lower(word), F.lit("ё"), F.lit("е")), ENDING)
+    return F.when(_cyrillic(word), F.array_distinct(F.array(s, translit(s)))).otherwise(F.array(_stripped(F.lower(word), LATIN_ENDING)))
 
 
 def stems(text: Column) -> Column:

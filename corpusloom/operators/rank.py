@@ -16,7 +16,7 @@ RRF_K = 60
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, n) of a text column. Words are counted before they are stemmed, so a word of a
     document is stemmed once; both counts combine on the map side."""
-    words = docs.select(key, F.explode(A.tokens(F.col(text))).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
+    words = docs.select(key, F.explode(A.words(F.col(text))).alias("w")).where(A.is_token(F.col("w"))).groupBy(key, "w").agg(F.count("*").alias("n"))
     return words.select(key, F.explode(A.keys_of(F.col("w"))).alias("term"), "n").groupBy(key, "term").agg(F.sum("n").alias("n"))
 
 
@@ -108,7 +108,7 @@ def rank_chunks(chunks: DataFrame, query: str, limit: int = 20, synonyms=()) ->
     n = len(terms)
     cols = [f"c{k}" for k in range(n)]
     heads = sorted({v[:4] for t in terms for v in t})
-    word = lambda text, weight: chunks.select("path", "i", F.explode(F.array_distinct(A.tokens(text))).alias("w"), F.lit(weight).alias("weight"))
+    word = lambda text, weight: chunks.select("path", "i", F.explode(A.words(text)).alias("w"), F.lit(weight).alias("weight")).where(A.is_token(F.col("w")))
     words = word(F.col("t"), BODY_WEIGHT).unionByName(word(F.concat(F.concat_ws(" ", "h"), F.lit(" "), F.col("path")), META_WEIGHT))
     # what is Cyrillic may match by its transliteration
     words = words.where(F.substring(F.replace("w", F.lit("ё"), F.lit("е")), 1, 4).isin(heads) | F.col("w").rlike("[а-яё]"))
