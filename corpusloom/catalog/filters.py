@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.catalog import sqlparts as S
-from corpusloom.catalog.text import QUERY, _bm25_sql, _docs, _notes
+from corpusloom.catalog.text import QUERY, _bm25_sql, _notes, _post
 from corpusloom.operators import model as M
 from corpusloom.operators import rank as R
 from corpusloom.plans import query as Q
@@ -78,7 +78,7 @@ ORACLES["filter_phrase"] = "SELECT doc_id AS pos FROM documents WHERE contains(l
 @query
 def search_then_filter(spark, sf_dir):
     """The best sixty by words, of these what the filters leave, the first 25: the limit comes before the filter."""
-    top = R.bm25(R.postings(_docs(spark, sf_dir)), _notes(spark, sf_dir), QUERY, 60)
+    top = R.bm25(_post(spark, sf_dir, QUERY), _notes(spark, sf_dir), QUERY, 60)
     left = Q.apply(B.notes(spark, sf_dir), "класс:claim").select("path")
     return top.join(left, "path", "left_semi").orderBy(F.desc("rank"), "doc_id").limit(25).select("doc_id", "path", "rank")
 

@@ -29,6 +29,11 @@ def _notes(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", "path", F.col("n_chars").alias("bytes"))
 
 
+def _post(spark, sf_dir, text, synonyms=()):
+    """The postings that a query can meet, made from the documents."""
+    return R.postings(_docs(spark, sf_dir), only=A.query_terms(text, synonyms))
+
+
 @query
 def tokens_per_doc(spark, sf_dir):
     t = A.tokens(F.col("text"))
@@ -102,17 +107,17 @@ FROM s ORDER BY rank DESC, doc_id LIMIT {limit}"""
 
 @query
 def bm25_search(spark, sf_dir):
-    return R.bm25(R.postings(_docs(spark, sf_dir)), _notes(spark, sf_dir), QUERY, 20)
+    return R.bm25(_post(spark, sf_dir, QUERY), _notes(spark, sf_dir), QUERY, 20)
 
 
 @query
 def bm25_prefix_fallback(spark, sf_dir):
-    return R.bm25(R.postings(_docs(spark, sf_dir)), _notes(spark, sf_dir), PREFIX_QUERY, 25)
+    return R.bm25(_post(spark, sf_dir, PREFIX_QUERY), _notes(spark, sf_dir), PREFIX_QUERY, 25)
 
 
 @query
 def synonym_expansion(spark, sf_dir):
-    return R.bm25(R.postings(_docs(spark, sf_dir)), _notes(spark, sf_dir), "idiot threat", 25, synonyms=SYNONYMS, prefix_fallback=False)
+    return R.bm25(_post(spark, sf_dir, "idiot threat", SYNONYMS), _notes(spark, sf_dir), "idiot threat", 25, synonyms=SYNONYMS, prefix_fallback=False)
 
 
 ORACLES["bm25_search"] = _bm25_sql(QUERY, 20)
@@ -143,7 +148,7 @@ ORACLES["rank_chunks"] = _chunks_sql(QUERY, 20)
 
 
 def _two_lists(spark, sf_dir):
-    post, notes = R.postings(_docs(spark, sf_dir)), _notes(spark, sf_dir)
+    post, notes = _post(spark, sf_dir, QUERY + " worthless threat"), _notes(spark, sf_dir)
     # result lists of at most 25 rows
     one = R.placed(R.bm25(post, notes, QUERY, 25), F.desc("rank"), "doc_id")
     two = R.placed(R.bm25(post, notes, "worthless threat", 25), F.desc("rank"), "doc_id")
@@ -172,7 +177,7 @@ ORACLES["rrf_weighted"] = _fuse_sql((1.0, 0.5))
 @query
 def ranker_parity_diff(spark, sf_dir):
     """Top six of two settings of the ranker: what each has that the other has not."""
-    post, notes = R.postings(_docs(spark, sf_dir)), _notes(spark, sf_dir)
+    post, notes = _post(spark, sf_dir, PREFIX_QUERY), _notes(spark, sf_dir)
     top = lambda **o: R.placed(R.bm25(post, notes, PREFIX_QUERY, 6, **o), F.desc("rank"), "doc_id")
     a, b = top(), top(prefix_fallback=False)
     return a.exceptAll(b).withColumn("side", F.lit("prefix")).unionByName(b.exceptAll(a).withColumn("side", F.lit("exact")))

@@ -13,19 +13,28 @@ BODY_WEIGHT, META_WEIGHT, MORE_WEIGHT = 1.0, 1.35, 0.35
 RRF_K = 60
 
 
-def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+def may_match(word: Column, terms: list[list[str]]) -> Column:
+    """Whether a word can have a key that matches: a stem keeps the first four letters of its word, and
+    Cyrillic may match by its transliteration."""
+    heads = sorted({v[:4] for t in terms for v in t})
+    return F.substring(F.replace(word, F.lit("ё"), F.lit("е")), 1, 4).isin(heads) | word.rlike("[а-яё]")
+
+
+def term_counts(docs: DataFrame, key: str, text: str, only: list[list[str]] | None = None) -> DataFrame:
     """(key, term, n) of a text column. Words are counted before they are stemmed, so a word of a
-    document is stemmed once; both counts combine on the map side."""
-    words = docs.select(key, F.explode(A.words(F.col(text))).alias("w")).where(A.is_token(F.col("w"))).groupBy(key, "w").agg(F.count("*").alias("n"))
+    document is stemmed once; both counts combine on the map side. only: leave out words that cannot
+    match a query's terms (the lists of all that can are whole)."""
+    words = docs.select(key, F.explode(A.words(F.col(text))).alias("w")).where(A.is_token(F.col("w")))
+    words = (words if only is None else words.where(may_match(F.col("w"), only))).groupBy(key, "w").agg(F.count("*").alias("n"))
     return words.select(key, F.explode(A.keys_of(F.col("w"))).alias("term"), "n").groupBy(key, "term").agg(F.sum("n").alias("n"))
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", meta: str | None = "path") -> DataFrame:
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", meta: str | None = "path", only: list[list[str]] | None = None) -> DataFrame:
     """(key, term, tf_body, tf_meta). Body counts are kept on a scale of powers of two, meta counts up to nine."""
-    body = term_counts(docs, key, text).select(key, "term", F.pow(F.lit(2.0), F.least(F.floor(F.log2("n")), F.lit(8))).alias("tf_body"), F.lit(0).cast("long").alias("tf_meta"))
+    body = term_counts(docs, key, text, only).select(key, "term", F.pow(F.lit(2.0), F.least(F.floor(F.log2("n")), F.lit(8))).alias("tf_body"), F.lit(0).cast("long").alias("tf_meta"))
     if meta is None:
         return body
-    of = term_counts(docs, key, meta).select(key, "term", F.lit(0.0).alias("tf_body"), F.least("n", F.lit(9)).alias("tf_meta"))
+    of = term_counts(docs, key, meta, only).select(key, "term", F.lit(0.0).alias("tf_body"), F.least("n", F.lit(9)).alias("tf_meta"))
     return body.unionByName(of).groupBy(key, "term").agg(F.max("tf_body").alias("tf_body"), F.max("tf_meta").alias("tf_meta"))
 
 
@@ -107,12 +116,9 @@ def rank_chunks(chunks: DataFrame, query: str, limit: int = 20, synonyms=()) ->
     terms = A.query_terms(query, synonyms)
     n = len(terms)
     cols = [f"c{k}" for k in range(n)]
-    heads = sorted({v[:4] for t in terms for v in t})
     word = lambda text, weight: chunks.select("path", "i", F.explode(A.words(text)).alias("w"), F.lit(weight).alias("weight")).where(A.is_token(F.col("w")))
     words = word(F.col("t"), BODY_WEIGHT).unionByName(word(F.concat(F.concat_ws(" ", "h"), F.lit(" "), F.col("path")), META_WEIGHT))
-    # what is Cyrillic may match by its transliteration
-    words = words.where(F.substring(F.replace("w", F.lit("ё"), F.lit("е")), 1, 4).isin(heads) | F.col("w").rlike("[а-яё]"))
-    words = words.groupBy("path", "i", "w").agg(F.max("weight").alias("weight"))
+    words = words.where(may_match(F.col("w"), terms)).groupBy("path", "i", "w").agg(F.max("weight").alias("weight"))
     keyed = words.withColumn("s", A.stem(F.col("w"))).withColumn("t", A.translit(F.col("s")))
     each = keyed.select("path", "i", *((_contribution(t) * F.col("weight")).alias(c) for t, c in zip(terms, cols)))
     found = each.groupBy("path", "i").agg(*(F.max(c).alias(c) for c in cols)).where(" or ".join(f"{c} > 0" for c in cols))
