@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.catalog import corpus, documents, filters, relations, text
+from corpusloom.catalog import corpus, documents, edits, filters, finders, relations, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (text, filters, relations, corpus, documents):
+for _part in (text, filters, relations, corpus, documents, finders, edits):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

@@ -164,11 +164,11 @@ def change_feed_stream(spark, sf_dir):
 @query
 def write_queue_replay(spark, sf_dir):
     e = B.table(spark, sf_dir, "events")
-    q = e.select(F.col("event_id").alias("id"), F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("path"), F.when(F.col("value") > 150, "network").otherwise("write").alias("kind"), (F.col("event_id") % 7 != 0).alias("ok"))
+    q = e.select(F.col("event_id").alias("id"), F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("path"), F.when(F.col("value") > 150, "network").otherwise("write").alias("kind"), (F.col("event_type") != "error").alias("ok"))
     return feed.replay(q)
 
 
-ORACLES["write_queue_replay"] = """WITH q AS (SELECT event_id AS id, 'user/' || user_id AS path, value > 150 AS net, event_id % 7 <> 0 AS ok FROM events), s AS (SELECT path, min(id) AS stop FROM q WHERE net GROUP BY 1),
+ORACLES["write_queue_replay"] = """WITH q AS (SELECT event_id AS id, 'user/' || user_id AS path, value > 150 AS net, event_type <> 'error' AS ok FROM events), s AS (SELECT path, min(id) AS stop FROM q WHERE net GROUP BY 1),
 j AS (SELECT q.*, stop IS NULL OR id < stop AS b FROM q LEFT JOIN s ON q.path = s.path) SELECT path, count(*) FILTER (b AND ok) AS applied, count(*) FILTER (b AND NOT ok) AS dropped, count(*) FILTER (NOT b) AS waiting, max(id) FILTER (b AND ok) AS last_id FROM j GROUP BY 1"""
 
 
@@ -204,16 +204,17 @@ ORACLES["version_at"] = "SELECT 'user/' || user_id AS path, event_id AS id FROM
 
 @query
 def conflict_check(spark, sf_dir):
-    """Writes that were based on the version two before theirs."""
+    """Every write; an error's was based on the version two before it, others on the one before."""
     from pyspark.sql.window import Window
 
-    v = _versions(spark, sf_dir)
-    base = F.lag("id", 2).over(Window.partitionBy("path").orderBy("id"))
-    return H.conflicts(v.select("id", "path", base.alias("base_id")).where("id % 3 = 0 or base_id is null"))
+    v = B.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("path"), "event_type")
+    w = Window.partitionBy("path").orderBy("id")
+    base = F.when(F.col("event_type") == "error", F.lag("id", 2).over(w)).otherwise(F.lag("id").over(w))
+    return H.conflicts(v.select("id", "path", base.alias("base_id")))
 
 
-ORACLES["conflict_check"] = """WITH w AS (SELECT event_id AS id, 'user/' || user_id AS path, lag(event_id, 2) OVER (PARTITION BY user_id ORDER BY event_id) AS base_id FROM events),
-k AS (SELECT *, max(id) OVER (PARTITION BY path ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_id FROM w WHERE id % 3 = 0 OR base_id IS NULL) SELECT id, path, base_id, last_id FROM k WHERE last_id > base_id"""
+ORACLES["conflict_check"] = """WITH w AS (SELECT event_id AS id, 'user/' || user_id AS path, CASE WHEN event_type = 'error' THEN lag(event_id, 2) OVER p ELSE lag(event_id) OVER p END AS base_id FROM events WINDOW p AS (PARTITION BY user_id ORDER BY event_id)),
+k AS (SELECT *, max(id) OVER (PARTITION BY path ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_id FROM w) SELECT id, path, base_id, last_id FROM k WHERE last_id > base_id"""
 
 
 def _component_links(spark, sf_dir):

@@ -178,7 +178,7 @@ def safe_file_name(text: Column) -> Column:
 def slug(text: Column, most: int = 80) -> Column:
     """At most `most` characters, cut between words, without marks at the end."""
     cut = F.when(F.length(text) > most, F.regexp_replace(F.substring(text, 1, most), "\\s+\\S*$", "")).otherwise(text)
-    return F.regexp_replace(cut, "[\\s.,;:!?—-]+$", "")
+    return F.regexp_replace(cut, "[.,;:]+$", "")
 
 
 def strip_date(title: Column) -> Column:

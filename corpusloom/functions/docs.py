@@ -227,6 +227,44 @@ def append(text: str | None, content: str) -> str:
 # ---------------------------------------------------------------- differences
 
 
+def under(text: str, heading: str, line: str) -> str:
+    """A line at the end of the section of a level-two heading, which is made if it is not there."""
+    lines = text.split("\n")
+    want = f"## {heading}".lower()
+    at = next((i for i, x in enumerate(lines) if x.replace("\u00a0", " ").strip().lower() == want), None)
+    if at is None:
+        return f"{text.rstrip()}\n\n## {heading}\n\n{line}\n"
+    stop = next((i for i in range(at + 1, len(lines)) if re.match("#{1,6} ", lines[i])), len(lines))
+    rest = _gap(lines[at + 1 : stop])
+    return "\n".join([*lines[: stop - len(rest)], "", line, *rest, *lines[stop:]]).rstrip() + "\n"
+
+
+def _gap(lines: list[str]) -> list[str]:
+    """The blank lines at the end."""
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    return lines[full[-1] + 1 if full else 0 :]
+
+
+def with_intro(text: str, intro: str) -> str:
+    """A first text below the title and what follows it, before the first section; at the top without a title."""
+    lines = text.split("\n")
+    title = next((i for i, x in enumerate(lines) if x.startswith("# ")), None)
+    if title is None:
+        return f"{intro.strip()}\n\n{text}"
+    stop = next((i for i in range(title + 1, len(lines)) if re.match("#{2,6} ", lines[i])), len(lines))
+    rest = _gap(lines[title + 1 : stop])
+    return "\n".join([*lines[: stop - len(rest)], "", intro.strip(), *rest, *lines[stop:]])
+
+
+def capture(text: str | None, heading: str, line: str, template: str = "") -> tuple[str, str]:
+    """(text, way) of a thought put into a note: under its heading, at the end with a heading, or into a new note."""
+    if text is None:
+        return under(template, heading, line), "create"
+    if find_section(text.split("\n"), heading):
+        return patch(text, heading, line, "append"), "patch"
+    return append(text, f"## {heading}\n\n{line}"), "append"
+
+
 def diff(old: str, new: str) -> list[tuple[str, str]]:
     """Runs of (same | del | add, lines), by a longest common subsequence of lines; where both would do, a
     deletion comes first. Texts of more than 400,000 pairs of lines are replaced whole."""

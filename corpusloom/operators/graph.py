@@ -119,6 +119,41 @@ def fresh_layout(nodes: DataFrame, sector_table: DataFrame, now: Column) -> Data
     return n.select("path", F.round(F.cos(a) * r, 4).alias("x"), F.round(F.sin(a) * r * 0.8, 4).alias("y"))
 
 
+def scattered(nodes: DataFrame, least: float = 12, most: float = 46) -> DataFrame:
+    """From (path, x, y): path, x, y a little away from the place, by hashes of the path."""
+    a = A.scatter_hash(F.col("path")) * (2 * math.pi)
+    r = least + A.scatter_hash(F.concat("path", F.lit("·"))) * most
+    return nodes.select("path", (F.round(F.col("x") + F.cos(a) * r, 4) + 0.0).alias("x"), (F.round(F.col("y") + F.sin(a) * r, 4) + 0.0).alias("y"))  # no -0
+
+
+def zone_layout(nodes: DataFrame, sector_table: DataFrame) -> DataFrame:
+    """path, x, y: each node at the place of its zone, on an ellipse that grows with the number of visible nodes."""
+    shown = F.count_if(F.coalesce("visible", F.lit(False)))
+    r = nodes.agg((150 + F.coalesce(F.nullif(shown, F.lit(0)), F.count("*")) * 1.35).alias("r"))
+    z = sector_table.select("zone", "angle").crossJoin(F.broadcast(r))  # one row
+    z = z.select("zone", F.round(F.cos("angle") * F.col("r"), 4).alias("x"), F.round(F.sin("angle") * F.col("r") * 0.72, 4).alias("y"))
+    return nodes.join(z, "zone").select("path", "x", "y")
+
+
+def cluster_layout(nodes: DataFrame) -> DataFrame:
+    """From (path, cluster): path, x, y in a disc for each cluster, the larger first around an ellipse."""
+    n = nodes.groupBy("cluster").agg(F.count("*").alias("size")).withColumn("w", F.sqrt("size"))
+    # one row for each cluster
+    order = Window.orderBy(F.desc("size"), "cluster")
+    before = F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    n = n.withColumns({"angle": (before + F.col("w") / 2) / F.sum("w").over(Window.partitionBy()) * (2 * math.pi) - math.pi / 2, "far": 170 + F.sum("size").over(Window.partitionBy()) * 1.25})
+    c = n.select("cluster", (F.cos("angle") * F.col("far")).alias("cx"), (F.sin("angle") * F.col("far") * 0.72).alias("cy"), (26 + F.col("w") * 11).alias("r"))
+    a = A.scatter_hash(F.col("path")) * (2 * math.pi)
+    d = F.sqrt(A.scatter_hash(F.concat("path", F.lit("·")))) * F.col("r")
+    return nodes.join(c, "cluster").select("path", F.round(F.col("cx") + F.cos(a) * d, 4).alias("x"), F.round(F.col("cy") + F.sin(a) * d, 4).alias("y"))
+
+
+def layer_layout(layers: DataFrame) -> DataFrame:
+    """From (path, level), level null on a cycle: path, x, y in columns by level, cycles in one on the right."""
+    row = F.row_number().over(Window.partitionBy("level").orderBy("path")) - 1
+    return layers.select("path", F.coalesce(-420 + F.col("level") * 190, F.lit(520)).alias("x"), (-240 + row * 46).alias("y"))
+
+
 def style(nodes: DataFrame, now: Column) -> DataFrame:
     """path, radius, warmth: by the root of the share of the largest size, and by the logarithm of the age."""
     most = nodes.agg(F.greatest(F.max("bytes"), F.lit(1)).alias("most"))
