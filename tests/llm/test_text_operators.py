@@ -258,6 +258,32 @@ def test_token_ids(make_docs, messy, monkeypatch):
 # ---------------------------------------------------------------- decontamination
 
 
+def test_edited_passages(spark, make_docs):
+    """Substitutions at the ends and in the middle, words put in or left out: found if any run of the document's words is near enough."""
+    rng = np.random.default_rng(7)
+    word = lambda n: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(n)]
+    items, docs = [], []
+    for n in (15, 16, 23, 40, 57, 64, 100, 180):
+        w = word(n)
+        items.append((n, " ".join(w)))
+        edits = [[0], [n - 1], [0, n - 1], [0, 1, n - 1], [n // 2], [n // 3], [n // 4, 3 * n // 4], [0, n // 2], [n // 5, n // 2, 4 * n // 5]]
+        made = [[word(1)[0] if i in e else x for i, x in enumerate(w)] for e in edits]
+        made += [w[:k] + word(1) + w[k:] for k in (1, n // 2, n - 1)] + [w[:k] + w[k + 1 :] for k in (0, n // 2, n - 1)] + [w[: n // 3] + w[n // 3 + 1 : 2 * n // 3] + word(1) + w[2 * n // 3 :]]
+        docs += [(1000 * n + i, " ".join(word(37) + m + word(23))) for i, m in enumerate(made)]
+    parsed = {i: decontaminate._words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])) for i, t in items + docs}
+    want = set()
+    for i, _ in items:
+        own = decontaminate.weighted(*parsed[i][:2], 5)
+        for d, _ in docs:
+            h, letters, _ = parsed[d]
+            near = (decontaminate.similarity(own, decontaminate.weighted(h[a : a + n], letters[a : a + n], 5)) for a in range(30, 45) for n in range(max(i - 1, 5), i + 2))
+            if d // 1000 == i and any(x >= 0.8 for x in near):
+                want.add((d, i))
+    got = decontaminate.contaminated(make_docs(*docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id) for r in got}
+    assert len(want) > 60 and got >= want and all(d // 1000 == i for d, i in got), want - got
+
+
 def test_contaminated(spark, make_docs, messy):
     items = [(1, words(300, 40)), (2, words(301, 55)), (3, None), (4, ""), (5, "just three words"), (6, words(302, 17)), (7, words(300, 40))]
     benchmark = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
