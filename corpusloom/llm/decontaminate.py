@@ -7,8 +7,11 @@ an edit in one half of a passage leaves the other half intact. A window's
 window sums come from sums over runs of 1, 2, 4 ... shingles. The fingerprints
 of the items' own windows are indexed by RADIUS + 1 blocks of bits: one within
 RADIUS of a document's window equals it in at least one block, so none is
-missed. A candidate is confirmed by the exact similarity of the item's shingles
-and those of the document's words at that place, weighted by their letters.
+missed. Besides, each item has anchors: shingles that together weigh more than a
+passage may lack. A passage near enough has one of them unchanged, wherever its
+edits are. A candidate is confirmed by the exact similarity of the item's
+shingles and those of the best run of the document's words at that place,
+weighted by their letters.
 
 The benchmark is worked through in blocks of bounded size, each against all
 documents.
@@ -91,7 +94,7 @@ def pieces(n: int) -> list[tuple[int, int]]:
 class Items:
     """A block of the benchmark, indexed."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], least: float = 0.8):
         raw = [t.encode() for t in texts]
         offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         words, letters, places = _words(np.frombuffer(b"".join(raw), np.uint8), offsets)
@@ -99,10 +102,14 @@ class Items:
         self.sizes = np.diff(places)
         self.sets: list[tuple[np.ndarray, np.ndarray]] = []
         groups: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        anchors: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for i, n in enumerate(self.sizes.tolist()):
             w, length = words[places[i] : places[i + 1]], letters[places[i] : places[i + 1]]
             s = min(SIZE, n)
             self.sets.append(weighted(w, length, s) if n else (np.zeros(0, K.U64), np.zeros(0, np.int64)))
+            if n:
+                mine, at = self._anchors(*self.sets[i], _runs(w, s), least)
+                anchors.setdefault(s, []).append((mine, np.full(len(mine), i), at))
             for window, at in pieces(n) if n else []:
                 k = window - s + 1
                 print_ = int(simhashes(_runs(w[at : at + window], s), [k])[k][0])
@@ -111,6 +118,32 @@ class Items:
         for key, rows in groups.items():
             prints = np.array([r[0] for r in rows], K.U64)
             self.groups[key] = (prints, np.array([r[1:] for r in rows], np.int64), self._index(prints))
+        self.anchors = {}
+        for s, parts in anchors.items():
+            shingles, i, at = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(shingles, kind="stable")
+            occurs = np.zeros(1 << 20, bool)
+            occurs[shingles & K.U64((1 << 20) - 1)] = True
+            self.anchors[s] = (occurs, shingles[order], np.stack([i, at], 1)[order])
+
+    @staticmethod
+    def _anchors(shingles: np.ndarray, weights: np.ndarray, runs: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """The fewest of the shingles that weigh more than 1 - least of all, and where each is first in the item:
+        what shares none of them is less similar than `least`."""
+        order = np.argsort(-weights, kind="stable")
+        enough = int(np.searchsorted(np.cumsum(weights[order]), (1 - least + 1e-9) * weights.sum(), side="right")) + 1
+        chosen = shingles[order[:enough]]
+        by_hash = np.argsort(runs, kind="stable")
+        return chosen, by_hash[np.searchsorted(runs[by_hash], chosen)]
+
+    def anchored(self, runs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, item, offset in the item) of the runs of `size` words that are an anchor."""
+        occurs, mine, of = self.anchors[size]
+        hit = np.flatnonzero(occurs[runs & K.U64((1 << 20) - 1)])
+        lo, hi = np.searchsorted(mine, runs[hit], "left"), np.searchsorted(mine, runs[hit], "right")
+        n = hi - lo
+        rows = of[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+        return np.repeat(hit, n), rows[:, 0], rows[:, 1]
 
     @staticmethod
     def _index(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -166,6 +199,36 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return shared / (int(a[1].sum()) + int(b[1].sum()) - shared)
 
 
+def best_run(item: tuple[np.ndarray, np.ndarray], words: np.ndarray, letters: np.ndarray, size: int, least: float) -> tuple[float, int]:
+    """The highest similarity of the item and any run of these words, and where that run begins; 0.0 if none has `least`.
+
+    The best run begins and ends with a shingle of the item. A shingle counts once in a run: where the one
+    before of its kind is left of the run.
+    """
+    runs = _runs(words, size)
+    if not len(runs):
+        return 0.0, 0
+    at = np.minimum(np.searchsorted(item[0], runs), len(item[0]) - 1)
+    shared = item[0][at] == runs
+    weight = np.convolve(letters, np.ones(size, np.int64), "valid")
+    mine, whole = weight * shared, int(item[1].sum())
+    order = np.argsort(runs, kind="stable")
+    before = np.full(len(runs), -1)
+    again = runs[order[1:]] == runs[order[:-1]]
+    before[order[1:][again]] = order[:-1][again]
+    # what begins here has at most so much of the item
+    starts = np.flatnonzero(shared & (np.cumsum(mine[::-1])[::-1] >= least * whole))
+    best, begin = 0.0, 0
+    for a in starts.tolist():
+        first = before[a:] < a
+        both = np.cumsum(mine[a:] * first)
+        sims = both / (whole + np.cumsum(weight[a:] * first) - both)
+        top = float(sims.max())
+        if top > best:
+            best, begin = top, a
+    return (best, begin) if best >= least else (0.0, 0)
+
+
 def scan(items: Items, least: float):
     """A mapInArrow function from (doc_id, text) to confirmed passages."""
 
@@ -181,6 +244,9 @@ def scan(items: Items, least: float):
                 tried = set()
                 for s, windows in sizes.items():
                     runs, ks = _runs(words, s), [w - s + 1 for w in windows]
+                    start, i, shift = items.anchored(runs, s)
+                    whole = start + s <= ends[start]  # within one text
+                    tried.update(zip((start - shift)[whole].tolist(), i[whole].tolist()))
                     for lo in range(0, len(runs), _STEP):
                         part = runs[lo : lo + _STEP + max(ks) - 1]
                         fit = [k for k in ks if k <= len(part)]
@@ -199,18 +265,13 @@ def scan(items: Items, least: float):
                     doc = int(np.searchsorted(places, min(max(p, 0), len(words) - 1), side="right")) - 1
                     # the window's own text: the passage may begin before it
                     best, begin = 0.0, p
-                    slips = sorted(range(-1 - size // 45, 2 + size // 45), key=abs)  # words put in or left out
                     for d in (doc, doc + 1):
                         if d >= n or not places[d] < p + size or not p < places[d + 1]:
                             continue
-                        for q, more in ((p + x, y) for x in slips for y in slips):
-                            a, b = max(q, int(places[d])), min(q + size + more, int(places[d + 1]))
-                            if b - a >= min(SIZE, size):
-                                sim = similarity(items.sets[i], weighted(words[a:b], letters[a:b], min(SIZE, size)))
-                                if sim > best:
-                                    best, begin, doc = sim, a - int(places[d]), d
-                            if best == 1.0:
-                                break
+                        a, b = max(p - size, int(places[d])), min(p + 2 * size, int(places[d + 1]))
+                        sim, first = best_run(items.sets[i], words[a:b], letters[a:b], min(SIZE, size), least)
+                        if sim > best:
+                            best, begin, doc = sim, a + first - int(places[d]), d
                     if best >= least:
                         key = (at + doc, i)
                         if best > found.get(key, (0.0, 0))[0] or best == found[key][0] and begin < found[key][1]:
@@ -222,7 +283,7 @@ def scan(items: Items, least: float):
     return run
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Items]:
+def _blocks(benchmark: DataFrame, item_id: str, text: str, least: float) -> Iterator[Items]:
     """The benchmark a block of about PASS_WORDS words at a time; the driver holds one block."""
     ids, texts, words = [], [], 0
     for r in benchmark.where(F.col(text).isNotNull()).select(F.col(item_id).cast("long"), F.col(text).cast("string")).toLocalIterator():
@@ -230,10 +291,10 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Items]:
         texts.append(r[1])
         words += r[1].count(" ") + 1
         if words >= PASS_WORDS:
-            yield Items(ids, texts)
+            yield Items(ids, texts, least)
             ids, texts, words = [], [], 0
     if ids:
-        yield Items(ids, texts)
+        yield Items(ids, texts, least)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -248,7 +309,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, text
     spark = docs.sparkSession
     bare = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = None
-    for items in _blocks(benchmark, item_id, item_text):
+    for items in _blocks(benchmark, item_id, item_text, least):
         part = bare.mapInArrow(scan(items, least), "doc_id long, item_id long, similarity double, first_word long")
         out = part if out is None else out.unionByName(part)
     if out is None:
@@ -264,7 +325,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFram
     """
     out = docs
     names = docs.columns
-    for items in _blocks(benchmark, "item_id", "text"):
+    for items in _blocks(benchmark, "item_id", "text", least):
         found = scan(items, least)
 
         def keep(batches: Iterator[pa.RecordBatch], found=found) -> Iterator[pa.RecordBatch]:

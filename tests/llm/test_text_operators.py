@@ -284,6 +284,33 @@ def test_edited_passages(spark, make_docs):
     assert len(want) > 60 and got >= want and all(d // 1000 == i for d, i in got), want - got
 
 
+def test_edits_in_the_overlap_of_windows_and_at_the_other_end(spark, make_docs):
+    """For every length from 15 to 59 one word in the middle changed, put in or left out, and one at an end, against all runs."""
+    rng = np.random.default_rng(11)
+    word = lambda n: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(n)]
+    items, docs = [], []
+    for n in range(15, 60):
+        w = word(n)
+        items.append((n, " ".join(w)))
+        made = [w[1:-1], w[2:], w[: n - n // 8]]
+        for k, end in ((n // 4 + n // 8, n - 1), (5 * n // 8, 0), (n // 3, n - 1)):
+            for middle in ([w[k] + "x"], [], [w[k], word(1)[0]]):
+                made += [w[:k] + middle + w[k + 1 : -1] + word(1)] if end else [word(1) + w[1:k] + middle + w[k + 1 :]]
+        docs += [(1000 * n + i, " ".join(word(37) + m + word(23))) for i, m in enumerate(made)]
+    parsed = {i: decontaminate._words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])) for i, t in items + docs}
+    own = {i: decontaminate.weighted(*parsed[i][:2], 5) for i, _ in items}
+    want = {}
+    for d, _ in docs:
+        n, (h, letters, _) = d // 1000, parsed[d]
+        most = max(decontaminate.similarity(own[n], decontaminate.weighted(h[a : a + k], letters[a : a + k], 5)) for a in range(33, 45) for k in range(max(n - n // 4, 5), n + 3))
+        if most >= 0.8:
+            want[d, n] = most
+    got = decontaminate.contaminated(make_docs(*docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): r.similarity for r in got}
+    assert len(want) > 150 and got.keys() == want.keys(), want.keys() ^ got.keys()
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_contaminated(spark, make_docs, messy):
     items = [(1, words(300, 40)), (2, words(301, 55)), (3, None), (4, ""), (5, "just three words"), (6, words(302, 17)), (7, words(300, 40))]
     benchmark = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
