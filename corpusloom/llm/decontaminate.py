@@ -101,49 +101,45 @@ class Items:
         self.ids = ids
         self.sizes = np.diff(places)
         self.sets: list[tuple[np.ndarray, np.ndarray]] = []
-        groups: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        anchors: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        groups: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        anchors: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for i, n in enumerate(self.sizes.tolist()):
             w, length = words[places[i] : places[i + 1]], letters[places[i] : places[i + 1]]
             s = min(SIZE, n)
             self.sets.append(weighted(w, length, s) if n else (np.zeros(0, K.U64), np.zeros(0, np.int64)))
             if n:
-                mine, at = self._anchors(*self.sets[i], _runs(w, s), least)
-                anchors.setdefault(s, []).append((mine, np.full(len(mine), i), at))
+                mine = self._anchors(*self.sets[i], least)
+                anchors.setdefault(s, []).append((mine, np.full(len(mine), i)))
             for window, at in pieces(n) if n else []:
                 k = window - s + 1
                 print_ = int(simhashes(_runs(w[at : at + window], s), [k])[k][0])
-                groups.setdefault((s, window), []).append((print_, i, at))
+                groups.setdefault((s, window), []).append((print_, i))
         self.groups = {}
         for key, rows in groups.items():
             prints = np.array([r[0] for r in rows], K.U64)
-            self.groups[key] = (prints, np.array([r[1:] for r in rows], np.int64), self._index(prints))
+            self.groups[key] = (prints, np.array([r[1] for r in rows], np.int64), self._index(prints))
         self.anchors = {}
         for s, parts in anchors.items():
-            shingles, i, at = (np.concatenate(x) for x in zip(*parts))
+            shingles, i = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(shingles, kind="stable")
             occurs = np.zeros(1 << 20, bool)
             occurs[shingles & K.U64((1 << 20) - 1)] = True
-            self.anchors[s] = (occurs, shingles[order], np.stack([i, at], 1)[order])
+            self.anchors[s] = (occurs, shingles[order], i[order])
 
     @staticmethod
-    def _anchors(shingles: np.ndarray, weights: np.ndarray, runs: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """The fewest of the shingles that weigh more than 1 - least of all, and where each is first in the item:
-        what shares none of them is less similar than `least`."""
+    def _anchors(shingles: np.ndarray, weights: np.ndarray, least: float) -> np.ndarray:
+        """The fewest of the shingles that weigh more than 1 - least of all: what shares none of them is less similar than `least`."""
         order = np.argsort(-weights, kind="stable")
         enough = int(np.searchsorted(np.cumsum(weights[order]), (1 - least + 1e-9) * weights.sum(), side="right")) + 1
-        chosen = shingles[order[:enough]]
-        by_hash = np.argsort(runs, kind="stable")
-        return chosen, by_hash[np.searchsorted(runs[by_hash], chosen)]
+        return shingles[order[:enough]]
 
-    def anchored(self, runs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, item, offset in the item) of the runs of `size` words that are an anchor."""
+    def anchored(self, runs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, item) of the runs of `size` words that are an anchor."""
         occurs, mine, of = self.anchors[size]
         hit = np.flatnonzero(occurs[runs & K.U64((1 << 20) - 1)])
         lo, hi = np.searchsorted(mine, runs[hit], "left"), np.searchsorted(mine, runs[hit], "right")
         n = hi - lo
-        rows = of[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-        return np.repeat(hit, n), rows[:, 0], rows[:, 1]
+        return np.repeat(hit, n), of[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
 
     @staticmethod
     def _index(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -244,9 +240,9 @@ def scan(items: Items, least: float):
                 tried = set()
                 for s, windows in sizes.items():
                     runs, ks = _runs(words, s), [w - s + 1 for w in windows]
-                    start, i, shift = items.anchored(runs, s)
+                    start, i = items.anchored(runs, s)
                     whole = start + s <= ends[start]  # within one text
-                    tried.update(zip((start - shift)[whole].tolist(), i[whole].tolist()))
+                    tried.update(zip(start[whole].tolist(), i[whole].tolist()))
                     for lo in range(0, len(runs), _STEP):
                         part = runs[lo : lo + _STEP + max(ks) - 1]
                         fit = [k for k in ks if k <= len(part)]
@@ -257,21 +253,17 @@ def scan(items: Items, least: float):
                                 continue
                             start = where + lo
                             whole = start + key[1] <= ends[start]  # within one text
-                            for p, row in zip(start[whole].tolist(), rows[whole].tolist()):
-                                i, shift = items.groups[key][1][row].tolist()
-                                tried.add((p - shift, i))
+                            tried.update(zip(start[whole].tolist(), items.groups[key][1][rows[whole]].tolist()))
+                # the window's own text, in stretches of the item's size and twice that on either side
+                stretches = set()
                 for p, i in tried:
-                    size = int(items.sizes[i])
-                    doc = int(np.searchsorted(places, min(max(p, 0), len(words) - 1), side="right")) - 1
-                    # the window's own text: the passage may begin before it
-                    best, begin = 0.0, p
-                    for d in (doc, doc + 1):
-                        if d >= n or not places[d] < p + size or not p < places[d + 1]:
-                            continue
-                        a, b = max(p - size, int(places[d])), min(p + 2 * size, int(places[d + 1]))
-                        sim, first = best_run(items.sets[i], words[a:b], letters[a:b], min(SIZE, size), least)
-                        if sim > best:
-                            best, begin, doc = sim, a + first - int(places[d]), d
+                    doc = int(np.searchsorted(places, p, side="right")) - 1
+                    stretches.add((doc, i, (p - int(places[doc])) // int(items.sizes[i])))
+                for doc, i, k in sorted(stretches):
+                    size, first, last = int(items.sizes[i]), int(places[doc]), int(places[doc + 1])
+                    a, b = first + max((k - 2) * size, 0), min(first + (k + 3) * size, last)
+                    best, begin = best_run(items.sets[i], words[a:b], letters[a:b], min(SIZE, size), least)
+                    begin += a - first
                     if best >= least:
                         key = (at + doc, i)
                         if best > found.get(key, (0.0, 0))[0] or best == found[key][0] and begin < found[key][1]:

@@ -311,6 +311,17 @@ def test_edits_in_the_overlap_of_windows_and_at_the_other_end(spark, make_docs):
     assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_passages_that_open_a_text_after_short_rows(make_docs, spark):
+    """A passage that lost its first words is found whatever rows are before it, and in its own row only."""
+    item = words(310, 72).split(" ")
+    docs = [(1, words(5, 50)), (2, ""), (3, " ".join(item[3:])), (4, None), (5, "one two"), (6, " ".join(item[2:] + ["end"])), (7, "a"), (8, " ".join(["x", *item[1:]]))]
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for order in (docs, docs[::-1], [d for d in docs if d[0] in (3, 6, 8)]):
+        got = decontaminate.contaminated(make_docs(*order).coalesce(1), benchmark).collect()
+        assert {(r.doc_id, r.first_word) for r in got} == {(3, 0), (6, 0), (8, 1)} and len(got) == 3
+    assert {r.doc_id for r in decontaminate.clean(make_docs(*docs).coalesce(1), benchmark).collect()} == {1, 2, 4, 5, 7}
+
+
 def test_contaminated(spark, make_docs, messy):
     items = [(1, words(300, 40)), (2, words(301, 55)), (3, None), (4, ""), (5, "just three words"), (6, words(302, 17)), (7, words(300, 40))]
     benchmark = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
