@@ -6,9 +6,9 @@ a set of (trie node, edits so far), and it moves on one byte of a word. States
 are made as texts need them and remembered, so a block of words runs through
 the automaton as array look-ups, all words in step, and most die early.
 
-A hit counts by its term's log-odds; one with edits by odds of its own, which
-start below those of the term and fall with every clean document that has such
-a hit. A hit is seen in a window of words around it: hits near one another or near an address of the reader strengthen each
+A hit counts by its term's log-odds; one with edits by odds of its spelling, which
+start below those of the term and fall with every clean document that has that
+spelling. A hit is seen in a window of words around it: hits near one another or near an address of the reader strengthen each
 other, and hits within quotation marks or after a word of reporting weaken. A
 logistic model turns the sums into a score.
 """
@@ -161,17 +161,27 @@ def _words_by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 N_FEATURES = 6
-#: What a word with edits has less, before evidence, than the term's log-odds; and what a further edit leaves.
-MISSPELT, FURTHER = 3.0, 0.8
+#: What a word with edits has less, before evidence, than the term's log-odds; the share of these that it has at least; and what a further edit leaves.
+MISSPELT, UNSEEN, FURTHER = 3.0, 0.25, 0.8
+
+
+def unseen(odds: float) -> float:
+    """The log-odds of a misspelling of which no labelled document tells."""
+    return max(odds - MISSPELT, UNSEEN * odds)
 
 
 class Scorer:
-    """Features of texts under a lexicon of (term, log-odds, log-odds with edits)."""
+    """Features of texts under a lexicon of (term, log-odds, ((misspelling, log-odds), ...)), the misspellings
+    being those that labelled documents have."""
 
-    def __init__(self, lexicon: list[tuple[str, float, float]]):
+    def __init__(self, lexicon: list[tuple[str, float, tuple]]):
         self.automaton = Automaton([t for t, _, _ in lexicon])
         self.odds = np.array([o for _, o, _ in lexicon] + [0.0])
-        self.misspelt = np.array([m for _, _, m in lexicon] + [0.0])
+        self.misspelt = np.array([unseen(o) for _, o, _ in lexicon] + [0.0])
+        seen = [pair for _, _, spellings in lexicon for pair in spellings]
+        hashes = np.array(self._hash(tuple(w for w, _ in seen)), np.uint64)
+        order = np.argsort(hashes)
+        self.seen, self.seen_odds = hashes[order], np.array([o for _, o in seen])[order]
         self.address = set(self._hash(ADDRESS))
         self.reports = set(self._hash(REPORTS))
 
@@ -181,20 +191,26 @@ class Scorer:
         ends = np.cumsum([len(r) for r in raw])
         return K.span_hashes(np.frombuffer(b"".join(raw), np.uint8), ends - [len(r) for r in raw], ends, lower=False).tolist()
 
-    def edited(self, column: pa.Array) -> list[np.ndarray]:
-        """For each text the terms that it has with edits."""
-        out = [np.zeros(0, np.int64)] * len(column)
+    def edited(self, column: pa.Array) -> Iterator[tuple[int, int, str]]:
+        """(text, term, word) of the words that are a term with edits, once for each text."""
         for at, n, data, offsets in K.text_blocks(_lowered(column)):
             starts, ends, places = K.word_spans(data, offsets, K.NOT_ALNUM)
             if not len(starts):
                 continue
             codes, one = _distinct(data, starts, ends)
             term, edits = self.automaton.match(data, starts[one], ends[one])
-            term = np.where(edits > 0, term, -1)[codes]
-            for i in range(n):
-                mine = term[places[i] : places[i + 1]]
-                out[at + i] = np.unique(mine[mine >= 0])
-        return out
+            hit = np.flatnonzero(((term >= 0) & (edits > 0))[codes])
+            doc = np.searchsorted(places, hit, side="right") - 1
+            for i, c in np.unique(np.stack([doc, codes[hit]], 1), axis=0).tolist():
+                yield at + i, int(term[c]), data[starts[one[c]] : ends[one[c]]].tobytes().decode("utf-8", "replace")
+
+    def _values(self, hashes: np.ndarray, term: np.ndarray, edits: np.ndarray) -> np.ndarray:
+        """The log-odds of words of these terms and edits."""
+        misspelt = self.misspelt[term]
+        if len(self.seen):
+            at = np.minimum(np.searchsorted(self.seen, hashes), len(self.seen) - 1)
+            misspelt = np.where(self.seen[at] == hashes, self.seen_odds[at], misspelt)
+        return np.where(edits == 0, self.odds[term], misspelt * FURTHER ** np.maximum(edits - 1, 0))
 
     def features(self, column: pa.Array) -> np.ndarray:
         out = np.zeros((len(column), N_FEATURES))
@@ -207,11 +223,12 @@ class Scorer:
             one = np.empty(len(distinct), np.int64)
             one[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             term, edits = self.automaton.match(data, starts[one], ends[one])
-            value = np.where(edits == 0, self.odds[term], self.misspelt[term] * FURTHER ** np.maximum(edits - 1, 0))
+            value = self._values(distinct, term, edits)
             hit = np.flatnonzero(((term >= 0) & (value > 0))[codes])
             if not len(hit):
                 continue
             weight = value[codes[hit]]
+            share = weight / self.odds[term[codes[hit]]]  # of a hit without edits
             doc = np.searchsorted(places, hit, side="right") - 1
             lo, hi = np.maximum(hit - WINDOW, places[doc]), np.minimum(hit + WINDOW + 1, places[doc + 1])
             # other hits, words of address and of reporting within the window
@@ -227,8 +244,9 @@ class Scorer:
             score = total(weight * context)
             most = np.zeros(n)
             np.maximum.at(most, doc, weight * context)
-            hits = total(np.ones(len(hit)))
-            out[at : at + n] = np.stack([np.log1p(score), most, np.log1p(hits), np.log1p(100 * score / np.maximum(words, 20)), np.log1p(total(quoted | told)), (hits > 0).astype(float)], 1)
+            hits, any_ = total(share), np.zeros(n)
+            np.maximum.at(any_, doc, share)
+            out[at : at + n] = np.stack([np.log1p(score), most, np.log1p(hits), np.log1p(100 * score / np.maximum(words, 20)), np.log1p(total((quoted | told) * share)), any_], 1)
         return out
 
     @staticmethod
@@ -246,7 +264,7 @@ class Scorer:
 _scorers: dict[tuple, Scorer] = {}
 
 
-def _scorer(lexicon: list[tuple[str, float, float]]) -> Scorer:
+def _scorer(lexicon: list[tuple[str, float, tuple]]) -> Scorer:
     key = tuple(lexicon)
     if key not in _scorers:
         _scorers.clear()
@@ -296,24 +314,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, sam
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     best = words.where((F.col("toxic") >= LEAST_DOCS) & (F.length("word") >= 3)).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
     # at most TERMS rows come here
-    terms = [(r["word"], float(r["odds"]), 0.0) for r in best.orderBy(F.desc("odds"), F.desc("toxic"), "word").limit(TERMS).collect()]
+    terms = [(r["word"], float(r["odds"]), ()) for r in best.orderBy(F.desc("odds"), F.desc("toxic"), "word").limit(TERMS).collect()]
 
     def misspelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, y = _scorer(terms).edited(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
-            t, of = np.concatenate([np.zeros(0, np.int64), *found]), np.repeat(y, [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)), pa.array((of == 1).astype(np.int64)), pa.array((of != 1).astype(np.int64))], names=["term", "toxic", "clean"])
-
-    # a row for each term at most
-    seen = {r["term"]: (r["toxic"], r["clean"]) for r in rows.mapInArrow(misspelt, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()} if terms else {}
-
-    def edited_odds(i: int, odds: float) -> float:
-        """Odds from the documents seen and from one imagined toxic one, with as many clean ones as odds - MISSPELT ask for."""
-        t, c = seen.get(i, (0, 0))
-        return math.log((t + 1) / toxic) - math.log((c + clean / toxic * math.exp(MISSPELT - odds)) / clean)
-
-    # with edits a term counts only at the odds that a term needs
-    lexicon = [(w, o, m if (m := min(o, edited_odds(i, o))) >= LEAST_ODDS else 0.0) for i, (w, o, _) in enumerate(terms)]
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            found = [(t, w, int(y[i] == 1), int(y[i] != 1)) for i, t, w in _scorer(terms).edited(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["term", "word", "toxic", "clean"])
+
+    def spelling_odds(t: int, c: int, odds: float) -> float:
+        """Odds from the documents seen and from one imagined toxic one, with as many clean ones as the odds unseen ask for."""
+        return math.log((t + 1) / toxic) - math.log((c + clean / toxic * math.exp(-unseen(odds))) / clean)
+
+    # the words of at most `sample` documents that are near a term
+    seen = rows.mapInArrow(misspelt, "term long, word string, toxic long, clean long").groupBy("term", "word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).orderBy("term", "word").collect() if terms else []
+    spellings: list[list[tuple[str, float]]] = [[] for _ in terms]
+    for r in seen:
+        odds_ = terms[r["term"]][1]
+        spellings[r["term"]].append((r["word"], max(0.0, min(odds_, spelling_odds(r["toxic"], r["clean"], odds_)))))
+    lexicon = [(w, o, tuple(s)) for (w, o, _), s in zip(terms, spellings)]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

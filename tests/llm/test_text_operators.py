@@ -186,6 +186,15 @@ def test_toxicity(spark, make_docs, messy):
     assert left.columns == d.columns and {r["doc_id"] for r in left.collect()} >= {1501, 2004, 2005, None} and left.where("doc_id in (0, 4, 1500)").count() == 0
 
 
+def test_misspellings_by_spelling_and_with_few_labels(spark, make_docs):
+    """An unseen misspelling counts less than the term but more than nothing; one that clean documents have does not count, alone."""
+    texts = [(i, words(i, 40) + (" worthless " if i % 5 == 0 else " worthlens " if i % 5 == 1 else " ") + words(900 + i, 20)) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    probes = [(100, words(7, 50)), (101, words(7, 50) + " worthlexs"), (102, words(7, 50) + " worthlens"), (103, words(7, 50) + " worthless")]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(make_docs(*probes), toxicity.fit(make_docs(*texts), labels)).collect()}
+    assert got[100] == got[102] < got[101] < got[103]
+
+
 def test_scores_without_labels(spark, make_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     d = make_docs((1, "a b c"), (2, None))
