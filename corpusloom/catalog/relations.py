@@ -66,6 +66,18 @@ p AS (SELECT path, x AS other, 0.8::DOUBLE AS w FROM m UNION ALL SELECT m.path,
 SELECT path, other, round(sum(w), 6) AS w FROM p GROUP BY 1, 2"""
 
 
+@query
+def similar_graph_whole(spark, sf_dir):
+    """All pairs of nodes with a direct link or a common neighbour, over links of all types."""
+    n = B.nodes(spark, sf_dir)
+    return G.graph_part(n, B.links(spark, sf_dir), n).select("path", "other", F.round("w", 6).alias("w"))
+
+
+ORACLES["similar_graph_whole"] = f"""WITH {B.LINKS_SQL}, l AS (SELECT src, dst FROM links WHERE src <> dst), near AS (SELECT path, x, count(*) AS c FROM (SELECT src AS path, dst AS x FROM l UNION ALL SELECT dst, src FROM l) GROUP BY 1, 2),
+deg AS (SELECT path, sum(c) AS deg FROM near GROUP BY 1), p AS (SELECT path, x AS other, 0.8::DOUBLE * c AS w FROM near UNION ALL SELECT m.path, n.x, sum(m.c * n.c * 1.1::DOUBLE / log2(2 + deg)) FROM near m JOIN deg d ON d.path = m.x JOIN near n ON n.path = m.x WHERE n.x <> m.path GROUP BY 1, 2)
+SELECT path, other, round(sum(w), 6) AS w FROM p GROUP BY 1, 2"""
+
+
 def _part_notes(spark, sf_dir):
     p = B.table(spark, sf_dir, "part")
     return p.select(F.concat(F.lit("part/"), "p_partkey").alias("path"), F.array(F.concat_ws("/", "p_brand", "p_size"), F.concat_ws("/", "p_type", "p_size")).alias("tags"))

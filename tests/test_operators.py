@@ -156,3 +156,29 @@ def test_queries_match_their_sql(spark, sf):
     assert tidy(queries["bm25_search"](spark, sf).collect()) == one
     spark.conf.set("spark.sql.shuffle.partitions", old)
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_whole_graph_similarity_has_every_node(spark, sf):
+    """All nodes over all link types against brute force; repeated links count each."""
+    import math
+    from collections import Counter, defaultdict
+
+    from corpusloom import catalog
+    from corpusloom.sources import bindings as B
+
+    near = defaultdict(Counter)
+    for r in B.links(spark, sf).collect():
+        if r.src != r.dst:
+            near[r.src][r.dst] += 1
+            near[r.dst][r.src] += 1
+    want = Counter()
+    for x, around in near.items():
+        each = 1.1 / math.log2(2 + sum(around.values()))
+        for a, m in around.items():
+            want[x, a] += 0.8 * m
+            for b, n in around.items():
+                if a != b:
+                    want[a, b] += m * n * each
+    got = {(r.path, r.other): r.w for r in catalog.QUERIES["similar_graph_whole"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    assert {p.split("/")[0] for p, _ in got} == {"customer", "order", "part", "nation", "region", "supplier"}
