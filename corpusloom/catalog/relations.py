@@ -182,6 +182,17 @@ n AS (SELECT m.p AS entity, l.p AS other, count(*) AS n FROM m JOIN l ON l.o = m
 SELECT entity, other, n FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC, other) AS r FROM n) WHERE r <= 6"""
 
 
+@query
+def co_mentioned_whole(spark, sf_dir):
+    """For every part the six that share the most orders with it."""
+    of = B.table(spark, sf_dir, "part").select(F.concat(F.lit("part/"), "p_partkey").alias("path"))
+    return E.near(B.links(spark, sf_dir), of, kind="relates")
+
+
+ORACLES["co_mentioned_whole"] = """WITH l AS (SELECT DISTINCT l_orderkey AS o, 'part/' || l_partkey AS p FROM lineitem), n AS (SELECT m.p AS entity, l.p AS other, count(*) AS n FROM l AS m JOIN l ON l.o = m.o AND l.p <> m.p GROUP BY 1, 2)
+SELECT entity, other, n FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC, other) AS r FROM n) WHERE r <= 6"""
+
+
 @query
 def entity_stats(spark, sf_dir):
     return E.stats(B.entities(spark, sf_dir), B.links(spark, sf_dir))

@@ -182,3 +182,18 @@ def test_whole_graph_similarity_has_every_node(spark, sf):
     got = {(r.path, r.other): r.w for r in catalog.QUERIES["similar_graph_whole"](spark, sf).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
     assert {p.split("/")[0] for p, _ in got} == {"customer", "order", "part", "nation", "region", "supplier"}
+
+
+def test_co_mentions_of_every_part(spark, sf):
+    from collections import Counter, defaultdict
+
+    from corpusloom import catalog
+
+    parts, count = defaultdict(set), defaultdict(Counter)
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
+        parts[r[0]].add(f"part/{r[1]}")
+    for here in parts.values():
+        for a in here:
+            count[a].update(here - {a})
+    want = {(a, b, n) for a, c in count.items() for b, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:6]}
+    assert {tuple(r) for r in catalog.QUERIES["co_mentioned_whole"](spark, sf).select("entity", "other", "n").collect()} == want
