@@ -233,7 +233,7 @@ def louvain_clusters(spark, sf_dir):
 
 
 def _doc_clusters(spark, sf_dir):
-    sim = relations._similar(spark, sf_dir, 3).select(F.col("path").alias("src"), F.col("other").alias("dst"), F.col("score").alias("w"))
+    sim = relations._similar_whole(spark, sf_dir, 3).select(F.col("path").alias("src"), F.col("other").alias("dst"), F.col("score").alias("w"))
     return C.spread_labels(sim)
 
 

@@ -109,6 +109,25 @@ _SIM = f"""WITH {KEYWORDS_SQL}, {_KW_PART}, {B.NOTES_SQL}, sim AS (SELECT path,
 ORACLES["similar_notes"] = f"{_SIM} SELECT * FROM sim"
 
 
+def _similar_whole(spark, sf_dir, limit=8):
+    n = B.table(spark, sf_dir, "documents").count()
+    notes = B.notes(spark, sf_dir).select("path", "tags", F.lit(0).alias("deg"), (F.col("lang") == "de").alias("chronicle"), (F.col("klass") != "evidence").alias("shown"))
+    return G.similar_with_tags([G.keyword_part(_keywords(spark, sf_dir), n)], notes, limit)
+
+
+@query
+def similar_notes_whole(spark, sf_dir):
+    """Similar notes by shared keywords and shared tags; documents have no links, so no links or degrees."""
+    return _similar_whole(spark, sf_dir)
+
+
+ORACLES["similar_notes_whole"] = f"""WITH {KEYWORDS_SQL}, {_KW_PART}, {B.NOTES_SQL}, t AS (SELECT path, unnest(tags) AS tag FROM notes), held AS (SELECT tag, count(*) AS h FROM t GROUP BY 1),
+tpart AS (SELECT a.path, b.path AS other, sum(1.4::DOUBLE / log2(2 + h)) AS w FROM t a JOIN held ON a.tag = held.tag JOIN t b ON a.tag = b.tag AND a.path <> b.path GROUP BY 1, 2),
+every AS (SELECT path, other, sum(w) AS w FROM (SELECT * FROM kpart UNION ALL SELECT * FROM tpart) GROUP BY 1, 2)
+SELECT path, other, score FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, other) AS r FROM
+(SELECT k.path, other, round(w * (CASE WHEN lang = 'de' THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END) / log2(2), 6) AS score FROM every k JOIN notes n ON n.path = other WHERE klass <> 'evidence')) WHERE r <= 8"""
+
+
 @query
 def tag_suggestions(spark, sf_dir):
     """For each note the nine tags with the most similarity among its eight nearest."""

@@ -197,3 +197,25 @@ def test_co_mentions_of_every_part(spark, sf):
             count[a].update(here - {a})
     want = {(a, b, n) for a, c in count.items() for b, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:6]}
     assert {tuple(r) for r in catalog.QUERIES["co_mentioned_whole"](spark, sf).select("entity", "other", "n").collect()} == want
+
+
+def test_similar_notes_with_tags_are_those_of_all_pairs(spark, sf):
+    """Keywords, links, degrees and tags together, by sets of tags as by pairs; pairs that share tags only are there."""
+    from corpusloom import catalog
+    from corpusloom.operators import similar as X
+
+    paths = [f"n{i:03d}" for i in range(120)]
+    tags = [[x for x, k in (("big", 1), ("even", 2), ("third", 3), ("rare", 37)) if i % k == 0 and i % 11] for i in range(120)]
+    notes = spark.createDataFrame([(p, t, i % 4, i % 5 == 0, i % 7 > 0) for i, (p, t) in enumerate(zip(paths, tags))], "path string, tags array<string>, deg long, chronicle boolean, shown boolean")
+    words = spark.createDataFrame([(p, f"w{i * 7 % k}") for i, p in enumerate(paths) for k in (31, 53)], "path string, term string").distinct()
+    links = spark.createDataFrame([(paths[i], paths[i * 5 % 120]) for i in range(0, 120, 4)], "src string, dst string")
+    parts = [X.keyword_part(words, 120), X.graph_part(notes, links, notes)]
+    rows = lambda df: sorted(tuple(r) for r in df.select("path", "other", "score").collect())
+    got, want = rows(X.similar_with_tags(parts, notes)), rows(X.similar([*parts, X.tag_part(notes, notes)], notes))
+    assert got == want and got != rows(X.similar(parts, notes))
+    assert set(catalog.QUERIES["similar_notes_whole"](spark, sf).columns) == {"path", "other", "score"}
+    from corpusloom.catalog import relations
+
+    near = relations._similar_whole(spark, sf, 3)
+    ends = {r[0] for r in near.select("path").union(near.select("other")).collect()}
+    assert {r.path for r in catalog.QUERIES["label_spreading"](spark, sf).collect()} == ends
