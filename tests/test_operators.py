@@ -219,3 +219,23 @@ def test_similar_notes_with_tags_are_those_of_all_pairs(spark, sf):
     near = relations._similar_whole(spark, sf, 3)
     ends = {r[0] for r in near.select("path").union(near.select("other")).collect()}
     assert {r.path for r in catalog.QUERIES["label_spreading"](spark, sf).collect()} == ends
+
+
+def test_layout_of_a_large_component(spark):
+    """Repulsion by squares is near that of all pairs; a component above the limit is laid out, not put on a circle."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 150, (1500, 2)), rng.normal(500, 20, (500, 2)), np.full((3, 2), 7.0)])
+    d = x[:, None] - x[None]
+    r = (d**2).sum(2) + 1.0
+    exact = (d * (np.where(r < 160_000, 1800 / r, 0.0) / np.sqrt(r))[:, :, None]).sum(1)
+    assert np.linalg.norm(C.repulsion(x) - exact) < 0.05 * np.linalg.norm(exact)
+    assert np.linalg.norm(C.repulsion(x, theta=1e-9) - exact) < 1e-6 * np.linalg.norm(exact)
+    names = [f"n{i}" for i in range(300)]
+    links = spark.createDataFrame([(a, b) for a, b in zip(names, names[1:])], "src string, dst string")
+    component = spark.createDataFrame([(a, "c") for a in names], "path string, component string")
+    got = {r.path: np.array([r.x, r.y]) for r in C.force_layout(links, component, most=100).collect()}
+    assert got.keys() == set(names) and np.ptp([np.hypot(*p) for p in got.values()]) > 50
+    apart = lambda k: np.median([np.hypot(*(got[a] - got[b])) for a, b in zip(names, names[k:])])
+    assert apart(1) < apart(100)
