@@ -239,3 +239,15 @@ def test_layout_of_a_large_component(spark):
     assert got.keys() == set(names) and np.ptp([np.hypot(*p) for p in got.values()]) > 50
     apart = lambda k: np.median([np.hypot(*(got[a] - got[b])) for a, b in zip(names, names[k:])])
     assert apart(1) < apart(100)
+
+
+def test_modularity_of_a_component_of_many_links(spark):
+    """One node with a chain around it, above 200,000 links, is clustered as the same shape is below."""
+    n = 100_100
+    name = "format_string('o%06d', id)"
+    spokes = spark.range(n).selectExpr(f"{name} AS src", "'c' AS dst", "1.6D AS w")
+    chain = spark.range(1, n).selectExpr(f"{name} AS src", "format_string('o%06d', id - 1) AS dst", "1.6D AS w")
+    component = spark.range(n).selectExpr(f"{name} AS path", "'k' AS component")
+    got = C.modularity_clusters(spokes.unionByName(chain), component)
+    sizes = [r["count"] for r in got.groupBy("cluster").count().collect()]
+    assert sum(sizes) == n + 1 and len(sizes) > 100 and max(sizes) < n / 4
