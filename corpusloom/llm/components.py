@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import drop, materialise
+from corpusloom.llm.common import drop, materialise, tidy
 
 
 class Forest:
@@ -55,7 +55,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     of which moves at most two rows for each link. Rounds are written to the shared folder.
     """
     spark = links.sparkSession
-    links = links.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src <> dst").mapInArrow(_thin, "src long, dst long")
+    links = links.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src <> dst").mapInArrow(tidy(_thin), "src long, dst long")
     # src is always above dst from here on
     now = materialise(links.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "cc")
     for _ in range(max_rounds):

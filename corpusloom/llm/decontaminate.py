@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm import kernels as K
+from corpusloom.llm.common import tidy
 
 SIZE, RADIUS = 5, 3
 #: Words of the benchmark that one pass over the documents carries.
@@ -302,7 +303,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, text
     bare = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = None
     for items in _blocks(benchmark, item_id, item_text, least):
-        part = bare.mapInArrow(scan(items, least), "doc_id long, item_id long, similarity double, first_word long")
+        part = bare.mapInArrow(tidy(scan(items, least)), "doc_id long, item_id long, similarity double, first_word long")
         out = part if out is None else out.unionByName(part)
     if out is None:
         kinds = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType())])
@@ -329,5 +330,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFram
                     hit[got.column(0).to_numpy()] = True
                 yield batch.filter(pa.array(~hit))
 
-        out = out.mapInArrow(keep, docs.schema)
+        out = out.mapInArrow(tidy(keep), docs.schema)
     return out

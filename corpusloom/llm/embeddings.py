@@ -24,20 +24,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import kernels as K
-from corpusloom.llm.common import map_groups, materialise
+from corpusloom.llm.common import map_groups, materialise, resident, tidy
 from corpusloom.llm.components import Forest, components
 
 WIDTH, DEPTH, TABLES, BLOCK = 2.5, 22, 44, 1024
 _ROWS = 1024
-_maps: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _map(dim: int) -> tuple[np.ndarray, np.ndarray]:
-    if dim not in _maps:
+    def build() -> tuple[np.ndarray, np.ndarray]:
         n = DEPTH * TABLES
         shift = (K.splitmix(47, n) >> K.U64(11)).astype(float) / (1 << 53) * WIDTH
-        _maps[dim] = K.normals(43, n * dim).reshape(dim, n), shift
-    return _maps[dim]
+        return K.normals(43, n * dim).reshape(dim, n), shift
+
+    return resident(("projections", dim), build)
 
 
 def table_keys(x: np.ndarray, salt: np.ndarray) -> np.ndarray:
@@ -134,7 +134,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_id"
     n_links and as one in components. An empty table gives an empty result.
     """
     base = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"), F.col(label).cast("string").alias("label"))
-    sketch = materialise(base.where("vec_id is not null and label is not null and embedding is not null").mapInArrow(_sketch, _SKETCH), "vectors")
+    sketch = materialise(base.where("vec_id is not null and label is not null and embedding is not null").mapInArrow(tidy(_sketch), _SKETCH), "vectors")
     classes = materialise(sketch.groupBy("one", "two").agg(F.min("vec_id").alias("cls"), F.count("*").alias("copies")), "classes")
     reps = sketch.join(classes, ["one", "two"]).where("vec_id = cls").select("cls", "copies", "x", "keys")
     reps = materialise(reps, "reps")

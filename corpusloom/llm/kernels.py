@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one block holds, if no single text is longer.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: The white space of the word contract: space and U+0009 to U+000D.
 WHITE = np.zeros(256, bool)
 WHITE[[32, *range(9, 14)]] = True
@@ -60,7 +60,7 @@ def _powers(base: int, n: int) -> np.ndarray:
             step = min(done, size - done)
             np.multiply(have[:step], U64(pow(base, done, 1 << 64)), out=have[done : done + step])
             done += step
-        if size <= 4 * BLOCK_BYTES:
+        if size <= BLOCK_BYTES + 1:  # those of a longer text go with it
             _POW[base] = have
     return have[:n]
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.llm import kernels as K
-from corpusloom.llm.common import materialise, new_path, shuffle_partitions
+from corpusloom.llm.common import materialise, new_path, resident, shuffle_partitions, tidy
 
 MAGIC = b"PLANEIDS"
 BLOCK_IDS = 1 << 18
@@ -287,13 +287,8 @@ class Encoder:
         return out, counts + 1
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return resident(("encoder", path), lambda: Encoder(path))
 
 
 # ---------------------------------------------------------------- the operator
@@ -331,7 +326,7 @@ def write_token_ids(docs: DataFrame, vocabulary: str, end_id: int = 1, planes: s
             out.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "path": [uri], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
-    shards = materialise(dealt.mapInArrow(run, "shard int, path string, n_docs long, n_tokens long"), "shard-list")
+    shards = materialise(dealt.mapInArrow(tidy(run), "shard int, path string, n_docs long, n_tokens long"), "shard-list")
     # as many rows as shards
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return shards.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -351,7 +346,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(starts.astype(np.int64)), pa.array(shard.counts.astype(np.int64)), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = shards.select("path", "start")
-    return rows.repartition(max(1, shuffle_partitions(rows.sparkSession)), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.repartition(max(1, shuffle_partitions(rows.sparkSession)), "path").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_ids(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
