@@ -7,11 +7,18 @@ root of what separate tables would take. Documents that share a table key are
 candidates; every link is confirmed on the full shingle sets.
 
 Documents with equal shingle sets form one class first, and only one member of
-a class is compared. Candidates are not expanded into pairs: each key links its
-members to the smallest one, the components of these links are the candidate
-groups, and a group's texts travel together, split into pairs of blocks of
-bounded size. A kernel compares the texts of a block pair and emits a spanning
-forest of the confirmed links.
+a class is compared. Candidates are not expanded into pairs. Classes that share
+a key A_i come together with their signatures; those that share a table and
+whose signatures agree enough are near, and a kernel emits a spanning forest of
+what is near. Only the components of these links are the candidate groups, so
+texts that share a passage but are not alike do not chain into one group. The
+texts of a group then come together, and a kernel emits a spanning forest of
+the links confirmed on full sets.
+
+A group of more than a block is worked through in two steps (`_forest_of`): each
+block against the first one, which joins all of a group of near copies with
+linear work, and then only what is not in the group's largest part against all
+of the group.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import kernels as K
-from corpusloom.llm.common import drop, map_groups, materialise
+from corpusloom.llm.common import join_hot, map_groups, materialise, tidy, unused
 from corpusloom.llm.components import Forest, components
 
 ROWS, TABLES, SIZE = 3, 12, 5
@@ -72,6 +79,13 @@ def _keys(signatures: np.ndarray) -> np.ndarray:
     return out
 
 
+def _fixed(signs: np.ndarray) -> pa.Array:
+    """Each row as binary."""
+    n, width = signs.shape
+    offsets = np.arange(0, (n + 1) * 2 * width, 2 * width, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(signs))])
+
+
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,12 +93,13 @@ def _sketch(size: int):
                 shingles, so = _shingles(data, offsets, size)
                 sets = _sets(shingles, so)
                 prints = np.array([_print_of(s) for s in sets], np.int64).reshape(-1, 2)
-                keys = _keys(_signatures(shingles, so))
-                filled = np.diff(so) > 0
+                signatures, filled = _signatures(shingles, so), np.diff(so) > 0
+                keys, signs = _keys(signatures), np.zeros((n, _HASHES), np.uint16)
+                signs[filled] = (signatures >> K.U64(48)).astype(np.uint16)
                 ends = np.concatenate([[0], np.cumsum(np.where(filled, 2 * TABLES, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(K.as_long(keys.reshape(-1))))],
-                    names=["doc_id", "n_shingles", "one", "two", "keys"],
+                    [batch.column(0).slice(at, n), pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(prints[:, 0]), pa.array(prints[:, 1]), _fixed(signs), pa.ListArray.from_arrays(pa.array(ends), pa.array(K.as_long(keys.reshape(-1))))],
+                    names=["doc_id", "n_shingles", "one", "two", "signs", "keys"],
                 )
 
     return run
@@ -101,51 +116,118 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _compare(size: int, percent: int):
-    """Confirmed links of one block pair, as a spanning forest.
-
-    A pair whose MinHash values agree in a share more than 4.5 standard deviations below the
-    threshold is not looked at further (about three in a million linked pairs would be so).
-    """
+def agreeing(percent: int, deviations: float | None) -> int:
+    """MinHash values that must agree: so many standard deviations below what is expected at the threshold; none if None."""
     s = percent / 100
-    least = int(np.floor(_HASHES * s - 4.5 * np.sqrt(_HASHES * s * (1 - s))))
+    return 0 if deviations is None else int(np.floor(_HASHES * s - deviations * np.sqrt(_HASHES * s * (1 - s))))
+
+
+def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, Forest]:
+    """(ids, rows of block i, rows of block j, forest that already joins what has one label)."""
+    ids, labels = group["cls"].to_numpy(), group["label"].to_numpy()
+    block, i, j = group["block"].to_numpy(), group["i"][0].as_py(), group["j"][0].as_py()
+    forest, head = Forest(len(ids)), {}
+    for x, label in enumerate(labels.tolist()):
+        forest.join(head.setdefault(label, x), x)
+    left = np.flatnonzero(block == i)
+    return ids, left, left if i == j else np.flatnonzero(block == j), forest
+
+
+def _links(ids: np.ndarray, links: list[tuple[int, int]]) -> list[pa.RecordBatch]:
+    if not links:
+        return []
+    out = ids[np.array(links)]
+    return [pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["src", "dst"])]
+
+
+def _near(least: int):
+    """Links of classes that share a table and have `least` MinHash values in common, as a spanning forest."""
+
+    def run(group: pa.Table) -> list[pa.RecordBatch]:
+        ids, left, right, forest = _sides(group)
+        if len(ids) < 2:
+            return []
+        signs = np.frombuffer(b"".join(group["signs"].to_pylist()), np.uint16).reshape(len(ids), _HASHES)
+        other, links, apart = np.ascontiguousarray(signs[right].T), [], len(ids) - 1
+        for x in left.tolist():
+            same = other == signs[x][:, None]
+            table = same[ROWS * TABLES :].reshape(TABLES, ROWS, -1).all(1).any(0)
+            for y in right[table & (same.sum(0) >= least)].tolist():
+                if y != x and forest.join(x, y):
+                    links.append((x, y))
+                    apart -= 1
+            if not apart:
+                break
+        return _links(ids, links)
+
+    return run
+
+
+def _compare(size: int, percent: int, least: int):
+    """Confirmed links of one block pair, as a spanning forest; pairs of fewer common MinHash values are not confirmed."""
 
     def run(group: pa.Table) -> list[pa.RecordBatch]:
         group = group.combine_chunks()
-        ids = group["cls"].to_numpy()
-        block, i, j = group["block"].to_numpy(), group["i"][0].as_py(), group["j"][0].as_py()
+        ids, left, right, forest = _sides(group)
         if len(ids) < 2:
             return []
-        text = group["text"].chunk(0) if group["text"].num_chunks else pa.array([], pa.string())
         sets: list[np.ndarray] = []
         signs = np.zeros((len(ids), _HASHES), np.uint32)
-        for at, n, data, offsets in K.text_blocks(text):
+        for at, n, data, offsets in K.text_blocks(group["text"]):
             shingles, so = _shingles(data, offsets, size)
             sets += _sets(shingles, so)
             signs[at : at + n][np.diff(so) > 0] = (_signatures(shingles, so) >> K.U64(32)).astype(np.uint32)
-        lens = np.array([len(x) for x in sets])
-        forest, links = Forest(len(ids)), []
-        left = np.flatnonzero(block == i)
-        right = left if i == j else np.flatnonzero(block == j)
+        lens, links, apart = np.array([len(x) for x in sets]), [], len(ids) - 1
         other = np.ascontiguousarray(signs[right].T)
         for x in left.tolist():
-            near = right[(lens[right] * 100 >= percent * lens[x]) & (lens[x] * 100 >= percent * lens[right])] if len(right) > 64 else right
-            same = (other == signs[x][:, None]).sum(0) if len(near) == len(right) else (signs[near] == signs[x]).sum(1)
-            hit = same >= least
-            order = np.argsort(-same[hit], kind="stable")
-            for y in near[hit][order].tolist():
-                if (y > x if i == j else y != x) and forest.root(x) != forest.root(y) and _linked(sets[x], sets[y], percent):
+            same = (other == signs[x][:, None]).sum(0)
+            hit = (same >= least) & (lens[right] * 100 >= percent * lens[x]) & (lens[x] * 100 >= percent * lens[right])
+            for y in right[hit][np.argsort(-same[hit], kind="stable")].tolist():
+                if y != x and forest.root(x) != forest.root(y) and _linked(sets[x], sets[y], percent):
                     forest.join(x, y)
-                    links.append((ids[x], ids[y]))
-        if not links:
-            return []
-        out = np.array(links, np.int64)
-        return [pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["src", "dst"])]
+                    links.append((x, y))
+                    apart -= 1
+            if not apart:
+                break
+        return _links(ids, links)
 
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SIZE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def _forest_of(members: DataFrame, payload: DataFrame, kernel, weight: int, name: str) -> DataFrame:
+    """Links (src, dst) that the kernel finds among the members of each group, enough to join all that belongs together.
+
+    members: (group, cls, weight); payload: (cls, what the kernel reads); `weight` and BLOCK_TEXTS bound a
+    block. A group of one block is compared whole. Of a larger one every block is compared with the first;
+    then the members outside its largest part are compared with all of it.
+    """
+    columns = [c for c in payload.columns if c != "cls"]
+
+    def compared(placed: DataFrame, step: str) -> DataFrame:
+        units = placed.join(payload, "cls").select(F.xxhash64("group", "i", "j").alias("unit"), "cls", "label", "block", "i", "j", *columns)
+        return materialise(map_groups(units, "unit", kernel, "src long, dst long"), f"{name}-{step}")
+
+    count = F.greatest(F.ceil(F.sum("weight") / weight), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("long")
+    groups = materialise(members.groupBy("group").agg(F.count("*").alias("n"), count.alias("blocks")).where("n > 1"), f"{name}-groups")
+    placed = join_hot(members, groups, ["group"], "n").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    zero = F.lit(0).cast("long")
+    turns = F.explode(F.when(F.col("block") == 0, F.sequence(zero, F.col("blocks") - 1)).otherwise(F.array("block")))
+    links = compared(placed.select("group", "cls", F.col("cls").alias("label"), "block", zero.alias("i"), turns.alias("j")), "first")
+    if not groups.where("blocks > 1").limit(1).count():
+        return links
+    large = placed.where("blocks > 1").select("group", "cls", "weight").join(components(links).select(F.col("node").alias("cls"), F.col("component").alias("label")), "cls", "left")
+    large = materialise(large.withColumn("label", F.coalesce("label", "cls")), f"{name}-large")
+    parts = large.groupBy("group", "label").agg(F.count("*").alias("size")).groupBy("group").agg(F.max(F.struct("size", "label")).alias("most"), F.count("*").alias("parts"), F.sum("size").alias("n"))
+    rest = join_hot(large, parts.where("parts > 1").select("group", F.col("most.label").alias("core"), "n"), ["group"], "n")
+    rest = materialise(rest.withColumn("out", F.col("label") != F.col("core")).drop("core"), f"{name}-rest")
+    sizes = rest.groupBy("group", "out").agg(F.count("*").alias("n"), count.alias("blocks")).groupBy("group").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("out"), F.col("blocks"))).alias("outer"), F.sum(F.when(~F.col("out"), F.col("blocks"))).alias("inner"))
+    rest = join_hot(rest, sizes, ["group"], "n").withColumn("block", F.when(F.col("out"), F.pmod(F.xxhash64("cls"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.xxhash64("cls"), F.col("inner"))))
+    rest = rest.withColumn("k", F.explode(F.sequence(zero, F.col("outer") + F.when(F.col("out"), F.col("inner")).otherwise(0) - 1)))
+    more = compared(rest.select("group", "cls", "label", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j")), "rest")
+    return links.unionByName(more)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SIZE, text: str = "text", doc_id: str = "doc_id", deviations: float | None = 4.5) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets A and B of
@@ -156,38 +238,34 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SIZE, text:
     with nothing, has a null component_id and is kept. Rows that repeat a doc_id count as that
     one document: each gets a row. An empty table gives an empty result. Other columns of docs
     are ignored. A table key meets a linked pair of similarity s with probability
-    (1 - (1 - s**ROWS)**TABLES)**2: above 0.9996 at 0.8 and above 0.99997 at 0.85.
+    (1 - (1 - s**ROWS)**TABLES)**2: above 0.9996 at 0.8 and above 0.99997 at 0.85. Of those that meet, pairs
+    whose MinHash values agree less than `deviations` standard deviations below the threshold are not
+    confirmed (at 4.5 about three in a million linked pairs); None confirms all that meet.
     """
     bare = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sketch = materialise(bare.mapInArrow(_sketch(size), "doc_id long, n_shingles long, one long, two long, keys array<long>"), "sketch")
+    sketch = materialise(bare.mapInArrow(tidy(_sketch(size)), "doc_id long, n_shingles long, one long, two long, signs binary, keys array<long>"), "sketch")
     some = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("cls"))
+    kind = ["one", "two", "n_shingles"]
+    classes = materialise(some.groupBy(*kind).agg(F.min("doc_id").alias("cls"), F.count("*").alias("copies")), "classes")
     # one row for each class; a repeated doc_id may stand for several
-    members = materialise(some.select("doc_id", "one", "two", "n_shingles").join(classes, ["one", "two", "n_shingles"]), "classes")
-    reps = materialise(some.join(members.where("doc_id = cls").select("doc_id", "one", "two").distinct(), ["doc_id", "one", "two"], "left_semi").select(F.col("doc_id").alias("cls"), "keys"), "reps")
+    reps = some.join(classes.select(*kind, F.col("cls").alias("doc_id")), [*kind, "doc_id"], "left_semi").select(F.col("doc_id").alias("cls"), "signs", "keys")
+    reps = materialise(reps, "reps")
     short = reps.select("cls", F.posexplode("keys").alias("t", "key"))
-    met = short.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    alive = short.join(met, "key").groupBy("cls").agg(
-        F.collect_set(F.when(F.col("t") < TABLES, F.col("key"))).alias("a"), F.collect_set(F.when(F.col("t") >= TABLES, F.col("key"))).alias("b")
-    ).where("size(a) > 0 and size(b) > 0")
-    tables = materialise(alive.select("cls", F.explode("a").alias("a"), "b").select("cls", "a", F.explode("b").alias("b")).select("cls", F.xxhash64("a", "b").alias("key")), "tables")
-    heads = tables.groupBy("key").agg(F.min("cls").alias("dst"), F.max("cls").alias("most")).where("dst < most").select("key", "dst")
-    groups = materialise(components(tables.join(heads, "key").select(F.col("cls").alias("src"), "dst").where("src <> dst").distinct()), "groups")
-    drop(tables, reps)
-
-    words = members.where("doc_id = cls").groupBy("cls").agg(F.max("n_shingles").alias("words"))
-    placed = groups.select(F.col("node").alias("cls"), "component").join(words, "cls")
-    blocks = placed.groupBy("component").agg(F.greatest(F.ceil(F.sum("words") / BLOCK_WORDS), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("long").alias("blocks"))
-    placed = placed.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-    placed = placed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("cls", "block", "component", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
-    texts = bare.where("doc_id is not null and text is not null").join(placed.withColumnRenamed("cls", "doc_id"), "doc_id")
-    pairs = texts.select(F.xxhash64("component", "i", "j").alias("unit"), F.col("doc_id").alias("cls"), "block", "i", "j", "text")
-    links = materialise(map_groups(pairs, "unit", _compare(size, percent), "src long, dst long"), "links")
+    met = short.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    alive = join_hot(short, met, ["key"], "n").groupBy("cls").agg(F.collect_set(F.when(F.col("t") < TABLES, F.col("key"))).alias("a"), F.max("t").alias("last"))
+    alive = alive.where((F.size("a") > 0) & (F.col("last") >= TABLES))
+    least = agreeing(percent, deviations)
+    near = _forest_of(alive.select(F.explode("a").alias("group"), "cls", F.lit(1).alias("weight")), reps.select("cls", "signs"), _near(least), BLOCK_TEXTS, "near")
+    groups = materialise(components(near), "groups")
+    words = classes.groupBy("cls").agg(F.max("n_shingles").alias("weight"))
+    texts = bare.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("cls"), "text")
+    links = _forest_of(groups.select(F.col("component").alias("group"), F.col("node").alias("cls")).join(words, "cls"), texts, _compare(size, percent, least), BLOCK_WORDS, "links")
     # rows that repeat a doc_id join its classes
-    repeats = members.where("doc_id <> cls").select(F.col("doc_id").alias("src"), F.col("cls").alias("dst")).groupBy("src").agg(F.count_distinct("dst").alias("n"), F.collect_set("dst").alias("dst")).where("n > 1").select("src", F.explode("dst").alias("dst"))
+    several = some.select("doc_id", *kind).distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    repeats = some.select("doc_id", *kind).join(several, "doc_id", "left_semi").join(classes, kind).select(F.col("doc_id").alias("src"), F.col("cls").alias("dst"))
     joined = components(links.unionByName(repeats))
-    ends = classes.join(joined.select(F.col("node").alias("cls"), "component"), "cls", "left").select("one", "two", F.col("n_shingles").alias("n"), F.coalesce("component", "cls").alias("component_id"))
-    out = sketch.select("doc_id", "n_shingles", "one", "two").join(ends, (F.col("n_shingles") == F.col("n")) & (sketch["one"] == ends["one"]) & (sketch["two"] == ends["two"]), "left")
+    ends = classes.join(joined.select(F.col("node").alias("cls"), "component"), "cls", "left").select(*kind, "copies", F.coalesce("component", "cls").alias("component_id"))
+    out = join_hot(sketch.select("doc_id", *kind), materialise(ends, "ends"), kind, "copies", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -197,7 +275,7 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Rows that repeat a doc_id are one document, and one of them stays. Rows of a null doc_id stay.
     """
-    found = near_duplicates(docs, percent)
-    stay = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("_stay")).distinct()
-    known = docs.join(stay, docs["doc_id"] == stay["_stay"], "left_semi").dropDuplicates(["doc_id"])
+    found, key = near_duplicates(docs, percent), unused(docs, "stay")
+    stay = found.where("kept and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
+    known = docs.join(stay, docs["doc_id"].cast("long") == stay[key], "left_semi").dropDuplicates(["doc_id"])
     return known.unionByName(docs.where("doc_id is null"))
