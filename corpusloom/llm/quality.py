@@ -10,6 +10,7 @@ regression over the bins turns a raw score into a probability.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import kernels as K
-from corpusloom.llm.common import materialise
+from corpusloom.llm.common import materialise, tidy
 from corpusloom.llm.toxicity import held_out
 
 FOURIER, RIDGE, GAMMA, BINS = 192, 3.0, 0.06, 1024
-#: Partial sums that meet in one place at most.
-PARTS = 64
+#: Labelled rows whose normal equations one task sums.
+ROWS_A_TASK = 50_000
 STATISTICS = (
     "log_bytes", "log_words", "word_length", "word_length_spread", "upper", "digit", "mark", "odd_mark", "bar", "bang", "white", "line_words",
     "beyond_ascii", "distinct_words", "commonest_word", "repeated_runs", "marked_words", "long_words", "sentence_ends", "distinct_lines",
@@ -123,19 +124,21 @@ def fit(features: DataFrame) -> dict:
     width = len(STATISTICS)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, one, two, y = 0, np.zeros(width), np.zeros(width), 0.0
+        sums = np.zeros(2 * width + 2)
         for batch in batches:
             s = _floats(batch, "stats")
-            n, one, two, y = n + len(s), one + s.sum(0), two + (s**2).sum(0), y + batch.column(1).to_numpy(zero_copy_only=False).sum()
-        yield pa.RecordBatch.from_pydict({"n": [n], "y": [float(y)], "v": [np.concatenate([one, two]).tolist()]})
+            sums += np.concatenate([[len(s), batch.column(1).to_numpy(zero_copy_only=False).sum()], s.sum(0), (s**2).sum(0)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["at", "v"])
 
-    few = features.select("stats", "label").coalesce(PARTS)
-    # at most PARTS rows
-    got = few.mapInArrow(moments, "n long, y double, v array<double>").collect()
-    n, y = sum(r["n"] for r in got), sum(r["y"] for r in got)
+    few = features.select("stats", "label")
+    # 2 * width + 2 rows, whatever the input
+    got = few.mapInArrow(tidy(moments), "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").collect()
+    n, y, *squares = [r["v"] for r in got] or [0.0, 0.0]
     if not n or y in (0, n):
         return {"constant": float(y / n) if n else 0.5}
-    v = np.sum([r["v"] for r in got], axis=0) / n
+    v = np.array(squares) / n
+    # a task's sums are a square matrix, so a task has rows enough to be worth it; tasks grow with the rows
+    few = few.coalesce(max(1, math.ceil(n / ROWS_A_TASK)))
     mean = v[:width]
     spread = np.sqrt(np.maximum(v[width:] - mean**2, 0)) + 1e-6
     size = FOURIER + width + 1
@@ -153,7 +156,7 @@ def fit(features: DataFrame) -> dict:
         return pa.table({"row": [group["row"][0].as_py()], "v": [total.tolist()]})
 
     # `size` + 1 rows of `size` numbers, whatever the input
-    rows = few.mapInArrow(normal, "row long, v array<double>").groupBy("row").applyInArrow(added, "row long, v array<double>").orderBy("row").collect()
+    rows = few.mapInArrow(tidy(normal), "row long, v array<double>").groupBy("row").applyInArrow(added, "row long, v array<double>").orderBy("row").collect()
     sums = np.array([r["v"] for r in rows])
     shrink = np.full(size, RIDGE)
     shrink[-1] = 1e-6
@@ -169,7 +172,7 @@ def fit(features: DataFrame) -> dict:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS)), pa.array(c[0]), pa.array(c[1])], names=["bin", "y", "n"])
 
     # at most BINS rows
-    bins = pd.DataFrame([r.asDict() for r in few.mapInArrow(binned, "bin long, y long, n long").groupBy("bin").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).where("n > 0").orderBy("bin").collect()])
+    bins = pd.DataFrame([r.asDict() for r in few.mapInArrow(tidy(binned), "bin long, y long, n long").groupBy("bin").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).where("n > 0").orderBy("bin").collect()])
     # one pseudo-document of the overall rate keeps scores off 0 and 1
     level = isotonic(bins["bin"].to_numpy(), bins["y"].to_numpy() + y / n, bins["n"].to_numpy() + 1.0)
     return model | {"at": bins["bin"].to_numpy(float), "level": level}
@@ -208,7 +211,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, remainde
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(s.reshape(-1)))], names=["doc_id", "stats"])
 
     bare = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    stats = materialise(bare.mapInArrow(run, "doc_id long, stats array<float>"), "statistics")
+    stats = materialise(bare.mapInArrow(tidy(run), "doc_id long, stats array<float>"), "statistics")
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(remainder, divisor)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
     model = fit(materialise(stats.join(known, "doc_id").select("stats", "label"), "labelled"))
 
@@ -216,5 +219,5 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, remainde
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(predict(_floats(batch, "stats"), model) if batch.num_rows else np.zeros(0))], names=["doc_id", "score"])
 
-    out = stats.mapInArrow(scored, "doc_id long, score double")
+    out = stats.mapInArrow(tidy(scored), "doc_id long, score double")
     return out.select("doc_id", held_out(remainder, divisor).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
