@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import map_groups, materialise, new_path
+from corpusloom.llm.common import map_groups, materialise, new_path, tidy
 from corpusloom.llm.tokenids import open_fs
 
 #: Ranges with smaller gaps are read at once, up to MOST_READ bytes; a reading unit is STRIDE bytes of a file.
@@ -46,13 +46,17 @@ def _clean_uri(url: str | None, page_id: int | None) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = "2024-01-01T00:00:00Z") -> bytes:
-    """One record, uncompressed. The fields X-Page-Id and so on are extensions, which readers skip."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, salt: str = "", single: bool = True, date: str = "2024-01-01T00:00:00Z") -> bytes:
+    """One record, uncompressed. The fields X-Page-Id and so on are extensions, which readers skip.
+
+    `salt` sets the ids of records apart that share a page_id; a revisit names its response's id (an
+    optional field) only where that page_id is of a `single` record.
+    """
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     body = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_record_id(page_id)}", f"WARC-Date: {date}", f"WARC-Target-URI: {_clean_uri(url, page_id)}", f"WARC-Payload-Digest: sha1:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_record_id(page_id, salt)}", f"WARC-Date: {date}", f"WARC-Target-URI: {_clean_uri(url, page_id)}", f"WARC-Payload-Digest: sha1:{digest}"]
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to)}", f"X-Refers-To-Page-Id: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", *([f"WARC-Refers-To: {_record_id(refers_to)}"] if single else []), f"X-Refers-To-Page-Id: {refers_to}"]
     head += [] if page_id is None else [f"X-Page-Id: {page_id}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -83,12 +87,16 @@ def write(pages: DataFrame, min_bytes: int = 0, level: int = LEVEL, page_id: str
     folder = new_path(spark, "warc")
     p = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     p = p.withColumn("sha", F.sha1("payload"))
-    digests = materialise(p.where(F.col("page_id").isNotNull() & (F.octet_length("payload") >= min_bytes)).select("page_id", "sha"), "digests")
-    first = digests.groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("sha", "first")
-    again = digests.join(first, "sha").where("page_id <> first").distinct().select(F.col("page_id").alias("r_id"), F.col("sha").alias("r_sha"), F.col("first").alias("refers_to"))
+    digests = materialise(p.where(F.col("page_id").isNotNull()).select("page_id", "sha", (F.octet_length("payload") >= min_bytes).alias("counts")), "digests")
+    repeated = digests.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").select("page_id", F.lit(False).alias("alone"))
+    first = digests.where("counts").groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("sha", "first")
+    first = first.join(repeated.select(F.col("page_id").alias("first"), F.col("alone").alias("single")), "first", "left")
+    again = digests.where("counts").join(first, "sha").where("page_id <> first").select("page_id", "sha", F.col("first").alias("refers_to"), F.coalesce("single", F.lit(True)).alias("single")).distinct()
+    # one row for each id and digest that is a revisit or not alone; the rest of the rows join nothing
+    notes = digests.join(repeated, "page_id").select("page_id", "sha", "alone").distinct().join(again, ["page_id", "sha"], "full")
     # only ids meet the payloads, so no digest's rows gather in one place
-    again = materialise(again, "revisits")
-    decided = p.join(again, (p["page_id"] == again["r_id"]) & (p["sha"] == again["r_sha"]), "left").select("page_id", "url", "payload", "sha", "refers_to")
+    again = materialise(notes.select(F.col("page_id").alias("r_id"), F.col("sha").alias("r_sha"), "refers_to", "alone", "single"), "revisits")
+    decided = p.join(again, (p["page_id"] == again["r_id"]) & (p["sha"] == again["r_sha"]), "left").select("page_id", "url", "payload", "sha", "refers_to", (F.col("page_id").isNotNull() & F.coalesce("alone", F.lit(True))).alias("alone"), F.coalesce("single", F.lit(True)).alias("single"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, out, at = TaskContext.get(), None, 0
@@ -96,11 +104,12 @@ def write(pages: DataFrame, min_bytes: int = 0, level: int = LEVEL, page_id: str
         for batch in batches:
             rows = []
             for i in range(batch.num_rows):
-                pid, link, payload, sha, refers = (batch.column(k)[i] for k in range(5))
+                pid, link, payload, sha, refers, alone, single = (batch.column(k)[i] for k in range(7))
                 pid, link, payload, refers = pid.as_py(), link.as_py(), payload.as_buffer().to_pybytes(), refers.as_py()
+                salt = "" if alone.as_py() else f"@{uri}:{at}"
                 digest = base64.b32encode(bytes.fromhex(sha.as_py())).decode()
                 press = zlib.compressobj(level, zlib.DEFLATED, 31)
-                raw = press.compress(record(pid, link, payload, digest, refers)) + press.flush()
+                raw = press.compress(record(pid, link, payload, digest, refers, salt, single.as_py())) + press.flush()
                 if out is None:
                     where, path = open_fs(uri)
                     where.create_dir(os.path.dirname(path), recursive=True)
@@ -115,7 +124,7 @@ def write(pages: DataFrame, min_bytes: int = 0, level: int = LEVEL, page_id: str
         if out is not None:
             out.close()
 
-    index = materialise(decided.mapInArrow(run, INDEX), "warc-index")
+    index = materialise(decided.mapInArrow(tidy(run), INDEX), "warc-index")
     return index
 
 
