@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import kernels as K
+from corpusloom.llm.common import drop, materialise, resident, tidy
 
 #: Labelled rows that the lexicon and the weights are learnt from, at most.
 SAMPLE = 20_000
-#: Terms of the lexicon at most; documents that must have a term; least log-odds.
+#: Terms of the lexicon at most, the strongest (a parameter of `fit`); documents that must have a term; least log-odds.
 TERMS, LEAST_DOCS, LEAST_ODDS = 400, 5, 2.5
 #: Words on either side of a hit that its context is taken from.
 WINDOW = 10
@@ -251,8 +252,11 @@ class Scorer:
 
     @staticmethod
     def _quoted(data: np.ndarray, offsets: np.ndarray, where: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Whether an odd number of quotation marks precedes on the line."""
-        marks = np.flatnonzero(data == 34)
+        """Whether an odd number of quotation marks (straight, curly or angular) precedes on the line."""
+        one, two = np.append(data[1:], 0), np.append(data[2:], [0, 0])[: len(data)]
+        curly = (data == 0xE2) & (one == 0x80) & (two >= 0x9C) & (two <= 0x9E)
+        angular = (data == 0xC2) & ((one == 0xAB) | (one == 0xBB))
+        marks = np.flatnonzero((data == 34) | curly | angular)
         if not len(marks):
             return np.zeros(len(where), bool)
         lines = np.flatnonzero(data == 10)
@@ -261,15 +265,8 @@ class Scorer:
         return (np.searchsorted(marks, where) - np.searchsorted(marks, begin)) % 2 == 1
 
 
-_scorers: dict[tuple, Scorer] = {}
-
-
 def _scorer(lexicon: list[tuple[str, float, tuple]]) -> Scorer:
-    key = tuple(lexicon)
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(lexicon)
-    return _scorers[key]
+    return resident(("scorer", tuple(lexicon)), lambda: Scorer(lexicon))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -298,23 +295,24 @@ def label_sample(labels: DataFrame, column: str, sample: int, keep=None) -> Data
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, sample: int = SAMPLE, text: str = "text", doc_id: str = "doc_id") -> dict:
-    """Learn the lexicon and the weights from at most `sample` labelled documents.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, sample: int = SAMPLE, text: str = "text", doc_id: str = "doc_id", most_terms: int = TERMS) -> dict:
+    """Learn a lexicon of at most `most_terms` terms and the weights from at most `sample` labelled documents.
 
     The sample has a fixed bound, so it may be broadcast, and its features may be collected. Without
     labelled documents, or with one class only, the lexicon is empty and the score is constant.
     """
-    chosen = F.broadcast(label_sample(labels, label, sample, keep))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(chosen, "doc_id").select("text", "label")
+    chosen = materialise(label_sample(labels, label, sample, keep), "sample")
     n = {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
+        drop(chosen)
         return {"lexicon": [], "weights": [0.0] * N_FEATURES + [20.0 if toxic else -20.0 if clean else 0.0]}
-    words = rows.mapInArrow(_words_by_label, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # the corpus is read once; the three passes below are over the sample's texts
+    rows = materialise(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label"), "sample-texts")
+    words = rows.mapInArrow(tidy(_words_by_label), "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     best = words.where((F.col("toxic") >= LEAST_DOCS) & (F.length("word") >= 3)).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    # at most TERMS rows come here
-    terms = [(r["word"], float(r["odds"]), ()) for r in best.orderBy(F.desc("odds"), F.desc("toxic"), "word").limit(TERMS).collect()]
+    terms = [(r["word"], float(r["odds"]), ()) for r in best.orderBy(F.desc("odds"), F.desc("toxic"), "word").limit(most_terms).collect()]
 
     def misspelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,7 +325,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, sam
         return math.log((t + 1) / toxic) - math.log((c + clean / toxic * math.exp(-unseen(odds))) / clean)
 
     # the words of at most `sample` documents that are near a term
-    seen = rows.mapInArrow(misspelt, "term long, word string, toxic long, clean long").groupBy("term", "word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).orderBy("term", "word").collect() if terms else []
+    seen = rows.mapInArrow(tidy(misspelt), "term long, word string, toxic long, clean long").groupBy("term", "word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).orderBy("term", "word").collect() if terms else []
     spellings: list[list[tuple[str, float]]] = [[] for _ in terms]
     for r in seen:
         odds_ = terms[r["term"]][1]
@@ -340,7 +338,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, sam
             yield pa.RecordBatch.from_arrays([*(pa.array(f[:, k]) for k in range(N_FEATURES)), batch.column(1)], names=[*(f"f{k}" for k in range(N_FEATURES)), "label"])
 
     # at most `sample` rows of a few numbers
-    got = rows.mapInArrow(features, ", ".join(f"f{k} double" for k in range(N_FEATURES)) + ", label int").toPandas().to_numpy(float)
+    got = rows.mapInArrow(tidy(features), ", ".join(f"f{k} double" for k in range(N_FEATURES)) + ", label int").toPandas().to_numpy(float)
+    drop(chosen, rows)
     return {"lexicon": lexicon, "weights": logistic(got[:, :-1], got[:, -1]).tolist()}
 
 
@@ -354,7 +353,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc_i
             p = 1 / (1 + np.exp(-np.clip(f @ weights[:-1] + weights[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=["doc_id", "score"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def held_out(remainder: int, divisor: int, doc_id: str = "doc_id"):
@@ -388,4 +387,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Da
             p = 1 / (1 + np.exp(-np.clip(f @ weights[:-1] + weights[-1], -30, 30)))
             yield batch.filter(pa.array(p < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
