@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.catalog import corpus, relations, sqlparts as S, text
 from corpusloom.catalog.filters import ZONED_SQL
+from corpusloom.functions import analyze as A
+from corpusloom.functions import docs as D
 from corpusloom.operators import finders as N
 from corpusloom.operators import graph as G
 from corpusloom.operators import model as M
@@ -43,7 +45,7 @@ SELECT path, round(sum(w), 5) AS rrf, min(l) AS first_list FROM l GROUP BY 1 ORD
 
 def _answer(spark, sf_dir):
     found = R.rank_chunks(B.chunks(spark, sf_dir), text.QUERY, N.answer_limit(None))
-    return N.answer(found.select("path", "more", "rank", F.substring("t", 1, 320).alias("frag")), F.lit(""), "Это фрагменты, а не ответ.")
+    return N.answer(found.select("path", "more", "rank", D.excerpt(F.col("t"), A.query_terms(text.QUERY)).alias("frag")), F.lit(""), "Это фрагменты, а не ответ.")
 
 
 @query
@@ -53,18 +55,18 @@ def search_answer(spark, sf_dir):
 
 
 _MORE = "CASE WHEN more = 0 THEN '' ELSE '  (ещё ' || more || CASE WHEN more = 1 THEN ' фрагмент' ELSE ' фрагмента' END || ' в этом файле)' END"
-ORACLES["search_answer"] = f"""SELECT string_agg('**' || r.path || '**' || {_MORE} || chr(10) || left(c.t, 320), chr(10) || chr(10) ORDER BY rank DESC, r.path) || chr(10) || chr(10) || 'Это фрагменты, а не ответ.' AS answer
-FROM ({text._chunks_sql(text.QUERY, 6)}) r JOIN (WITH {text._LINES} SELECT path, i, t FROM chunks) c ON r.path = c.path AND r.i = c.i"""
+ORACLES["search_answer"] = f"""SELECT string_agg('**' || r.path || '**' || {_MORE} || chr(10) || frag, chr(10) || chr(10) ORDER BY rank DESC, r.path) || chr(10) || chr(10) || 'Это фрагменты, а не ответ.' AS answer
+FROM {text._found_sql(text.QUERY, 6)} r"""
 
 
 @query
 def search_answer_parsed(spark, sf_dir):
     """The rows of an answer's text, read back."""
-    a = _answer(spark, sf_dir).select(F.posexplode(files.parse_answer(F.col("answer"))).alias("place", "x"))
-    return a.select(F.col("place").cast("long").alias("place"), "x.path", F.col("x.more").cast("long").alias("more"))
+    a = files.parse_answers(_answer(spark, sf_dir).withColumn("key", F.lit(0)))
+    return a.select("place", "path", F.col("more").cast("long").alias("more"), "frag")
 
 
-ORACLES["search_answer_parsed"] = f"SELECT row_number() OVER (ORDER BY rank DESC, path) - 1 AS place, path, more FROM ({text._chunks_sql(text.QUERY, 6)})"
+ORACLES["search_answer_parsed"] = f"SELECT row_number() OVER (ORDER BY rank DESC, path) - 1 AS place, path, more, regexp_replace(frag, '\\A\\s+|\\s+\\z', '', 'g') AS frag FROM {text._found_sql(text.QUERY, 6)}"
 
 
 @query

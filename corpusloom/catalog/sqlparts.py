@@ -39,6 +39,22 @@ def authority(path: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({path}, {lit('(?i)' + p)}) THEN {w}::DOUBLE" for p, w in A.AUTHORITY) + " ELSE 1.0::DOUBLE END"
 
 
+def excerpt(rows: str, terms: list[list[str]], span: int = 320) -> str:
+    """The rows of a relation that has a text `t`, with `frag`, what surrounds the first match."""
+    bare = "regexp_replace(lower(p), '[^0-9a-zа-яё]', '', 'g')"
+    like = " OR ".join(f"{match('k', lit(v))} > 0" for t in terms for v in t)
+    met = f"length({bare}) >= 2 AND len(list_filter([{stem(bare)}, {translit(stem(bare))}], lambda k: {like})) > 0"
+    edge = "'\\A\\s+|\\s+\\z', '', 'g'"
+    return f"""(SELECT *, CASE WHEN hit > 0 THEN CASE WHEN begin > 0 THEN '…' ELSE '' END || regexp_replace(body || tail, {edge}) || CASE WHEN length(rest) > length(tail) THEN '…' ELSE '' END
+  ELSE regexp_replace(left(t, {span}), {edge}) || CASE WHEN length(t) > {span} THEN '…' ELSE '' END END AS frag
+FROM (SELECT *, CASE WHEN regexp_matches(body, '\\s\\z') THEN regexp_extract(rest, '\\A\\s+') ELSE regexp_extract(rest, '\\A\\S+') END AS tail
+FROM (SELECT *, substr(t, begin + 1, {span}) AS body, substr(t, begin + 1 + {span}) AS rest
+FROM (SELECT *, CASE WHEN half > 0 THEN length(regexp_replace(left(t, half), '(\\s+|\\S+)\\z', '')) ELSE 0 END AS begin
+FROM (SELECT *, length(array_to_string(pieces[1:greatest(hit, 1)], '')) - {span // 2} AS half
+FROM (SELECT *, coalesce(list_position(list_transform(pieces, lambda p: {met}), true), 0) AS hit
+FROM (SELECT *, regexp_extract_all(t, '\\s+|\\S+') AS pieces FROM {rows})))))))"""
+
+
 def values(rows: list[tuple], names: str) -> str:
     cell = lambda x: lit(x) if isinstance(x, str) else str(x)
     return f"(VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS t({names})"

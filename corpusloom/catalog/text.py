@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.catalog import sqlparts as S
 from corpusloom.functions import analyze as A
+from corpusloom.functions import docs as D
 from corpusloom.operators import rank as R
 from corpusloom.sources import bindings as B
 
@@ -147,6 +148,12 @@ FROM r WHERE place = 1 ORDER BY rank DESC, path LIMIT {limit}"""
 ORACLES["rank_chunks"] = _chunks_sql(QUERY, 20)
 
 
+def _found_sql(text: str, limit: int, chain: str = "''") -> str:
+    """The best files with the excerpt `frag` of their best chunk."""
+    best = f"(SELECT r.*, c.t, c.chain FROM ({_chunks_sql(text, limit)}) r JOIN (WITH {_LINES} SELECT path, i, t, {chain} AS chain FROM chunks) c ON r.path = c.path AND r.i = c.i)"
+    return S.excerpt(best, A.query_terms(text))
+
+
 def _two_lists(spark, sf_dir):
     post, notes = _post(spark, sf_dir, QUERY + " worthless threat"), _notes(spark, sf_dir)
     # result lists of at most 25 rows
@@ -191,11 +198,45 @@ ORACLES["ranker_parity_diff"] = f"WITH a AS ({_top(True)}), b AS ({_top(False)})
 def context_pack(spark, sf_dir):
     """The best eight files for a question, with their best chunks, as one text; a rough count of tokens."""
     r = R.rank_chunks(B.chunks(spark, sf_dir), QUERY, 8)
-    rows = r.agg(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("r"), "path", F.substring("t", 1, 200).alias("t")))).alias("x"))
+    rows = r.agg(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("r"), "path", D.excerpt(F.col("t"), A.query_terms(QUERY)).alias("t")))).alias("x"))
     text = F.array_join(F.transform("x", lambda e: F.concat(F.lit("## "), e["path"], F.lit("\n"), e["t"])), "\n\n")
     return rows.select(F.lit(QUERY).alias("question"), text.alias("context"), F.round(F.length(text) / 3).cast("long").alias("tokens"))
 
 
-ORACLES["context_pack"] = f"""SELECT {S.lit(QUERY)} AS question, string_agg('## ' || r.path || chr(10) || left(c.t, 200), chr(10) || chr(10) ORDER BY rank DESC, r.path) AS context,
-  round(length(string_agg('## ' || r.path || chr(10) || left(c.t, 200), chr(10) || chr(10) ORDER BY rank DESC, r.path)) / 3.0)::BIGINT AS tokens
-  FROM ({_chunks_sql(QUERY, 8)}) r JOIN (WITH {_LINES} SELECT path, i, t FROM chunks) c ON r.path = c.path AND r.i = c.i"""
+ORACLES["context_pack"] = f"""SELECT {S.lit(QUERY)} AS question, string_agg('## ' || r.path || chr(10) || frag, chr(10) || chr(10) ORDER BY rank DESC, r.path) AS context,
+  round(length(string_agg('## ' || r.path || chr(10) || frag, chr(10) || chr(10) ORDER BY rank DESC, r.path)) / 3.0)::BIGINT AS tokens
+  FROM {_found_sql(QUERY, 8)} r"""
+
+
+def _prompt(question, context):
+    return F.concat(F.lit("Ответь на вопрос по выдержкам из заметок. Ссылайся на пути файлов.\n\nВопрос: "), question, F.lit("\n\n"), context)
+
+
+@query
+def chat_prompt(spark, sf_dir):
+    """A question and what was found for it, as one text for a chat."""
+    return context_pack(spark, sf_dir).select(_prompt(F.col("question"), F.col("context")).alias("prompt"))
+
+
+ORACLES["chat_prompt"] = f"SELECT 'Ответь на вопрос по выдержкам из заметок. Ссылайся на пути файлов.' || chr(10) || chr(10) || 'Вопрос: ' || question || chr(10) || chr(10) || context AS prompt FROM ({ORACLES['context_pack']})"
+
+
+@query
+def search_chunks(spark, sf_dir):
+    """The best files with the chain and an excerpt of their best chunk, and how many more they have."""
+    found = R.rank_chunks(B.chunks(spark, sf_dir), QUERY, 20)
+    return found.select("path", "i", "hits", "coverage", "more", "rank", "chain", D.excerpt(F.col("t"), A.query_terms(QUERY)).alias("frag"))
+
+
+ORACLES["search_chunks"] = f"SELECT path, i, hits, coverage, more, rank, chain, frag FROM {_found_sql(QUERY, 20, 'lang || chr(32) || chr(8250) || chr(32) || source')}"
+
+
+@query
+def search_with_snippets(spark, sf_dir):
+    """Ranked documents, the first five with an excerpt of their text without the front matter; others have none."""
+    found = bm25_search(spark, sf_dir)
+    return R.with_snippets(found, _docs(spark, sf_dir).select("doc_id", "text"), "doc_id", QUERY)
+
+
+ORACLES["search_with_snippets"] = f"""WITH f AS ({_bm25_sql(QUERY, 20)}), s AS (SELECT f.doc_id, regexp_replace(text, '\\A---\\n[\\s\\S]*?\\n---\\n?', '') AS t FROM (SELECT * FROM f ORDER BY rank DESC, doc_id LIMIT 5) f JOIN documents d ON d.doc_id = f.doc_id)
+SELECT f.*, x.frag FROM f LEFT JOIN {S.excerpt('s', A.query_terms(QUERY))} x ON x.doc_id = f.doc_id"""

@@ -9,6 +9,10 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
+from itertools import accumulate, groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -65,42 +69,46 @@ def without_front_matter(text: Column) -> Column:
 
 # ---------------------------------------------------------------- front matter
 
+# The shapes of a front matter, of its fields and items, and of values that need no quotes.
 _FRONT = re.compile(r"\A---\r?\n([\s\S]*?)\r?\n---\r?\n?")
-_FIELD = re.compile(r"^([A-Za-zА-Яа-я_][\wЀ-ӿ-]*):\s*(.*)$")
+_ENTRY = re.compile(r"(?P<key>[A-Za-zА-Яа-я_][\wЀ-ӿ-]*):\s*(?P<inline>.*)|\s*-\s+(?P<item>.*)")
+_PLAIN = re.compile(r"[\wЀ-ӿ][\wЀ-ӿ \-./+()]*")
+TAG_FIELDS = ("tags", "tag", "теги")
 
 
 def _bare(value: str) -> str:
     return re.sub(r"^[\"']|[\"']$", "", value.strip()).strip()
 
 
+def _value(inline: str, items: list[str]) -> str | list[str]:
+    """Of what stands beside a key and the items below it: a scalar only where there is nothing but one inline."""
+    listed = inline.startswith("[") and inline.endswith("]")
+    beside = inline[1:-1].split(",") if listed else [inline]
+    values = [x for x in map(_bare, beside) if x]
+    if inline and not listed and not items:
+        return _bare(inline)
+    return values + [_bare(x) for x in items]
+
+
 def parse_front(text: str) -> tuple[dict, str]:
-    """(fields in their order, body). Lists are [a, b] or lines of '- a'."""
+    """(fields in their order, body). Lists are [a, b] or lines of '- a'; a later field of the same name counts."""
     m = _FRONT.match(text)
     if not m:
         return {}, text
-    fields: dict = {}
-    last = None
-    for line in re.split(r"\r?\n", m[1]):
-        if kv := _FIELD.match(line):
-            last, value = kv[1], kv[2].strip()
-            if not value:
-                fields[last] = []
-            elif value.startswith("[") and value.endswith("]"):
-                fields[last] = [x for x in map(_bare, value[1:-1].split(",")) if x]
-            else:
-                fields[last] = _bare(value)
-        elif (item := re.match(r"\s*-\s+(.*)$", line)) and last:
-            if not isinstance(fields[last], list):
-                fields[last] = [fields[last]] if fields[last] else []
-            fields[last].append(_bare(item[1]))
-    return fields, text[m.end() :]
+    entries: list[tuple[str, str, list[str]]] = []
+    for e in filter(None, map(_ENTRY.fullmatch, re.split(r"\r?\n", m[1]))):
+        if e["key"] is not None:
+            entries.append((e["key"], e["inline"].strip(), []))
+        elif entries:
+            entries[-1][2].append(e["item"])
+    return {key: _value(inline, items) for key, inline, items in entries}, text[m.end() :]
 
 
 def _quoted(value) -> str:
     s = str(value)
-    if re.fullmatch(r"\[\[.*\]\]", s):
-        return f'"{s}"'
-    return s if re.fullmatch(r"[\wЀ-ӿ][\wЀ-ӿ \-./+()]*", s) else '"' + s.replace('"', "'") + '"'
+    if _PLAIN.fullmatch(s):
+        return s
+    return f'"{s}"' if s.startswith("[[") and s.endswith("]]") else '"' + s.replace('"', "'") + '"'
 
 
 def write_front(fields: dict) -> str:
@@ -120,14 +128,14 @@ def norm_tag(tag: str) -> str:
 
 
 def tags_of(fields: dict) -> list[str]:
-    found = next((fields[k] for k in ("tags", "tag", "теги") if k in fields), [])
+    found = next((fields[k] for k in TAG_FIELDS if k in fields), [])
     parts = found if isinstance(found, list) else re.split(r"[,\s]+", found)
     return [t for t in map(norm_tag, parts) if t]
 
 
 def _set_tags(text: str, change: Callable[[list[str]], list[str]]) -> str:
     fields, _ = parse_front(text)
-    fields = {k: v for k, v in fields.items() if k not in ("tag", "теги")} | {"tags": change(tags_of(fields))}
+    fields = {k: v for k, v in fields.items() if k not in TAG_FIELDS[1:]} | {"tags": change(tags_of(fields))}
     return with_front(text, fields)
 
 
@@ -178,46 +186,70 @@ def sections(body: str) -> list[tuple[int, str, str]]:
     return [p for p in parts if p[1] or p[2].strip()]
 
 
-def _heading(line: str) -> tuple[int, str] | None:
-    m = re.match(r"(#{1,6})\s+(.*)$", line)
-    return (len(m[1]), m[2].replace(" ", " ").strip().lower()) if m else None
+_HEADING = re.compile(r"(?m)^(#{1,6})[^\S\n]+(.*)$")
+_ITEM = re.compile(r"\s*(?:[-*+]\s|\d+[.)]\s)")
+_BLANKS = re.compile(r"(?:\n[^\S\n]*)*\Z")
+
+
+@dataclass(frozen=True)
+class Section:
+    """A heading and what belongs to it, as places in the text: the heading is text[at:head], all of it text[at:end]."""
+
+    level: int
+    title: str
+    at: int
+    head: int
+    end: int
+
+
+def _plain_title(title: str) -> str:
+    return title.replace("\u00a0", " ").strip().lower()
+
+
+def outline(text: str) -> list[Section]:
+    """All headings; a section ends before the newline of the next heading of its level or above, or with the text."""
+    found, open_ends = [], []  # levels and places of the headings to come, nearest last
+    for m in reversed(list(_HEADING.finditer(text))):
+        level = len(m[1])
+        while open_ends and open_ends[-1][0] > level:
+            open_ends.pop()
+        found.append(Section(level, m[2], m.start(), m.end(), open_ends[-1][1] - 1 if open_ends else len(text)))
+        open_ends.append((level, m.start()))
+    return found[::-1]
 
 
-def find_section(lines: list[str], heading: str) -> tuple[int, int] | None:
-    """The line of a heading and that where its section ends: the next of its level or above."""
-    want = heading.replace(" ", " ").strip().lower()
-    for i, line in enumerate(lines):
-        h = _heading(line)
-        if h and h[1] == want:
-            end = next((j for j in range(i + 1, len(lines)) if (g := _heading(lines[j])) and g[0] <= h[0]), len(lines))
-            return i, end
-    return None
+def headings(text: str, limit: int = 100) -> list[str]:
+    """The headings as they are listed to a reader, indented by level."""
+    return ["  " * (x.level - 1) + "#" * x.level + " " + x.title for x in outline(text)[:limit]]
 
 
-def _item(line: str) -> bool:
-    return bool(re.match(r"\s*(?:[-*+]\s|\d+[.)]\s)", line))
+def find_section(text: str, heading: str) -> Section | None:
+    """The first section of this title."""
+    return next((x for x in outline(text) if _plain_title(x.title) == _plain_title(heading)), None)
+
+
+def _put(text: str, head: int, end: int, piece: str) -> str:
+    """The piece after what is not blank in text[head:end], so that the blank lines there follow it."""
+    gap = len(_BLANKS.search(text, head, end)[0])
+    return f"{text[: end - gap]}\n{piece}{text[end - gap :]}"
 
 
 def patch(text: str, heading: str, content: str, operation: str = "prepend") -> str:
     """Put content under a heading: replace, append, or (anything else) prepend. Items of one list are not parted."""
-    lines = text.replace("\r", "").split("\n")
-    found = find_section(lines, heading)
-    if not found:
-        raise ValueError(f"no heading {heading!r}")
-    at, end = found
-    block = content.rstrip().split("\n")
+    text, block = text.replace("\r", ""), content.rstrip()
+    s = find_section(text, heading)
+    if s is None:
+        raise ValueError(f"no heading {heading!r}; there are: {' | '.join(x.strip() for x in headings(text, 25)) or 'none'}")
+    before, after = text[: s.head], text[s.end :]
     if operation == "replace":
-        return "\n".join([*lines[: at + 1], "", *block, "", *lines[end:]])
+        return f"{before}\n\n{block}\n{after}"
     if operation == "append":
-        while end > at + 1 and not lines[end - 1].strip():
-            end -= 1
-        glue = [] if _item(lines[end - 1]) and _item(block[0]) else [""]
-        return "\n".join([*lines[:end], *glue, *block, *lines[end:]])
-    at += 1
-    while at < len(lines) and not lines[at].strip():
-        at += 1
-    glue = [] if _item(block[-1]) and at < len(lines) and _item(lines[at]) else [""]
-    return "\n".join([*lines[:at], *block, *glue, *lines[at:]])
+        last = _BLANKS.sub("", text[s.at : s.end]).rpartition("\n")[2]
+        return _put(text, s.head, s.end, block if _ITEM.match(last) and _ITEM.match(block) else f"\n{block}")
+    blank = re.compile(r"(?:\n[^\S\n]*(?=\n|\Z))*").match(text, s.head).end()
+    follows = text[blank + 1 :].partition("\n")[0]
+    glue = "" if _ITEM.match(block.rpartition("\n")[2]) and _ITEM.match(follows) else "\n"
+    return f"{text[:blank]}\n{block}{glue}{text[blank:]}"
 
 
 def append(text: str | None, content: str) -> str:
@@ -227,40 +259,34 @@ def append(text: str | None, content: str) -> str:
 # ---------------------------------------------------------------- differences
 
 
+def _next(text: str, levels: str, at: int) -> int:
+    """The place before the newline of the next heading of these levels, or the end."""
+    m = re.compile(rf"(?m)^#{{{levels}}} ").search(text, at)
+    return m.start() - 1 if m else len(text)
+
+
 def under(text: str, heading: str, line: str) -> str:
     """A line at the end of the section of a level-two heading, which is made if it is not there."""
-    lines = text.split("\n")
-    want = f"## {heading}".lower()
-    at = next((i for i, x in enumerate(lines) if x.replace("\u00a0", " ").strip().lower() == want), None)
-    if at is None:
+    spaces = re.escape(f"## {heading}".strip()).replace("\\ ", "[ \u00a0]")
+    m = re.search(rf"(?mi)^[^\S\n]*{spaces}[^\S\n]*$", text)
+    if m is None:
         return f"{text.rstrip()}\n\n## {heading}\n\n{line}\n"
-    stop = next((i for i in range(at + 1, len(lines)) if re.match("#{1,6} ", lines[i])), len(lines))
-    rest = _gap(lines[at + 1 : stop])
-    return "\n".join([*lines[: stop - len(rest)], "", line, *rest, *lines[stop:]]).rstrip() + "\n"
-
-
-def _gap(lines: list[str]) -> list[str]:
-    """The blank lines at the end."""
-    full = [i for i, x in enumerate(lines) if x.strip()]
-    return lines[full[-1] + 1 if full else 0 :]
+    return _put(text, m.end(), _next(text, "1,6", m.end()), f"\n{line}").rstrip() + "\n"
 
 
 def with_intro(text: str, intro: str) -> str:
     """A first text below the title and what follows it, before the first section; at the top without a title."""
-    lines = text.split("\n")
-    title = next((i for i, x in enumerate(lines) if x.startswith("# ")), None)
-    if title is None:
+    m = re.search(r"(?m)^# .*$", text)
+    if m is None:
         return f"{intro.strip()}\n\n{text}"
-    stop = next((i for i in range(title + 1, len(lines)) if re.match("#{2,6} ", lines[i])), len(lines))
-    rest = _gap(lines[title + 1 : stop])
-    return "\n".join([*lines[: stop - len(rest)], "", intro.strip(), *rest, *lines[stop:]])
+    return _put(text, m.end(), _next(text, "2,6", m.end()), f"\n{intro.strip()}")
 
 
 def capture(text: str | None, heading: str, line: str, template: str = "") -> tuple[str, str]:
     """(text, way) of a thought put into a note: under its heading, at the end with a heading, or into a new note."""
     if text is None:
         return under(template, heading, line), "create"
-    if find_section(text.split("\n"), heading):
+    if find_section(text, heading):
         return patch(text, heading, line, "append"), "patch"
     return append(text, f"## {heading}\n\n{line}"), "append"
 
@@ -311,101 +337,100 @@ def collapse(parts: list[tuple[str, str]], keep: int = KEEP) -> list[tuple[str,
 # ---------------------------------------------------------------- excerpts
 
 
-def _hit(word: str, terms: list[list[str]]) -> bool:
-    return any(A.py_match(v, k) for k in A.py_keys(word) for t in terms for v in t)
-
-
-def excerpt(text: str, terms: list[list[str]], span: int = EXCERPT) -> str:
-    """About `span` characters around the first word that matches, cut between words; else the beginning."""
-    pieces = re.split(r"(\s+)", text)
-    bare = lambda w: re.sub("[^0-9a-zа-яё]", "", w.lower())
-    at = next((i for i, w in enumerate(pieces) if len(bare(w)) >= 2 and _hit(bare(w), terms)), None)
-    if at is None:
-        return text[:span].strip() + ("…" if len(text) > span else "")
-    start, n = 0, 0
-    for i in range(at, -1, -1):
-        n += len(pieces[i])
-        if n > span / 2:
-            start = i
-            break
-    got = ""
-    for w in pieces[start:]:
-        if len(got) >= span:
-            break
-        got += w
-    return ("…" if start else "") + got.strip() + ("…" if start + len(got) < len(text) else "")
-
-
-def mark(text: str, terms: list[list[str]]) -> str:
+def _met(word: Column, terms: list[list[str]]) -> Column:
+    """Whether a word is one of the terms (each a list of variants of a key) or begins like it."""
+    like = lambda k: reduce(lambda x, y: x | y, (A.stems_match(k, F.lit(v)) > 0 for t in terms for v in t), F.lit(False))
+    return (F.length(word) >= 2) & F.exists(A.keys_of(word), like)
+
+
+def excerpt(text: Column, terms: list[list[str]], span: int = EXCERPT) -> Column:
+    """About `span` characters around the first word that matches, cut between words; else the beginning.
+
+    The cut begins at the last edge of a word that is more than half of `span` before the end of the match,
+    and ends at the first edge that is `span` after.
+    """
+    bare = lambda w: F.regexp_replace(F.lower(w), "[^0-9a-zа-яё]", "")
+    pieces = F.regexp_extract_all(text, F.lit(r"\s+|\S+"), F.lit(0))
+    at = F.array_position(F.transform(pieces, lambda p: _met(bare(p), terms)), F.lit(True)).cast("int")
+    half = F.length(F.array_join(F.slice(pieces, F.lit(1), F.greatest(at, F.lit(1))), "")) - span // 2
+    # up to the piece that the character after the edge is in
+    start = F.when(half > 0, F.length(F.regexp_replace(F.substring(text, F.lit(1), F.greatest(half, F.lit(1))), r"(\s+|\S+)\z", ""))).otherwise(F.lit(0))
+    body, rest = F.substring(text, start + 1, F.lit(span)), F.substring(text, start + 1 + span, F.length(text))
+    tail = F.when(body.rlike(r"\s\z"), F.regexp_extract(rest, r"\A\s+", 0)).otherwise(F.regexp_extract(rest, r"\A\S+", 0))
+    more = F.when(F.length(rest) > F.length(tail), "…").otherwise("")
+    around = F.concat(F.when(start > 0, "…").otherwise(""), F.regexp_replace(F.concat(body, tail), r"\A\s+|\s+\z", ""), more)
+    first = F.concat(F.regexp_replace(F.substring(text, 1, span), r"\A\s+|\s+\z", ""), F.when(F.length(text) > span, "…").otherwise(""))
+    return F.when(at > 0, around).otherwise(first)
+
+
+def mark(text: Column, terms: list[list[str]]) -> Column:
     """<mark> around the words that match."""
-    return re.sub("[0-9a-zA-Zа-яёА-ЯЁ]+", lambda m: f"<mark>{m[0]}</mark>" if _hit(m[0], terms) else m[0], text)
+    letters = "0-9a-zA-Zа-яёА-ЯЁ"
+    pieces = F.regexp_extract_all(text, F.lit(f"[{letters}]+|[^{letters}]+"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: F.when(_met(F.lower(p), terms), F.concat(F.lit("<mark>"), p, F.lit("</mark>"))).otherwise(p)), "")
 
 
 # ---------------------------------------------------------------- Markdown
 
 
+def _wiki(m: re.Match) -> str:
+    target, heading, alias = m["target"].strip(), m["heading"], m["alias"]
+    return f'<a class="wiki" data-wiki="{target}"{f' data-heading="{heading}"' if heading else ""}>{alias or target}</a>'
+
+
+#: Marks within a line: pattern, and what becomes of a match. Texts inside are read again but for code.
+_INLINE = {
+    "wiki": (r"!?\[\[(?P<target>[^\]|#]+)(?:#(?P<heading>[^\]|]*))?(?:\|(?P<alias>[^\]]*))?\]\]", _wiki),
+    "code": (r"`(?P<code_text>[^`]+)`", lambda m: f"<code>{m['code_text']}</code>"),
+    "strong": (r"\*\*(?P<strong_text>[^*]+)\*\*", lambda m: f"<strong>{_spans(m['strong_text'])}</strong>"),
+    "em": (r"(?<!\*)\*(?P<em_text>[^*\n]+)\*", lambda m: f"<em>{_spans(m['em_text'])}</em>"),
+    "link": (r"\[(?P<link_text>[^\]]+)\]\((?P<to>https?:[^)\s]+)\)", lambda m: f'<a href="{m["to"]}" target="_blank" rel="noopener">{_spans(m["link_text"])}</a>'),
+}
+_MARKS = re.compile("|".join(f"(?P<{name}>{pattern})" for name, (pattern, _) in _INLINE.items()))
+
+
+def _spans(escaped: str) -> str:
+    return _MARKS.sub(lambda m: _INLINE[next(k for k in _INLINE if m[k] is not None)][1](m), escaped)
+
+
 def _inline(s: str) -> str:
-    s = html.escape(s, quote=False)
-    s = re.sub(r"!?\[\[([^\]|#]+)(?:#([^\]|]*))?(?:\|([^\]]*))?\]\]", lambda m: f'<a class="wiki" data-wiki="{m[1].strip()}"' + (f' data-heading="{m[2]}"' if m[2] else "") + f">{m[3] or m[1].strip()}</a>", s)
-    s = re.sub(r"`([^`]+)`", r"<code>\1</code>", s)
-    s = re.sub(r"\*\*([^*]+)\*\*", r"<strong>\1</strong>", s)
-    s = re.sub(r"(^|[^*])\*([^*\n]+)\*", r"\1<em>\2</em>", s)
-    return re.sub(r"\[([^\]]+)\]\((https?:[^)\s]+)\)", r'<a href="\2" target="_blank" rel="noopener">\1</a>', s)
+    return _spans(html.escape(s, quote=False))
+
+
+def _box(m: re.Match) -> str:
+    return {None: "", "x": "☑ ", " ": "☐ "}[m[1]]
+
+
+def _each(line: Callable[[re.Match], str], around: str = "{}") -> Callable[[list[re.Match]], str]:
+    return lambda ms: around.format("".join(map(line, ms)))
+
+
+#: Kinds of lines in the order in which they are tried, and what a run of lines of a kind becomes.
+_BLOCKS = {
+    "heading": (r"(#{1,4}) (.+)", _each(lambda m: f'<div class="md-h{len(m[1])}"><strong>{_inline(m[2])}</strong></div>')),
+    "bullets": (r"\s*[-*] (?:\[([ x])\] )?(.+)", _each(lambda m: f"<li>{_box(m)}{_inline(m[2])}</li>", "<ul>{}</ul>")),
+    "numbers": (r"\s*\d+\. (.+)", _each(lambda m: f"<li>{_inline(m[1])}</li>", "<ol>{}</ol>")),
+    "quote": (r"> ?(.*)", _each(lambda m: f"<blockquote>{_inline(m[1])}</blockquote>")),
+    "rule": (r"(?:---|\*\*\*)\s*$", _each(lambda m: "<hr>")),
+    "blank": (r"\s*$", lambda ms: ""),
+    "text": (r"(.*)", lambda ms: f"<p>{_inline(' '.join(m[1].strip() for m in ms))}</p>"),
+}
+_KINDS = {name: re.compile(pattern) for name, (pattern, _) in _BLOCKS.items()}
 
 
 def render(source: str) -> str:
-    """Markdown as HTML: headings, lists, quotes, rules, fenced code, paragraphs."""
+    """Markdown as HTML: headings, lists, quotes, rules, fenced code, paragraphs.
+
+    Fences part the text into prose and code by turns; prose is runs of lines of one kind.
+    """
+    lines = source.split("\n")
+    turns = accumulate(x.startswith("```") for x in lines)
     out: list[str] = []
-    state: dict = {"list": None, "para": [], "code": None}
-
-    def end_para() -> None:
-        if state["para"]:
-            out.append(f"<p>{_inline(' '.join(state['para']))}</p>")
-            state["para"] = []
-
-    def to_list(kind: str | None) -> None:
-        if state["list"] != kind:
-            out.extend(([f"</{state['list']}>"] if state["list"] else []) + ([f"<{kind}>"] if kind else []))
-            state["list"] = kind
-
-    for line in source.split("\n"):
-        if line.startswith("```"):
-            if state["code"] is None:
-                end_para()
-                to_list(None)
-                state["code"] = []
-            else:
-                out.append(f"<pre><code>{html.escape(chr(10).join(state['code']), quote=False)}</code></pre>")
-                state["code"] = None
-        elif state["code"] is not None:
-            state["code"].append(line)
-        elif m := re.match(r"(#{1,4}) (.+)", line):
-            end_para()
-            to_list(None)
-            out.append(f'<div class="md-h{len(m[1])}"><strong>{_inline(m[2])}</strong></div>')
-        elif m := re.match(r"\s*[-*] (?:\[([ x])\] )?(.+)", line):
-            end_para()
-            to_list("ul")
-            out.append(f"<li>{'' if m[1] is None else '☑ ' if m[1] == 'x' else '☐ '}{_inline(m[2])}</li>")
-        elif m := re.match(r"\s*\d+\. (.+)", line):
-            end_para()
-            to_list("ol")
-            out.append(f"<li>{_inline(m[1])}</li>")
-        elif line.startswith(">"):
-            end_para()
-            to_list(None)
-            out.append(f"<blockquote>{_inline(re.sub('^> ?', '', line))}</blockquote>")
-        elif re.match(r"(---|\*\*\*)\s*$", line):
-            end_para()
-            to_list(None)
-            out.append("<hr>")
-        elif not line.strip():
-            end_para()
-            to_list(None)
-        else:
-            state["para"].append(line.strip())
-    if state["code"] is not None:
-        out.append(f"<pre><code>{html.escape(chr(10).join(state['code']), quote=False)}</code></pre>")
-    end_para()
-    to_list(None)
+    for turn, part in groupby(zip(turns, lines), key=itemgetter(0)):
+        mine = [line for _, line in part][1 if turn else 0 :]  # without its fence
+        if turn % 2:
+            out.append(f"<pre><code>{html.escape(chr(10).join(mine), quote=False)}</code></pre>")
+            continue
+        typed = [next((k, m) for k, r in _KINDS.items() if (m := r.match(line))) for line in mine]
+        out += [_BLOCKS[kind][1]([m for _, m in run]) for kind, run in groupby(typed, key=itemgetter(0))]
     return "".join(out)

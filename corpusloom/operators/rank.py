@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import analyze as A
+from corpusloom.functions import docs as D
 
 K1, B, META = 1.4, 0.3, 2.2
 BODY_WEIGHT, META_WEIGHT, MORE_WEIGHT = 1.0, 1.35, 0.35
@@ -137,6 +138,16 @@ def rank_chunks(chunks: DataFrame, query: str, limit: int = 20, synonyms=()) ->
     return chunks.join(F.broadcast(top), ["path", "i"]).select(*top.columns, F.concat_ws(" › ", "h").alias("chain"), "t")
 
 
+def with_snippets(found: DataFrame, texts: DataFrame, key: str, query: str, count: int = 5, synonyms=()) -> DataFrame:
+    """Adds frag: for the `count` best rows (by rank, then key) an excerpt of their text without its front matter, else null.
+
+    found is a bounded top list; only the chosen rows meet texts, which has (key, text).
+    """
+    chosen = found.orderBy(F.desc("rank"), key).limit(count).select(key)
+    cut = D.excerpt(D.without_front_matter(F.col("text")), A.query_terms(query, synonyms))
+    return found.join(F.broadcast(texts.join(F.broadcast(chosen), key).select(key, cut.alias("frag"))), key, "left")
+
+
 def fuse(lists: list[DataFrame], k: int = RRF_K, weights: list[float] | None = None, limit: int = 25) -> DataFrame:
     """Reciprocal rank fusion of lists of (path, place from 0): path, rrf, first_list."""
     parts = [df.select("path", F.lit(i).alias("list"), (F.lit(float(weights[i] if weights else 1.0)) / (k + F.col("place") + 1)).alias("w")) for i, df in enumerate(lists)]

@@ -102,7 +102,10 @@ def test_sections_and_patch():
     assert D.patch(text, "b", "- z", "append").split("\n")[4:7] == ["- x", "- y", "- z"]
     assert D.patch(text, "B", "- z", "prepend").split("\n")[4:7] == ["- z", "- x", "- y"]
     assert D.patch(text, "A", "new", "replace") == "intro\n# A\n\nnew\n\n# C\nend"
-    with pytest.raises(ValueError):
+    assert D.headings(text) == ["# A", "  ## B", "# C"]
+    assert D.patch("# A\n\n\nx\n\n# B", "A", "- new") == "# A\n\n\n- new\n\nx\n\n# B" and D.patch("# A", "a", "x", "append") == "# A\n\nx" and D.patch("# A", "a", "x") == "# A\nx\n"
+    assert D.patch("# A\nx\n\n\n# B\ny", "A", "z", "append") == "# A\nx\n\nz\n\n\n# B\ny"
+    with pytest.raises(ValueError, match="A .* B .* C"):
         D.patch(text, "missing", "x")
 
 
@@ -115,14 +118,16 @@ def test_diff_gives_both_texts_back(a, b):
     assert old == (a or [""]) and new == (b or [""])
 
 
-def test_collapse_and_excerpt():
+def test_collapse_and_excerpt(spark):
     parts = D.diff("\n".join(map(str, range(40))), "\n".join("x" if i == 20 else str(i) for i in range(40)))
     assert [k for k, _ in D.collapse(parts)] == ["same", "skip", "same", "del", "add", "same", "skip", "same"]
     terms = A.query_terms("налоги")
     long = "слово " * 100 + "налоговый вопрос " + "конец " * 100
-    got = D.excerpt(long, terms)
+    texts = spark.createDataFrame([(1, long), (2, "a" * 400), (3, "Налог и дом"), (4, ""), (5, None), (6, "x " * 30 + "НАЛОГИ")], "i int, t string")
+    rows = texts.select("i", D.excerpt(F.col("t"), terms).alias("e"), D.mark(F.col("t"), terms).alias("m")).orderBy("i").collect()
+    got = rows[0]["e"]
     assert "налоговый" in got and got.startswith("…") and got.endswith("…") and len(got) < 360
-    assert D.excerpt("a" * 400, terms) == "a" * 320 + "…" and D.mark("Налог и дом", terms) == "<mark>Налог</mark> и дом"
+    assert [r["e"] for r in rows[1:]] == ["a" * 320 + "…", "Налог и дом", "", None, "x " * 30 + "НАЛОГИ"] and rows[2]["m"] == "<mark>Налог</mark> и дом"
 
 
 def test_wikilinks_and_markdown(spark):

@@ -127,7 +127,8 @@ def test_file_formats(spark, tmp_path):
     files = spark.createDataFrame([("a/b.md", 3), ("a/c/d.md", 4), (".git/x", 1), ("e.md", 5)], "path string, size long")
     assert sorted(tuple(r) for r in S.listing(files).collect()) == [("a", True, None), ("e.md", False, 5)]
     answer = "**a/b.md** › H › I  (ещё 2 фрагмента)\ntext\n\n**bold** goes on\n\n**c.md**\nlast\n\nЭто фрагменты, а не ответ."
-    got = spark.createDataFrame([(answer,)], "t string").select(S.parse_answer(F.col("t")).alias("r")).first()["r"]
+    got = spark.createDataFrame([(answer,)], "t string").select(F.lit(1).alias("key"), F.col("t").alias("answer"))
+    got = S.parse_answers(got).orderBy("place").drop("key", "place").collect()
     assert [tuple(x) for x in got] == [("a/b.md", "H › I", 2, "text\n\n**bold** goes on"), ("c.md", "", 0, "last")]
 
 
