@@ -49,10 +49,11 @@ ORACLES["archive_ready"] = "SELECT 'customer/' || o_custkey AS path, count(*) AS
 
 @query
 def archive_list(spark, sf_dir):
-    return P.archive_list(B.entities(spark, sf_dir).select("path", "title"), _sources(spark, sf_dir))
+    last = B.table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("customer/"), F.col("o_custkey").cast("string")).alias("path")).agg(F.max("o_orderdate").alias("at"))
+    return P.archive_list(B.entities(spark, sf_dir).select("path", "title").join(last, "path", "left"), _sources(spark, sf_dir)).drop("at")
 
 
-ORACLES["archive_list"] = "SELECT 'customer/' || c_custkey AS path, c_name AS title, c_custkey IN (SELECT o_custkey FROM orders) AS parsed FROM customer"
+ORACLES["archive_list"] = "SELECT 'customer/' || c_custkey AS path, c_name AS title, c_custkey IN (SELECT o_custkey FROM orders) AS parsed, (SELECT count(DISTINCT o_custkey) FROM orders) AS n_parsed FROM customer"
 
 
 def _report_notes(spark, sf_dir):
@@ -129,10 +130,10 @@ ORACLES["digest"] = f"WITH {REPORT_SQL} SELECT path, rn.at FROM rn WHERE rn.at >
 @query
 def totals(spark, sf_dir):
     n = M.with_zone(B.notes(spark, sf_dir))
-    return n.agg(F.count("*").alias("n_notes"), F.count_if(F.col("klass") != "evidence").alias("n_shown"), F.count_distinct("zone").alias("n_zones"), F.sum("bytes").alias("bytes"))
+    return n.agg(F.count("*").alias("n_notes"), F.count_if(F.col("klass") != "evidence").alias("n_shown"), F.count_distinct("zone").alias("n_zones"), F.sum("bytes").alias("bytes")).crossJoin(B.links(spark, sf_dir).where("src <> dst").agg(F.count("*").alias("n_links")))  # one row each
 
 
-ORACLES["totals"] = f"WITH {B.NOTES_SQL}, {ZONED_SQL} SELECT count(*) AS n_notes, count(*) FILTER (klass <> 'evidence') AS n_shown, count(DISTINCT zone) AS n_zones, sum(bytes)::BIGINT AS bytes FROM zoned"
+ORACLES["totals"] = f"WITH {B.NOTES_SQL}, {ZONED_SQL}, {B.LINKS_SQL} SELECT (SELECT count(*) FROM links WHERE src <> dst) AS n_links, count(*) AS n_notes, count(*) FILTER (klass <> 'evidence') AS n_shown, count(DISTINCT zone) AS n_zones, sum(bytes)::BIGINT AS bytes FROM zoned"
 
 
 @query
@@ -178,7 +179,7 @@ ORACLES["dependency_layers_general"] = f"WITH {B.LINKS_SQL} SELECT DISTINCT path
 
 def _points(spark, sf_dir):
     e = B.table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), F.col("label").alias("group"), (F.get("embedding", F.lit(0)).cast("double") * 1000).alias("x"), (F.get("embedding", F.lit(1)).cast("double") * 1000).alias("y"))
+    return e.select(F.col("vec_id").alias("id"), F.col("label").alias("group"), (F.get("embedding", F.lit(0)).cast("double") * 1000).alias("x"), (F.get("embedding", F.lit(1)).cast("double") * 1000).alias("y")).withColumns({"colour": F.when(F.col("x") > 0, "warm").otherwise("cold"), "shown": F.col("y") > -100})
 
 
 @query
@@ -187,7 +188,7 @@ def super_nodes(spark, sf_dir):
 
 
 _POINTS = "p AS (SELECT vec_id AS id, label AS \"group\", embedding[1]::DOUBLE * 1000 AS x, embedding[2]::DOUBLE * 1000 AS y FROM embeddings)"
-ORACLES["super_nodes"] = f'WITH {_POINTS} SELECT "group", round(avg(x), 6) AS x, round(avg(y), 6) AS y, count(*) AS members, round(9 + sqrt(count(*)) * 3.4, 6) AS radius FROM p GROUP BY 1'
+ORACLES["super_nodes"] = f'WITH {_POINTS} SELECT "group", round(avg(x), 6) AS x, round(avg(y), 6) AS y, count(*) AS members, round(9 + sqrt(count(*)) * 3.4, 6) AS radius, CASE WHEN count(*) FILTER (x > 0) > count(*) FILTER (x <= 0) THEN \'warm\' ELSE \'cold\' END AS colour FROM p WHERE y > -100 GROUP BY 1'
 
 
 @query

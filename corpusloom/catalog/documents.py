@@ -170,7 +170,17 @@ def write_queue_replay(spark, sf_dir):
     return feed.replay(q)
 
 
-ORACLES["write_queue_replay"] = """WITH q AS (SELECT event_id AS id, 'user/' || user_id AS path, value > 150 AS net, event_type <> 'error' AS ok FROM events), s AS (SELECT path, min(id) AS stop FROM q WHERE net GROUP BY 1),
+@query
+def write_queues_replay(spark, sf_dir):
+    """A queue for each user: a network error stops its own only."""
+    e = B.table(spark, sf_dir, "events")
+    q = e.select(F.col("event_id").alias("id"), F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("path"), F.when(F.col("value") > 150, "network").otherwise("write").alias("kind"), (F.col("event_type") != "error").alias("ok"))
+    return feed.replay(q, queue_of="path")
+
+
+ORACLES["write_queue_replay"] = """WITH q AS (SELECT event_id AS id, 'user/' || user_id AS path, value > 150 AS net, event_type <> 'error' AS ok FROM events), s AS (SELECT min(id) FILTER (net) AS stop FROM q),
+j AS (SELECT q.*, stop IS NULL OR id < stop AS b FROM q, s) SELECT path, count(*) FILTER (b AND ok) AS applied, count(*) FILTER (b AND NOT ok) AS dropped, count(*) FILTER (NOT b) AS waiting, max(id) FILTER (b AND ok) AS last_id FROM j GROUP BY 1"""
+ORACLES["write_queues_replay"] = """WITH q AS (SELECT event_id AS id, 'user/' || user_id AS path, value > 150 AS net, event_type <> 'error' AS ok FROM events), s AS (SELECT path, min(id) AS stop FROM q WHERE net GROUP BY 1),
 j AS (SELECT q.*, stop IS NULL OR id < stop AS b FROM q LEFT JOIN s ON q.path = s.path) SELECT path, count(*) FILTER (b AND ok) AS applied, count(*) FILTER (b AND NOT ok) AS dropped, count(*) FILTER (NOT b) AS waiting, max(id) FILTER (b AND ok) AS last_id FROM j GROUP BY 1"""
 
 
@@ -247,7 +257,7 @@ def label_spreading(spark, sf_dir):
 
 @query
 def cluster_labels(spark, sf_dir):
-    return C.labels(_doc_clusters(spark, sf_dir), relations._keywords(spark, sf_dir))
+    return C.labels(_doc_clusters(spark, sf_dir), relations._keywords(spark, sf_dir), B.notes(spark, sf_dir).select("path", "title"))
 
 
 @query

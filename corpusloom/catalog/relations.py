@@ -182,11 +182,14 @@ def entity_answer(spark, sf_dir):
     links = B.links(spark, sf_dir)
     found = E.find(E.name_index(B.entities(spark, sf_dir)), QUESTION)
     claims = E.claims_of(links, B.claims(spark, sf_dir), ("obsolete",), of=found)
-    said = claims.groupBy("entity").agg(F.count("*").alias("total"), F.array_sort(F.collect_list(F.when(F.col("place") <= 12, F.struct("place", "claim")))).alias("c"))
-    return said.select("entity", "total", F.array_join(F.transform("c", lambda x: x["claim"]), ",").alias("claims"))
+    # parts of an order count as what its claim mentions besides
+    said = E.answers(found, claims, links.where("type in ('about', 'relates')").withColumn("type", F.lit("about")))
+    return said.select("entity", "total", F.array_join("claims", ",").alias("claims"), F.array_join(F.transform("near", lambda x: F.concat_ws(":", x["other"], x["n"].cast("string"))), ",").alias("near"))
 
 
-ORACLES["entity_answer"] = f"WITH {_INDEX}, {_FOUND}, {_CLAIMS} SELECT entity, count(*) AS total, string_agg(claim, ',' ORDER BY place) FILTER (place <= 12) AS claims FROM placed WHERE entity IN (SELECT path FROM found) GROUP BY 1"
+ORACLES["entity_answer"] = f"""WITH {_INDEX}, {_FOUND}, {_CLAIMS}, ab AS (SELECT DISTINCT 'customer/' || o_custkey AS entity, 'part/' || l_partkey AS other, l_orderkey AS o FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+nn AS (SELECT entity, other, count(*) AS n FROM ab WHERE entity IN (SELECT path FROM found) GROUP BY 1, 2), near AS (SELECT entity, string_agg(other || ':' || n, ',' ORDER BY n DESC, other) AS near FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC, other) AS r FROM nn) WHERE r <= 6 GROUP BY 1)
+SELECT p.entity, count(*) AS total, string_agg(claim, ',' ORDER BY place) FILTER (place <= 12) AS claims, coalesce(any_value(near), '') AS near FROM placed p LEFT JOIN near ON near.entity = p.entity WHERE p.entity IN (SELECT path FROM found) GROUP BY 1"""
 
 
 @query

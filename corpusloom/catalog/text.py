@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.catalog import sqlparts as S
 from corpusloom.functions import analyze as A
 from corpusloom.functions import docs as D
+from corpusloom.operators import finders as N
 from corpusloom.operators import rank as R
 from corpusloom.sources import bindings as B
 
@@ -198,27 +199,23 @@ ORACLES["ranker_parity_diff"] = f"WITH a AS ({_top(True)}), b AS ({_top(False)})
 def context_pack(spark, sf_dir):
     """The best eight files for a question, with their best chunks, as one text; a rough count of tokens."""
     r = R.rank_chunks(B.chunks(spark, sf_dir), QUERY, 8)
-    rows = r.agg(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("r"), "path", D.excerpt(F.col("t"), A.query_terms(QUERY)).alias("t")))).alias("x"))
-    text = F.array_join(F.transform("x", lambda e: F.concat(F.lit("## "), e["path"], F.lit("\n"), e["t"])), "\n\n")
-    return rows.select(F.lit(QUERY).alias("question"), text.alias("context"), F.round(F.length(text) / 3).cast("long").alias("tokens"))
+    r = r.select("path", "chain", "rank", D.excerpt(F.col("t"), A.query_terms(QUERY)).alias("frag"))
+    return N.pack(r).select(F.lit(QUERY).alias("question"), "context", "tokens")
 
 
-ORACLES["context_pack"] = f"""SELECT {S.lit(QUERY)} AS question, string_agg('## ' || r.path || chr(10) || frag, chr(10) || chr(10) ORDER BY rank DESC, r.path) AS context,
-  round(length(string_agg('## ' || r.path || chr(10) || frag, chr(10) || chr(10) ORDER BY rank DESC, r.path)) / 3.0)::BIGINT AS tokens
-  FROM {_found_sql(QUERY, 8)} r"""
-
-
-def _prompt(question, context):
-    return F.concat(F.lit("Ответь на вопрос по выдержкам из заметок. Ссылайся на пути файлов.\n\nВопрос: "), question, F.lit("\n\n"), context)
+_CHAIN = "lang || chr(32) || chr(8250) || chr(32) || source"
+ORACLES["context_pack"] = f"""SELECT question, context, round(length(context) / 3.0)::BIGINT AS tokens FROM (SELECT {S.lit(QUERY)} AS question,
+  string_agg('--- ' || path || ' › ' || chain || ' ---' || chr(10) || frag, chr(10) || chr(10) ORDER BY rank DESC, path) AS context FROM {_found_sql(QUERY, 8, _CHAIN)})"""
+SYSTEM = "Answer from the fragments only and name the files."
 
 
 @query
 def chat_prompt(spark, sf_dir):
     """A question and what was found for it, as one text for a chat."""
-    return context_pack(spark, sf_dir).select(_prompt(F.col("question"), F.col("context")).alias("prompt"))
+    return context_pack(spark, sf_dir).select(N.prompt(F.col("question"), F.col("context"), SYSTEM).alias("prompt"))
 
 
-ORACLES["chat_prompt"] = f"SELECT 'Ответь на вопрос по выдержкам из заметок. Ссылайся на пути файлов.' || chr(10) || chr(10) || 'Вопрос: ' || question || chr(10) || chr(10) || context AS prompt FROM ({ORACLES['context_pack']})"
+ORACLES["chat_prompt"] = f"SELECT {S.lit(SYSTEM)} || chr(10) || chr(10) || '=== ФРАГМЕНТЫ ИЗ ПАМЯТИ ===' || chr(10) || chr(10) || context || chr(10) || chr(10) || '=== ВОПРОС ===' || chr(10) || chr(10) || question AS prompt FROM ({ORACLES['context_pack']})"
 
 
 @query
@@ -228,7 +225,7 @@ def search_chunks(spark, sf_dir):
     return found.select("path", "i", "hits", "coverage", "more", "rank", "chain", D.excerpt(F.col("t"), A.query_terms(QUERY)).alias("frag"))
 
 
-ORACLES["search_chunks"] = f"SELECT path, i, hits, coverage, more, rank, chain, frag FROM {_found_sql(QUERY, 20, 'lang || chr(32) || chr(8250) || chr(32) || source')}"
+ORACLES["search_chunks"] = f"SELECT path, i, hits, coverage, more, rank, chain, frag FROM {_found_sql(QUERY, 20, _CHAIN)}"
 
 
 @query

@@ -191,6 +191,11 @@ def date_in(path: Column, title: Column) -> Column:
     return F.try_to_date(F.nullif(found, F.lit("")), "yyyy-MM-dd")
 
 
+def note_date(path: Column, title: Column, at: Column) -> Column:
+    """The date in the path and the title, else that of the note."""
+    return F.coalesce(date_in(path, title), at.cast("date"))
+
+
 def clean_fragment(text: Column) -> Column:
     """Without the brackets of links (an alias stands for its link), bold marks and the marks of lists and quotes."""
     t = F.regexp_replace(text, "\\[\\[([^\\]|]+\\|)?([^\\]]+)\\]\\]", "$2")

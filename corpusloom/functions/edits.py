@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import analyze as A
+from corpusloom.functions import docs as D
 
 LEAST_CLAIM = 12
 
@@ -74,3 +77,24 @@ def answer_list(answer: Column, name: str) -> Column:
     """The parts of such a line, parted by commas, without '#'; 'нет' is none."""
     parts = F.transform(F.split(answer_field(answer, name), ","), lambda p: F.regexp_replace(F.trim(p), "^#", ""))
     return F.filter(parts, lambda p: (p != "") & (F.lower(p) != "нет"))
+
+
+def helper_pack(system: str, note: Column, tags: Column, near: Column) -> Column:
+    """What a helper is asked: the instruction, the note, the tags in use (tag, n) and titles of notes near by."""
+    used = F.array_join(F.transform(tags, lambda t: F.concat(F.lit("#"), t["tag"], F.lit(" ("), t["n"].cast("string"), F.lit(")"))), ", ")
+    titles = F.array_join(F.transform(near, lambda t: F.concat(F.lit("- "), t)), "\n")
+    return F.concat_ws("\n\n", F.lit(system), note, used, titles)
+
+
+def in_bulk(notes: DataFrame, text: str, edit: Callable[[str], str], missing: Column | None = None) -> DataFrame:
+    """An edit of the text of every note; adds error: 'missing' without a text, what the edit raised, else null.
+    A failed row keeps its text and stops no other."""
+    def one(t: str) -> list:
+        try:
+            return [edit(t), None]
+        except ValueError as x:
+            return [t, str(x)]
+
+    gone = F.col(text).isNull() | (F.lit(False) if missing is None else missing)
+    done = F.when(gone, F.array(F.col(text), F.lit("missing"))).otherwise(D.mapped(one, "array<string>")(F.col(text)))
+    return notes.withColumn("done_", done).withColumns({text: F.get("done_", F.lit(0)), "error": F.get("done_", F.lit(1))}).drop("done_")

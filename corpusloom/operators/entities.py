@@ -73,3 +73,31 @@ def stats(entities: DataFrame, links: DataFrame) -> DataFrame:
     n = links.where("type = 'about'").groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("n"))
     e = entities.join(n, "path", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return e.groupBy(F.coalesce(F.nullif("kind", F.lit("")), F.lit("прочее")).alias("kind")).agg(F.count("*").alias("total"), F.count_if(F.col("n") > 0).alias("with_claims"), F.sum("n").alias("claims"))
+
+
+def answers(found: DataFrame, placed: DataFrame, links: DataFrame, shown: int = 12, near_by: int = 6) -> DataFrame:
+    """entity, total, claims (the first `shown` by place), near (the entities that share the most claims, with their number).
+
+    found: (path), a bounded list; placed: (entity, claim, place) of these; links: the `about` links.
+    """
+    said = placed.groupBy("entity").agg(F.count("*").alias("total"), F.array_sort(F.collect_list(F.when(F.col("place") <= shown, F.struct("place", "claim")))).alias("c"))
+    around = near(links, found, limit=near_by).groupBy("entity").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "other", "n"))).alias("o"))
+    none = F.array().cast("array<struct<other:string,n:bigint>>")
+    out = said.join(around, "entity", "left")
+    return out.select("entity", "total", F.transform("c", lambda x: x["claim"]).alias("claims"), F.coalesce(F.transform("o", lambda x: F.struct(x["other"].alias("other"), x["n"].alias("n"))), none).alias("near"))
+
+
+def passport(claims: DataFrame, dead_statuses=("отменено", "устарело")) -> DataFrame:
+    """path, kind, at, status, confidence as they are shown ('—' for what is missing), and whether the claim is dead."""
+    said = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("—"))
+    return claims.select("path", F.upper(said("kind")).alias("kind"), said("at").alias("at"), F.upper(said("status")).alias("status"), F.upper(said("confidence")).alias("confidence"), dead(F.col("status"), tuple(dead_statuses)).alias("dead"))
+
+
+def panel(links: DataFrame, claims: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """entity, kind, priority, claim, at, place: claims about each entity by kind in this order (others 99), newest first."""
+    l = links.where("type = 'about'").select(F.col("dst").alias("entity"), F.col("src").alias("path"))
+    kind = F.coalesce(F.nullif(F.col("kind"), F.lit("")), F.lit("прочее"))
+    j = l.join(claims.select("path", kind.alias("kind"), "at"), "path")
+    at = F.array_position(F.array(*map(F.lit, order)), F.col("kind"))
+    place = Window.partitionBy("entity", "kind").orderBy(F.desc_nulls_last("at"), "path")
+    return j.select("entity", "kind", F.coalesce(F.nullif(at - 1, F.lit(-1)), F.lit(99)).cast("long").alias("priority"), F.col("path").alias("claim"), "at", F.row_number().over(place).cast("long").alias("place"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PALETTE, PICKED, NEAR, FRAGMENT = 12, 6, 60, 160
+PALETTE, PICKED, LINKED, NEAR, FRAGMENT, SCREEN = 12, 6, 12, 60, 160, 200
 
 
 def _holds(q: str, *columns: str) -> Column:
@@ -29,6 +29,25 @@ def pick(entities: DataFrame, query: str, limit: int = PICKED) -> DataFrame:
     return entities.where(_holds(query, "title", "base", "aliases")).orderBy("pos").limit(limit)
 
 
+def newest(notes: DataFrame, at: Column, limit: int = SCREEN) -> DataFrame:
+    """What a search without words shows: the newest of the notes that the filters leave."""
+    return notes.orderBy(F.desc_nulls_last(at), "pos").limit(limit)
+
+
+def pack(found: DataFrame) -> DataFrame:
+    """One row: context, the rows of a bounded top list (path, chain, rank, frag) under their heads, and roughly how many tokens."""
+    head = F.when(F.coalesce(F.col("chain"), F.lit("")) != "", F.concat_ws(" › ", "path", "chain")).otherwise(F.col("path"))
+    block = F.concat(F.lit("--- "), head, F.lit(" ---\n"), F.col("frag"))
+    rows = found.agg(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("r"), "path", block.alias("t")))).alias("x"))
+    text = F.array_join(F.transform("x", lambda e: e["t"]), "\n\n")
+    return rows.select(text.alias("context"), F.round(F.length(text) / 3).cast("long").alias("tokens"))
+
+
+def prompt(question: Column, context: Column, system: str) -> Column:
+    """What goes into a chat; the heads of its parts are fixed."""
+    return F.concat(F.lit(system + "\n\n=== ФРАГМЕНТЫ ИЗ ПАМЯТИ ===\n\n"), context, F.lit("\n\n=== ВОПРОС ===\n\n"), question)
+
+
 def under_tag(tags: Column | str, tag: str) -> Column:
     """Whether one of the tags is this one or below it."""
     return F.exists(tags, lambda t: (t == tag) | t.startswith(tag + "/"))

@@ -81,9 +81,28 @@ def chain_layers(links: DataFrame) -> DataFrame:
 
 
 def super_nodes(nodes: DataFrame) -> DataFrame:
-    """From (group, x, y): group, x, y of the middle, members, radius."""
-    g = nodes.groupBy("group").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("members"))
-    return g.select("group", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "members", F.round(9 + F.sqrt("members") * 3.4, 6).alias("radius"))
+    """From (group, x, y, colour, shown): group, x, y of the middle, members, radius, the commonest colour.
+
+    Only what is shown counts; of equally common colours the smallest. Sums by group and colour come first.
+    """
+    c = nodes.where("shown").groupBy("group", "colour").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.count("*").alias("n"))
+    g = c.groupBy("group").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("n").alias("members"), F.min(F.struct((-F.col("n")).alias("n"), "colour")).alias("most"))
+    middle = lambda k: F.round(F.col(k) / F.col("members"), 6).alias(k)
+    return g.select("group", middle("x"), middle("y"), "members", F.round(9 + F.sqrt("members") * 3.4, 6).alias("radius"), F.col("most.colour").alias("colour"))
+
+
+def collapse(nodes: DataFrame, links: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """(super nodes, super links) of nodes (path, x, y, colour, shown and a column to group by, such as zone or cluster)."""
+    grouped = nodes.withColumn("group", F.col(by))
+    return super_nodes(grouped), super_links(links, grouped.where("shown"))
+
+
+def around(links: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(path) of what is linked with one of the chosen (path), in either direction, and not chosen itself."""
+    l = links.select("src", "dst")
+    both = l.unionByName(l.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    near = both.join(chosen.select(F.col("path").alias("src")), "src", "left_semi").select(F.col("dst").alias("path")).distinct()
+    return near.join(chosen.select("path"), "path", "left_anti")
 
 
 def super_links(links: DataFrame, groups: DataFrame) -> DataFrame:
@@ -154,11 +173,13 @@ def layer_layout(layers: DataFrame) -> DataFrame:
     return layers.select("path", F.coalesce(-420 + F.col("level") * 190, F.lit(520)).alias("x"), (-240 + row * 46).alias("y"))
 
 
-def style(nodes: DataFrame, now: Column) -> DataFrame:
-    """path, radius, warmth: by the root of the share of the largest size, and by the logarithm of the age."""
-    most = nodes.agg(F.greatest(F.max("bytes"), F.lit(1)).alias("most"))
+def style(nodes: DataFrame, now: Column, size_by: str = "bytes") -> DataFrame:
+    """path, radius, warmth: by the share of the largest value (the root of it for bytes; as it is for deg and commits),
+    and by the logarithm of the age."""
+    most = nodes.agg(F.greatest(F.max(size_by), F.lit(1)).alias("most"))
+    share = F.col(size_by) / F.col("most")
     t = 1 - F.least(F.log10(A.age_hours(F.col("at"), now) + 1) / math.log10(9600), F.lit(1.0))
-    return nodes.crossJoin(F.broadcast(most)).select("path", F.round(3 + 7 * F.sqrt(F.col("bytes") / F.col("most")), 6).alias("radius"), F.round(t, 6).alias("warmth"))  # one row
+    return nodes.crossJoin(F.broadcast(most)).select("path", F.round(3 + 7 * (F.sqrt(share) if size_by == "bytes" else share), 6).alias("radius"), F.round(t, 6).alias("warmth"))  # one row
 
 
 def bounds(points: DataFrame, width: float, height: float, margin: float = 80.0) -> DataFrame:

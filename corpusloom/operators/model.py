@@ -78,6 +78,13 @@ def tag_counts(notes: DataFrame) -> DataFrame:
     return notes.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
+def top_tags(counts: DataFrame, limit: int = 40, short: int = 12) -> DataFrame:
+    """tag, n, short: the most used tags (of tag, n), and whether a tag is among the first `short`."""
+    top = counts.orderBy(F.desc("n"), "tag").limit(limit)
+    # `limit` rows
+    return top.select("tag", "n", (F.row_number().over(Window.orderBy(F.desc("n"), "tag")) <= short).alias("short"))
+
+
 def degrees(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """path, deg: every link counts at both its ends, repeated ones too; links to oneself do not."""
     ends = links.where("src <> dst").select(F.explode(F.array("src", "dst")).alias("path")).groupBy("path").agg(F.count("*").alias("deg"))

@@ -62,8 +62,13 @@ def archive_ready(sources: DataFrame, least: int = READY_CLAIMS) -> DataFrame:
 
 
 def archive_list(evidence: DataFrame, sources: DataFrame) -> DataFrame:
-    """Adds parsed: whether any claim names the evidence as its source."""
-    return evidence.join(sources.select("path").distinct().withColumn("parsed", F.lit(True)), "path", "left").withColumn("parsed", F.coalesce("parsed", F.lit(False)))
+    """Evidence newest first, with parsed (whether any claim names it as its source) and n_parsed, of how many that holds.
+
+    evidence: path, at and more.
+    """
+    named = sources.select("path").distinct().withColumn("parsed", F.lit(True))
+    out = evidence.join(named, "path", "left").withColumn("parsed", F.coalesce("parsed", F.lit(False)))
+    return out.crossJoin(F.broadcast(out.agg(F.count_if("parsed").alias("n_parsed")))).orderBy(F.desc_nulls_last("at"), "path")  # one row
 
 
 def triage(notes: DataFrame, skipped: DataFrame, limit: int) -> DataFrame:
@@ -77,38 +82,32 @@ def digest(notes: DataFrame, now: Column, days: int, limit: int = SHOWN) -> Data
     return notes.where(F.col("at") >= now - F.expr(f"interval {days} days")).orderBy(F.desc("at"), "path").limit(limit)
 
 
-def classify(paths: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """Adds klass and kind by the first rule (pattern, class, kind) that fits; null if none does."""
-    klass = kind = None
-    for pattern, k, v in rules:
+def unsorted(notes: DataFrame, limit: int = 20) -> DataFrame:
+    """The first shown notes, no chronicles, without tags or without any links."""
+    return notes.where(F.col("shown") & ~F.col("chronicle") & ((F.col("n_tags") == 0) | (F.col("n_links") + F.col("n_backlinks") == 0))).orderBy("pos", "path").limit(limit)
+
+
+def classify(paths: DataFrame, rules: list[tuple], own: Column | None = None) -> DataFrame:
+    """Adds klass and kind by the first rule (pattern, class, kind) that fits; null if none does.
+
+    A rule with a fourth value, true, takes the note's own kind (from its front matter) before that of the rule.
+    """
+    klass = kind = F
+    own = F.lit(None).cast("string") if own is None else F.nullif(own, F.lit(""))
+    for pattern, k, v, *mine in rules:
         hit = F.col("path").rlike(pattern)
-        klass = F.when(hit, F.lit(k)) if klass is None else klass.when(hit, F.lit(k))
-        kind = F.when(hit, F.lit(v)) if kind is None else kind.when(hit, F.lit(v))
+        klass, kind = klass.when(hit, F.lit(k)), kind.when(hit, F.coalesce(own, F.lit(v)) if mine and mine[0] else F.lit(v))
     return paths.withColumns({"klass": klass, "kind": kind})
 
 
-# Classes and kinds by path.
-RULES = [
-    ("^осколки/", "утверждение", "факт"),
-    ("^_машина/", "выводимое", "индекс"),
-    ("^brain/decisions/", "утверждение", "решение"),
-    ("^brain/(North Star|Открытые вопросы)\\.md$", "утверждение", "намерение"),
-    ("^brain/patterns\\.md$", "утверждение", "наблюдение"),
-    ("^(brain/(Profile|Здоровье)|Учёба/Профиль)\\.md$", "сущность", "человек"),
-    ("^(Home|brain/(hot|index|log|watchlist)|Учёба/(Состояние|Метрики|Карта пробелов))\\.md$", "выводимое", "сводка"),
-    ("^Учёба/.*(шаблон|Шаблон)", "выводимое", "шаблон"),
-    ("^Учёба/(План|Протокол)", "утверждение", "правило"),
-    ("^_tools/queue/", "улика", "задание"),
-    ("^(CLAUDE|README)\\.md$|^_tools/", "сущность", "инструмент"),
-    ("^(archive|brain/log)/.*(?iu:telegram|срез)", "улика", "выгрузка"),
-    ("^daily/.*(?iu:telegram|срез)", "улика", "выгрузка"),
-    ("^daily/", "улика", "дневник"),
-    ("^(archive|brain/log)/", "улика", "журнал"),
-    ("^people/", "сущность", "человек"),
-    ("^projects/", "сущность", "проект"),
-    ("^areas/", "сущность", "область"),
-    ("^templates/", "выводимое", "шаблон"),
-    ("^Учёба/Карточки/", "выводимое", "карточка"),
-    ("^Учёба/(Лог сессий|Журнал ошибок)", "улика", "журнал"),
-    ("^resources/", "сущность", "понятие"),
-]
+def classification(notes: DataFrame, rules: list[tuple]) -> DataFrame:
+    """state, klass, kind, n: what a classification by rules would do.
+
+    notes: path, front (whether there is a front matter), own_klass, own_kind. state: change, already (class and
+    kind are those of the rule), no front matter, or untouched (no rule fits).
+    """
+    c = classify(notes, rules, F.col("own_kind"))
+    same = F.col("own_klass").eqNullSafe(F.col("klass")) & F.col("own_kind").eqNullSafe(F.col("kind"))
+    state = F.when(F.col("klass").isNull(), "untouched").when(~F.col("front"), "no front matter").when(same, "already").otherwise("change")
+    change = state == "change"
+    return c.select(state.alias("state"), F.when(change, F.col("klass")).alias("klass"), F.when(change, F.col("kind")).alias("kind")).groupBy("state", "klass", "kind").agg(F.count("*").alias("n"))

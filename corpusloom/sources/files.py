@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+from dataclasses import dataclass
+
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 from pyspark.sql.window import Window
@@ -82,6 +86,66 @@ def read_chunks(spark: SparkSession, root: str) -> DataFrame:
     return raw.select(F.col("c.p").alias("path"), F.coalesce("c.i", F.lit(0)).alias("i"), F.coalesce("c.h", F.array().cast("array<string>")).alias("h"), F.col("c.t").alias("t"))
 
 
+def chunk_notes(texts: DataFrame) -> DataFrame:
+    """(path, i, h, t): texts (path, text) cut before each heading of level 1 to 4, blank parts left out.
+
+    h is the chain of headings: a heading of level two begins it anew, any other follows its first one.
+    """
+    parts = texts.select("path", F.posexplode(F.split(D.without_front_matter(F.col("text")), r"(?m)(?=^#{1,4} )")).alias("at", "part")).where(F.trim(F.regexp_replace("part", r"\s+", " ")) != "")
+    head = F.regexp_extract("part", r"\A(#{1,4}) (.+)", 1)
+    parts = parts.withColumns({"level": F.length(head), "title": F.nullif(F.trim(F.regexp_extract("part", r"\A(#{1,4}) (.+)", 2)), F.lit(""))})
+    order = Window.partitionBy("path").orderBy("at")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.first("title", ignorenulls=True).over(so_far)
+    root = F.coalesce(F.last(F.when(F.col("level") == 2, F.col("title")), ignorenulls=True).over(so_far), first)
+    before = F.count("title").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    none = F.array().cast("array<string>")
+    # a part without a heading can only be the first
+    chain = F.when(F.col("title").isNull(), none).when((F.col("level") == 2) | (before == 0), F.array("title")).otherwise(F.array(root, "title"))
+    body = F.regexp_replace(F.regexp_replace("part", r"\A#{1,4} .+\n?", ""), r"\A\s+|\s+\z", "")
+    return parts.select("path", (F.row_number().over(order) - 1).cast("long").alias("i"), chain.alias("h"), body.alias("t"))
+
+
+@dataclass
+class Corpus:
+    """A loaded corpus: its notes and links, whether they are of the map, and a number that changes with every load."""
+
+    notes: DataFrame
+    links: DataFrame
+    from_map: bool
+    snapshot: str
+
+
+def model_of(spark: SparkSession, raw: tuple[DataFrame, DataFrame] | DataFrame) -> Corpus:
+    """The model of a map (notes, links) or of chunks."""
+    if isinstance(raw, tuple):
+        return Corpus(*raw, True, uuid.uuid4().hex)
+    notes = notes_of_chunks(raw)
+    return Corpus(notes, links_of_notes(notes), False, uuid.uuid4().hex)
+
+
+def load(spark: SparkSession, root: str) -> Corpus:
+    """The map if it can be read, else the chunk index."""
+    try:
+        found = read_map(spark, root)
+        if found[0].limit(1).count():
+            return model_of(spark, found)
+    except (AnalysisException, PySparkException):
+        pass
+    return model_of(spark, read_chunks(spark, root))
+
+
+def demo(spark: SparkSession) -> DataFrame:
+    """(path, text) of a few invented notes to try things on."""
+    notes = {
+        "projects/Garden.md": "---\nclass: entity\ntags: [garden]\n---\n# Garden\nBeds and paths, see [[Compost]].\n## Beds\n- beans\n- peas\n### Soil\nheavy",
+        "projects/Compost.md": "# Compost\nTurned in spring; for the [[Garden|garden]].",
+        "daily/2024-03-02.md": "---\ntags: [log]\n---\nSowed peas in [[Garden#Beds]].",
+        "people/Ada.md": "Helps with the [[Compost]].",
+    }
+    return spark.createDataFrame(list(notes.items()), "path string, text string")
+
+
 def notes_of_chunks(chunks: DataFrame) -> DataFrame:
     """(path, base, title, text, bytes): chunks in their order with blank lines between; machine-made paths are left out."""
     c = chunks.where(F.col("path").isNotNull() & (F.col("path") != "") & ~F.col("path").startswith(MACHINE))

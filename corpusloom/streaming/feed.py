@@ -41,12 +41,16 @@ def reloads(pushes: DataFrame, short: str = TOUCHED_GAP, long: str = OTHER_GAP,
     return s.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *([key] if key else []), "n", "touched")
 
 
-def replay(queue: DataFrame, key: str = "path") -> DataFrame:
-    """What an ordered queue of writes (id, path, kind, ok) leaves: by path, items run in the order of id up to the
-    first network error (kind 'network'), which stops the path; a content error (ok false) drops its item.
-    Gives path, applied, dropped, waiting, last_id. Two aggregates with partial sums; no ordering in one place."""
-    stop = queue.where("kind = 'network'").groupBy(key).agg(F.min("id").alias("stop"))
-    j = queue.join(stop, key, "left")
+def replay(queue: DataFrame, key: str = "path", queue_of: str | None = None) -> DataFrame:
+    """What an ordered queue of writes (id, path, kind, ok) leaves, by key: items run in the order of id up to the
+    first network error (kind 'network'), which stops the whole queue; a content error (ok false) drops its item.
+    With `queue_of` each value of that column is a queue of its own.
+    Gives key, applied, dropped, waiting, last_id. Aggregates with partial sums; no ordering in one place."""
+    stop = queue.where("kind = 'network'")
+    if queue_of is None:
+        j = queue.crossJoin(F.broadcast(stop.agg(F.min("id").alias("stop"))))  # one row
+    else:
+        j = queue.join(stop.groupBy(queue_of).agg(F.min("id").alias("stop")), queue_of, "left")
     before = F.col("stop").isNull() | (F.col("id") < F.col("stop"))
     return j.groupBy(key).agg(
         F.count_if(before & F.col("ok")).alias("applied"), F.count_if(before & ~F.col("ok")).alias("dropped"),
@@ -54,6 +58,16 @@ def replay(queue: DataFrame, key: str = "path") -> DataFrame:
     )
 
 
+EVENT = "ts timestamp, kind string, path string, touched boolean"
+
+
+def pushes(spark, folder: str, kinds: tuple[str, ...] = ("push",)) -> DataFrame:
+    """A stream of the events (JSON lines of EVENT) that arrive in a folder; only pushes go on, malformed lines do not."""
+    raw = spark.readStream.schema("value string").text(folder)
+    e = raw.select(F.from_json("value", EVENT).alias("e")).select("e.*")
+    return e.where(F.col("kind").isin(*kinds) & F.col("ts").isNotNull())
+
+
 def run_once(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Drive a stream over what is there now into a table in memory."""
     spark = stream.sparkSession

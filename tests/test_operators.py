@@ -76,8 +76,10 @@ def test_claims_put_the_dead_last(spark):
 
 
 def test_classify_takes_the_first_rule(spark):
-    d = P.classify(spark.createDataFrame([("brain/decisions/x.md",), ("daily/telegram.md",), ("daily/1.md",), ("other.md",), ("_tools/queue/1.md",)], "path string"), P.RULES)
-    assert [(r["klass"], r["kind"]) for r in d.collect()] == [("утверждение", "решение"), ("улика", "выгрузка"), ("улика", "дневник"), (None, None), ("улика", "задание")]
+    rules = [("^claims/", "claim", "fact", True), ("^log/.*(?iu:export)", "evidence", "export"), ("^log/", "evidence", "journal")]
+    rows = [("claims/x.md", "rule"), ("claims/y.md", ""), ("claims/z.md", None), ("log/My EXPORT.md", "own"), ("log/1.md", None), ("other.md", "own")]
+    d = P.classify(spark.createDataFrame(rows, "path string, own string"), rules, F.col("own"))
+    assert [(r["klass"], r["kind"]) for r in d.collect()] == [("claim", "rule"), ("claim", "fact"), ("claim", "fact"), ("evidence", "export"), ("evidence", "journal"), (None, None)]
 
 
 def test_versions(spark):
@@ -102,7 +104,41 @@ def test_debounce_as_batch_and_stream(spark, tmp_path):
 
 def test_replay(spark):
     q = spark.createDataFrame([(1, "a", "write", True), (2, "a", "write", False), (3, "a", "network", True), (4, "a", "write", True), (5, "b", "write", True)], "id long, path string, kind string, ok boolean")
-    assert {r["path"]: (r["applied"], r["dropped"], r["waiting"], r["last_id"]) for r in feed.replay(q).collect()} == {"a": (1, 1, 2, 1), "b": (1, 0, 0, 5)}
+    left = lambda **o: {r["path"]: (r["applied"], r["dropped"], r["waiting"], r["last_id"]) for r in feed.replay(q, **o).collect()}
+    assert left(queue_of="path") == {"a": (1, 1, 2, 1), "b": (1, 0, 0, 5)} and left() == {"a": (1, 1, 2, 1), "b": (0, 0, 1, None)}
+
+
+def test_pushes_arrive_as_a_stream(spark, tmp_path):
+    folder = f"{tmp_path}/in"
+    os.makedirs(folder)
+    lines = [{"ts": "2024-01-01T00:00:00", "kind": "push", "path": "a", "touched": True}, {"ts": "2024-01-01T00:00:01", "kind": "ping", "path": "b"}, {"kind": "push"}]
+    open(f"{folder}/1.json", "w").write("\n".join(map(json.dumps, lines)) + "\nno json\n")
+    got = feed.run_once(feed.pushes(spark, folder), "pushes_seen", checkpoint=f"{tmp_path}/cp")
+    assert [(r["path"], r["touched"]) for r in got.collect()] == [("a", True)] and feed.backoff(0) == 1 and feed.backoff(9) == 30
+
+
+def test_labels_drop_twins_and_write_words_out(spark):
+    clusters = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "path string, cluster string")
+    words = spark.createDataFrame([("a", "налог"), ("b", "налог"), ("a", "nalog"), ("b", "nalog"), ("a", "gard"), ("b", "gard"), ("c", "lone")], "path string, term string")
+    titles = spark.createDataFrame([("a", "Garden plans"), ("b", "Gardening and налоги"), ("c", "Only one")], "path string, title string")
+    got = {r["cluster"]: (r["size"], r["label"]) for r in C.labels(clusters, words, titles).collect()}
+    assert got == {"x": (2, "GARDENING · НАЛОГИ"), "y": (1, "ONLY ONE")}
+
+
+def test_loading_falls_back_to_the_chunks(spark, tmp_path):
+    root = str(tmp_path)
+    demo = S.demo(spark)
+    chunks = S.chunk_notes(demo)
+    assert [(r["h"], r["t"]) for r in chunks.where("path like '%Garden.md'").orderBy("i").collect()] == [(["Garden"], "Beds and paths, see [[Compost]]."), (["Beds"], "- beans\n- peas"), (["Beds", "Soil"], "heavy")]
+    os.makedirs(f"{root}/{S.INDEX}")
+    rows = [{"p": r["path"], "h": r["h"], "t": r["t"], "i": r["i"]} for r in chunks.collect()]
+    open(f"{root}/{S.INDEX}/00.json", "w", encoding="utf-8").write(json.dumps(rows))
+    first = S.load(spark, root)
+    assert not first.from_map and first.notes.count() == 4 and ("people/Ada.md", "projects/Compost.md") in {(r["src"], r["dst"]) for r in first.links.collect()}
+    os.makedirs(os.path.dirname(f"{root}/{S.MAP}"))
+    open(f"{root}/{S.MAP}", "w", encoding="utf-8").write(json.dumps({"notes": [{"p": "a.md"}]}))
+    second = S.load(spark, root)
+    assert second.from_map and second.notes.count() == 1 and second.snapshot != first.snapshot
 
 
 def test_file_formats(spark, tmp_path):
