@@ -44,7 +44,7 @@ SELECT path, round(sum(w), 5) AS rrf, min(l) AS first_list FROM l GROUP BY 1 ORD
 
 
 def _answer(spark, sf_dir):
-    found = R.rank_chunks(B.chunks(spark, sf_dir), text.QUERY, N.answer_limit(None))
+    found = text._ranked(spark, sf_dir, text.QUERY, N.answer_limit(None))
     return N.answer(found.select("path", "more", "rank", D.excerpt(F.col("t"), A.query_terms(text.QUERY)).alias("frag")), F.lit(""), "Это фрагменты, а не ответ.")
 
 

@@ -10,6 +10,7 @@ from corpusloom.functions import docs as D
 from corpusloom.operators import finders as N
 from corpusloom.operators import rank as R
 from corpusloom.sources import bindings as B
+from corpusloom.storage import stored
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -31,9 +32,42 @@ def _notes(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", "path", F.col("n_chars").alias("bytes"))
 
 
+def _all_post(spark, sf_dir):
+    return stored(spark, "postings", f"{sf_dir}/documents.parquet", lambda: R.indexed(R.postings(_docs(spark, sf_dir))), "shard")
+
+
 def _post(spark, sf_dir, text, synonyms=()):
-    """The postings that a query can meet, made from the documents."""
-    return R.postings(_docs(spark, sf_dir), only=A.query_terms(text, synonyms))
+    """The postings that a query can meet, of the stored index."""
+    return R.lookup(_all_post(spark, sf_dir), A.query_terms(text, synonyms))
+
+
+def _chunks(spark, sf_dir):
+    return stored(spark, "chunks", f"{sf_dir}/documents.parquet", lambda: B.chunks(spark, sf_dir))
+
+
+def _chunk_words(spark, sf_dir):
+    return stored(spark, "chunk-words", f"{sf_dir}/documents.parquet", lambda: R.indexed(R.chunk_words(_chunks(spark, sf_dir)), term="key"), "shard")
+
+
+def _ranked(spark, sf_dir, text, limit):
+    """The chunk ranker over stored chunks and the stored index of their words."""
+    return R.rank_chunks(_chunks(spark, sf_dir), text, limit, index=_chunk_words(spark, sf_dir))
+
+
+@query
+def stored_chunk_words(spark, sf_dir):
+    """How many words of chunks the stored index has; the first query of a session makes it."""
+    return _chunk_words(spark, sf_dir).agg(F.count_if(F.col("key") == F.col("s")).alias("n_words"))
+
+
+@query
+def stored_postings(spark, sf_dir):
+    """How many postings and keys the stored index has; the first query of a session makes it."""
+    return _all_post(spark, sf_dir).agg(F.count("*").alias("n_postings"), F.count_distinct("term").alias("n_terms"))
+
+
+_META = f"SELECT doc_id, unnest({S.words('path')}) AS w FROM (SELECT doc_id, lang || '/' || source || '/' || doc_id || '.md' AS path FROM documents)"
+ORACLES["stored_postings"] = f"WITH {S.POSTINGS}, mk AS (SELECT doc_id, unnest(list_distinct([s, {S.translit('s')}])) AS term FROM (SELECT doc_id, {S.stem('w')} AS s FROM ({_META}))), p AS (SELECT doc_id, term FROM postings UNION SELECT doc_id, term FROM mk) SELECT count(*) AS n_postings, count(DISTINCT term) AS n_terms FROM p"
 
 
 @query
@@ -72,6 +106,7 @@ def chunk_stems(spark, sf_dir):
 
 
 _LINES = "lines AS (SELECT doc_id, lang, source, lang || '/' || source || '/' || doc_id || '.md' AS path, unnest(range(len(l))) AS i, unnest(l) AS t FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents)), chunks AS (SELECT * FROM lines WHERE trim(t) <> '')"
+ORACLES["stored_chunk_words"] = f"WITH {_LINES} SELECT count(*) AS n_words FROM (SELECT unnest(list_distinct(list_concat({S.words('t')}, {S.words("lang || ' ' || source || ' ' || path")}))) FROM chunks)"
 _keys = lambda x: f"list_distinct(flatten(list_transform(list_distinct({S.words(x)}), lambda w: list_distinct([{S.stem('w')}, {S.translit(S.stem('w'))}]))))"
 ORACLES["chunk_stems"] = f"WITH {_LINES} SELECT doc_id, i::BIGINT AS i, len({_keys('t')})::BIGINT AS n_body, len({_keys(chr(39) + chr(39) + ' || lang || chr(32) || source || chr(32) || path')})::BIGINT AS n_meta FROM chunks"
 
@@ -129,7 +164,7 @@ ORACLES["synonym_expansion"] = _bm25_sql("idiot threat", 25, SYNONYMS, False)
 
 @query
 def rank_chunks(spark, sf_dir):
-    return R.rank_chunks(B.chunks(spark, sf_dir), QUERY, 20).drop("chain", "t")
+    return _ranked(spark, sf_dir, QUERY, 20).drop("chain", "t")
 
 
 def _chunks_sql(text: str, limit: int) -> str:
@@ -198,7 +233,7 @@ ORACLES["ranker_parity_diff"] = f"WITH a AS ({_top(True)}), b AS ({_top(False)})
 @query
 def context_pack(spark, sf_dir):
     """The best eight files for a question, with their best chunks, as one text; a rough count of tokens."""
-    r = R.rank_chunks(B.chunks(spark, sf_dir), QUERY, 8)
+    r = _ranked(spark, sf_dir, QUERY, 8)
     r = r.select("path", "chain", "rank", D.excerpt(F.col("t"), A.query_terms(QUERY)).alias("frag"))
     return N.pack(r).select(F.lit(QUERY).alias("question"), "context", "tokens")
 
@@ -221,7 +256,7 @@ ORACLES["chat_prompt"] = f"SELECT {S.lit(SYSTEM)} || chr(10) || chr(10) || '===
 @query
 def search_chunks(spark, sf_dir):
     """The best files with the chain and an excerpt of their best chunk, and how many more they have."""
-    found = R.rank_chunks(B.chunks(spark, sf_dir), QUERY, 20)
+    found = _ranked(spark, sf_dir, QUERY, 20)
     return found.select("path", "i", "hits", "coverage", "more", "rank", "chain", D.excerpt(F.col("t"), A.query_terms(QUERY)).alias("frag"))
 
 

@@ -3,26 +3,13 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import analyze as A
-
-
-def scratch(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the folder of spark.checkpoint.dir, which all executors share."""
-    spark: SparkSession = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="corpusloom-graph-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from corpusloom.storage import scratch
 
 
 def ego(links: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:

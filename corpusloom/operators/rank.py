@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,8 @@ from corpusloom.functions import docs as D
 K1, B, META = 1.4, 0.3, 2.2
 BODY_WEIGHT, META_WEIGHT, MORE_WEIGHT = 1.0, 1.35, 0.35
 RRF_K = 60
+#: Folders of a stored index; more for a larger corpus.
+SHARDS = 32
 
 
 def may_match(word: Column, terms: list[list[str]]) -> Column:
@@ -39,6 +43,40 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", meta: str
     return body.unionByName(of).groupBy(key, "term").agg(F.max("tf_body").alias("tf_body"), F.max("tf_meta").alias("tf_meta"))
 
 
+def _head(word: Column) -> Column:
+    return F.substring(word, 1, 4)
+
+
+def _shard(head: Column, shards: int) -> Column:
+    return F.pmod(F.crc32(head), F.lit(shards)).cast("int")
+
+
+def indexed(post: DataFrame, shards: int = SHARDS, term: str = "term") -> DataFrame:
+    """Postings with head (the first letters of the key) and shard (by the head), dealt and sorted to be stored by shard.
+
+    A query reads the shards of its heads, which hold its keys and all keys that begin like them. A hot shard is
+    dealt to several tasks.
+    """
+    p = post.withColumn("head", _head(F.col(term))).withColumn("shard", _shard(F.col("head"), shards))
+    return p.repartition("shard", F.pmod(F.xxhash64(term), F.lit(4))).sortWithinPartitions("shard", term)
+
+
+def lookup(stored: DataFrame, terms: list[list[str]], shards: int = SHARDS) -> DataFrame:
+    """The rows of a stored index that a query can meet; both filters are literals that reach the scan."""
+    heads = sorted({v[:4] for t in terms for v in t})
+    found = stored.where(F.col("shard").isin(sorted({zlib.crc32(h.encode()) % shards for h in heads})) & F.col("head").isin(heads))
+    return found.drop("head", "shard")
+
+
+def chunk_words(chunks: DataFrame) -> DataFrame:
+    """(path, i, w, weight, s, t, key): the words of chunks (path, i, h, t), each with its keys s and t, once for each key."""
+    word = lambda text, weight: chunks.select("path", "i", F.explode(A.words(text)).alias("w"), F.lit(weight).alias("weight")).where(A.is_token(F.col("w")))
+    words = word(F.col("t"), BODY_WEIGHT).unionByName(word(F.concat(F.concat_ws(" ", "h"), F.lit(" "), F.col("path")), META_WEIGHT))
+    words = words.groupBy("path", "i", "w").agg(F.max("weight").alias("weight"))
+    keyed = words.withColumn("s", A.stem(F.col("w"))).withColumn("t", A.translit(F.col("s")))
+    return keyed.withColumn("key", F.explode(F.array_distinct(F.array("s", "t"))))
+
+
 def terms_table(spark, terms: list[list[str]]) -> DataFrame:
     """(term_no, variant): a few rows of a query."""
     rows = [(i, v) for i, t in enumerate(terms) for v in t]
@@ -106,21 +144,25 @@ def _contribution(variants: list[str]) -> Column:
     return F.greatest(*one("s"), *one("t"), F.lit(0.0))
 
 
-def rank_chunks(chunks: DataFrame, query: str, limit: int = 20, synonyms=()) -> DataFrame:
+def rank_chunks(chunks: DataFrame, query: str, limit: int = 20, synonyms=(), index: DataFrame | None = None) -> DataFrame:
     """The best files for a query by their best chunk: path, i, hits, coverage, more, rank, chain, t.
 
     chunks: (path, i, h, t). A word's weight is ln(1 + N / (1 + chunks that have it)). The first of equal
     chunks stands for its file; further chunks add the logarithm of their number. A stem keeps the first
     four letters of its word, so words that begin otherwise are dropped before they are stemmed, and only
-    the rest is grouped by chunk.
+    the rest is grouped by chunk. index: the stored `chunk_words` of these chunks, of which only the shards
+    of the query's words are read; without it words are taken from the chunks.
     """
     terms = A.query_terms(query, synonyms)
     n = len(terms)
     cols = [f"c{k}" for k in range(n)]
-    word = lambda text, weight: chunks.select("path", "i", F.explode(A.words(text)).alias("w"), F.lit(weight).alias("weight")).where(A.is_token(F.col("w")))
-    words = word(F.col("t"), BODY_WEIGHT).unionByName(word(F.concat(F.concat_ws(" ", "h"), F.lit(" "), F.col("path")), META_WEIGHT))
-    words = words.where(may_match(F.col("w"), terms)).groupBy("path", "i", "w").agg(F.max("weight").alias("weight"))
-    keyed = words.withColumn("s", A.stem(F.col("w"))).withColumn("t", A.translit(F.col("s")))
+    if index is not None:
+        keyed = lookup(index, terms)
+    else:
+        word = lambda text, weight: chunks.select("path", "i", F.explode(A.words(text)).alias("w"), F.lit(weight).alias("weight")).where(A.is_token(F.col("w")))
+        words = word(F.col("t"), BODY_WEIGHT).unionByName(word(F.concat(F.concat_ws(" ", "h"), F.lit(" "), F.col("path")), META_WEIGHT))
+        words = words.where(may_match(F.col("w"), terms)).groupBy("path", "i", "w").agg(F.max("weight").alias("weight"))
+        keyed = words.withColumn("s", A.stem(F.col("w"))).withColumn("t", A.translit(F.col("s")))
     each = keyed.select("path", "i", *((_contribution(t) * F.col("weight")).alias(c) for t, c in zip(terms, cols)))
     found = each.groupBy("path", "i").agg(*(F.max(c).alias(c) for c in cols)).where(" or ".join(f"{c} > 0" for c in cols))
     df = found.agg(*(F.count_if(F.col(c) > 0).alias(f"d{k}") for k, c in enumerate(cols))).crossJoin(chunks.agg(F.count("*").alias("N")))

@@ -288,3 +288,27 @@ def test_modularity_of_a_component_of_many_links(spark):
     got = C.modularity_clusters(spokes.unionByName(chain), component)
     sizes = [r["count"] for r in got.groupBy("cluster").count().collect()]
     assert sum(sizes) == n + 1 and len(sizes) > 100 and max(sizes) < n / 4
+
+
+def test_stored_tables_follow_their_source(spark, tmp_path):
+    from corpusloom import storage
+
+    source, made = f"{tmp_path}/t", []
+    spark.range(3).write.parquet(source)
+    build = lambda: made.append(1) or spark.read.parquet(source).withColumn("shard", F.col("id") % 2)
+    ask = lambda: storage.stored(spark, "test", source, build, "shard")
+    assert ask().count() == 3 and ask().where("shard = 0").count() == 2 and len(made) == 1
+    spark.range(5).write.mode("overwrite").parquet(source)
+    assert ask().count() == 5 and len(made) == 2
+    storage.forget(source)
+    assert ask().count() == 5 and len(made) == 3
+
+
+def test_an_index_gives_the_ranks_of_the_texts(spark, sf):
+    from corpusloom.catalog import text as T
+    from corpusloom.sources import bindings as B
+
+    for query in ("idiot threat of the налог", "worthless"):
+        chunks = B.chunks(spark, sf)
+        plain = R.rank_chunks(chunks, query, 30).drop("t").collect()
+        assert sorted(plain) == sorted(R.rank_chunks(chunks, query, 30, index=T._chunk_words(spark, sf)).drop("t").collect())
