@@ -8,9 +8,10 @@ x bins) come to the driver. The finished trees are one Column of nested CASE
 expressions, so judging URLs is a map without a shuffle, except for the join
 with the statistics of suffixes.
 
-Labels: `weak_labels` marks URLs whose host holds a word from a short list as
-unwanted, others as wanted. It stands in where no labelled table exists; any
-table of (url, label) can be given instead.
+Labels: any table of (url, label) can be given. Without one the URLs that the
+rules decide are the labelled ones, and the trees carry on to the others what
+the rules say. Only where the rules give no URLs of both kinds does
+`weak_labels` stand in, which marks hosts that hold a word from a short list.
 """
 
 from __future__ import annotations
@@ -98,6 +99,13 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
     return d.withColumn("suffix", suffix_of(h)).withColumns({f"f_{k}": v.cast("double") for k, v in values.items()}).drop("_url")
 
 
+def rule_labels(pages: DataFrame, rules: dict[str, str], url: str = "url") -> DataFrame:
+    """(url, label) of the URLs that a rule decides: 1 for block, 0 for allow."""
+    u = F.col(url).cast("string")
+    blocked = reduce(lambda c, r: c.when(F.col("rule") == r, F.lit(int(rules[r] == "block"))), rules, F.when(F.lit(False), F.lit(0)))
+    return pages.select(u.alias("url"), rule_for(host_of(u), path_of(u), rules).alias("rule")).where("rule is not null").select("url", blocked.alias("label"))
+
+
 def weak_labels(pages: DataFrame, url: str = "url", words: tuple[str, ...] = UNWANTED) -> DataFrame:
     """(url, label): 1 if the host has one of the words between dots and hyphens, else 0."""
     hit = host_of(F.col(url).cast("string")).rlike("(^|[.-])(" + "|".join(words) + ")([.-]|$)")
@@ -151,9 +159,13 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     labels the model is constant.
     """
     spark = labelled.sparkSession
-    rows = labelled.where(F.col("url").isNotNull() & F.col("label").isNotNull()).groupBy("url").agg(F.max("label").cast("double").alias("y"))
+    known = labelled.where(F.col("url").isNotNull() & F.col("label").isNotNull())
+    # about half as many again as the sample needs pass the bound on the hash, so that only these are grouped; all if there are few
+    many = known.agg(F.approx_count_distinct("url", 0.02).alias("n")).first()["n"]
+    share = F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int(min(1.0, 1.5 * sample / max(many, 1)) * (1 << 30))
+    rows = known.where(share).groupBy("url").agg(F.max("label").cast("double").alias("y"))
     # the sample is bounded, so one partition holds it and its sums need no shuffle
-    rows = lexical(rows.orderBy(F.xxhash64("url"), "url").limit(sample)).coalesce(1)
+    rows = lexical(rows.orderBy(F.pmod(F.xxhash64("url"), F.lit(1 << 30)), "url").limit(sample)).coalesce(1)
     rows = materialise(rows, "url-sample")
     total = rows.agg(F.count("*").alias("n"), F.sum("y").alias("y")).first()
     n, y = total["n"], total["y"] or 0.0
@@ -234,7 +246,11 @@ def judge(pages: DataFrame, rules: dict[str, str], labelled: DataFrame | None =
     is at the threshold or above. A null URL or one without :// has an empty host and path, fits no rule
     and is judged by its features. Repeated rows are judged alike. An empty table gives an empty result.
     """
-    model = fit(weak_labels(pages, url) if labelled is None else labelled)
+    if labelled is None:
+        ruled = rule_labels(pages, rules, url)
+        both = ruled.agg(F.min("label").alias("low"), F.max("label").alias("high")).first()
+        labelled = ruled if (both["low"], both["high"]) == (0, 1) else weak_labels(pages, url)
+    model = fit(labelled)
     d = _with_suffixes(lexical(pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"))), model)
     d = d.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules)).withColumn("score", model.score())
     said = reduce(lambda c, r: c.when(F.col("rule") == r, F.lit(rules[r])), rules, F.when(F.lit(False), F.lit("")))
