@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import kernels as K
-from corpusloom.llm.common import map_groups, materialise, resident, tidy
+from corpusloom.llm.common import join_hot, map_groups, materialise, resident, tidy
 from corpusloom.llm.components import Forest, components
 
 WIDTH, DEPTH, TABLES, BLOCK = 2.5, 22, 44, 1024
@@ -136,7 +136,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_id"
     base = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"), F.col(label).cast("string").alias("label"))
     sketch = materialise(base.where("vec_id is not null and label is not null and embedding is not null").mapInArrow(tidy(_sketch), _SKETCH), "vectors")
     classes = materialise(sketch.groupBy("one", "two").agg(F.min("vec_id").alias("cls"), F.count("*").alias("copies")), "classes")
-    reps = sketch.join(classes, ["one", "two"]).where("vec_id = cls").select("cls", "copies", "x", "keys")
+    mine = classes.select("one", "two", F.col("cls").alias("vec_id"), "copies")
+    reps = sketch.join(mine, ["one", "two", "vec_id"]).select(F.col("vec_id").alias("cls"), "copies", "x", "keys")
     reps = materialise(reps, "reps")
     met = reps.select("cls", F.posexplode("keys").alias("t", "key")).groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("n")).where("low < high")
     met = materialise(met.select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")), "buckets")
@@ -147,12 +148,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_id"
     links = materialise(map_groups(units, "unit", _compare(least), "cls long, links long, root long"), "links")
     counts = links.groupBy("cls").agg(F.sum("links").alias("links"))
     # a repeated vec_id joins the classes of its rows
-    other = sketch.join(classes, ["one", "two"]).where("vec_id <> cls").select(F.col("vec_id").alias("src"), F.col("cls").alias("dst"))
-    twice = sketch.groupBy("vec_id").agg(F.count_distinct("one", "two").alias("n")).where("n > 1").select(F.col("vec_id").alias("src"))
-    joined = components(links.select(F.col("cls").alias("src"), F.col("root").alias("dst")).unionByName(other.join(twice, "src", "left_semi")))
+    print_ = sketch.select("vec_id", "one", "two")
+    twice = print_.distinct().groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id")
+    other = print_.join(twice, "vec_id", "left_semi").join(classes, ["one", "two"]).where("vec_id <> cls").select(F.col("vec_id").alias("src"), F.col("cls").alias("dst"))
+    joined = components(links.select(F.col("cls").alias("src"), F.col("root").alias("dst")).unionByName(other))
     ends = classes.join(counts, "cls", "left").join(joined.withColumnRenamed("node", "cls"), "cls", "left")
-    ends = ends.select("one", "two", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
-    linked = sketch.select("vec_id", "one", "two").join(ends, ["one", "two"]).select("vec_id", "n_links", "component_id")
+    ends = ends.select("one", "two", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
+    linked = join_hot(print_, materialise(ends, "ends"), ["one", "two"], "copies").select("vec_id", "n_links", "component_id")
     # rows that took no part
     bad = base.where(~valid(F.col("embedding")) | F.col("label").isNull() | F.col("vec_id").isNull())
     rest = bad.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
