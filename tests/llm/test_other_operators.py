@@ -132,6 +132,7 @@ def test_judge(spark):
     for i, u in enumerate(URLS):
         assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == brute_judge(u), u
         assert got[i]["verdict"] == RULES[got[i]["rule"]] if got[i]["rule"] else got[i]["verdict"] in ("allow", "block")
+    got = {r["page_id"]: r for r in urlfilter.judge(df, RULES, urlfilter.weak_labels(df)).collect()}
     assert all(got[100 + i]["verdict"] == "allow" for i in range(80)) and all(got[300 + i]["verdict"] == "block" for i in range(20))
     assert urlfilter.judge(df.where("false"), RULES).collect() == []
 
@@ -150,3 +151,52 @@ def test_queries_are_registered():
 
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert numbers == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_record_ids_are_unique(spark, tmp_path):
+    import gzip
+    import re
+
+    from corpusloom.llm import warc
+
+    rows = [(1, "http://a/", "same"), (2, "http://b/", "same"), (None, "http://c/", "same"), (None, None, "x"), (3, "u", "y"), (3, "u", "y"), (3, "u", "z"), (4, "v", "y")]
+    index = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    raw = b"".join(gzip.decompress(open(f.removeprefix("file://"), "rb").read()) for f in {r["file"] for r in index.collect()})
+    ids = re.findall(rb"WARC-Record-ID: (\S+)", raw)
+    assert len(ids) == len(set(ids)) == len(rows)
+    assert set(re.findall(rb"WARC-Refers-To: (\S+)", raw)) < set(ids)
+    assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read(index).collect()} >= {(1, "response", None), (2, "revisit", 1), (4, "revisit", 3)}
+
+
+def test_rules_are_the_labels(spark):
+    """Without a table of labels the trees learn from the URLs that the rules decide."""
+    urls = [f"http://shop{i}.example.net/buy?id={i}&x={i}" for i in range(60)] + [f"http://www.org/fr/page{i}" for i in range(60)] + [f"http://site{i}.test/buy?id={i}&x={i}" for i in range(20)] + [f"http://www.tst/fr/page{i}" for i in range(20)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(pages, RULES).collect()}
+    assert all(got[i] == "block" for i in range(60)) and all(got[i] == "allow" for i in range(60, 120))
+    assert sum(got[i] == "block" for i in range(120, 140)) > 15 and sum(got[i] == "allow" for i in range(140, 160)) > 15
+    labelled = urlfilter.rule_labels(pages, RULES)
+    assert labelled.count() == 120 and labelled.agg({"label": "sum"}).first()[0] == 60
+
+
+def test_trees_are_those_of_brute_force(spark):
+    """The first split is the one of the largest gain over all features and cuts, and its leaves are the Newton steps."""
+    import math
+
+    urls = [(f"http://h{i}.test/" + "a/" * (i % 7) + ("p?x=1&y=2" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(90)]
+    df = spark.createDataFrame(urls, "url string, label int")
+    model = urlfilter.fit(df)
+    root = model.trees[0]
+    names = [f"f_{k}" for k in urlfilter.FEATURES]
+    rows = urlfilter._with_suffixes(urlfilter.lexical(df), model).select("label", *names).collect()
+    p = sum(r["label"] for r in rows) / len(rows)
+    assert math.isclose(model.base, math.log(p / (1 - p)))
+    g, h = [r["label"] - p for r in rows], p * (1 - p)
+
+    def gain(feature, cut):
+        left = [x for x, r in zip(g, rows) if r[feature] <= cut]
+        n, m = len(left), len(rows) - len(left)
+        return -1 if not n or not m else sum(left) ** 2 / (n * h + urlfilter.RIDGE) + (sum(g) - sum(left)) ** 2 / (m * h + urlfilter.RIDGE)
+
+    best = max(gain(f, c) for f in names for c in {r[f] for r in rows})
+    assert gain(root.feature, root.cut) >= best - 1e-6

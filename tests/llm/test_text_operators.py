@@ -401,6 +401,109 @@ def test_repeated_spans(make_docs, messy):
     assert len(substrings.repeated_spans(make_docs(*messy)).collect()) == len(messy)
 
 
+def test_deduplicate_keeps_every_row(spark, make_docs):
+    passage = words(700, 60)
+    rows = [(1, words(1, 40) + " " + passage), (2, words(2, 40) + " " + passage), (2, words(2, 40) + " " + passage), (2, words(3, 40) + " " + passage), (None, passage), (3, None), (4, ""), (5, "é" * 9000)]
+    docs = make_docs(*rows).withColumnsRenamed({"size": "starts", "place": "print", "keys": "of"})
+    got = sorted(substrings.deduplicate(docs).collect(), key=repr)
+    assert len(got) == len(rows) and got[0].__fields__ == docs.columns
+    texts = sorted(r["text"] for r in got if r["doc_id"] == 2)
+    assert texts[0] == texts[1] or texts[1] == texts[2]
+    assert all(len(t) < len(rows[1][1]) - 200 for t in texts) and {r["text"] for r in got if r["doc_id"] in (1, None)} == {rows[0][1], passage}
+    assert substrings.deduplicate(make_docs()).collect() == []
+
+
+def test_how_much_of_a_passage_is_found(make_docs):
+    """By brute force, which knows where the passages are: passages of 250 bytes or more are found, and most of their bytes."""
+    pairs, want = [], {}
+    for k, size in enumerate(s for s in (160, 200, 250, 300, 400, 600, 1000) for _ in range(20)):
+        passage = words(10_000 + k, size)[:size]
+        pairs += [(2 * k, words(20_000 + k, 60) + " " + passage + " " + words(30_000 + k, 60)), (2 * k + 1, words(40_000 + k, 50) + "\n" + passage + "\n" + words(50_000 + k, 60))]
+        want[2 * k + 1] = passage
+    got = {r["doc_id"]: r for r in substrings.repeated_spans(make_docs(*pairs)).collect()}
+    text = {d: t.encode() for d, t in pairs}
+    found, covered = {}, {}
+    for d, passage in want.items():
+        n, first = len(passage), text[d].index(passage.encode())
+        inside = sum(max(0, min(b, first + n) - max(a, first)) for a, b in zip(got[d]["starts"], got[d]["ends"]))
+        found.setdefault(n, []).append(inside > 0)
+        covered.setdefault(n, []).append(inside / n)
+        assert all(a >= first - 40 and b <= first + n + 40 for a, b in zip(got[d]["starts"], got[d]["ends"]))
+    mean = lambda x: sum(x) / len(x)
+    assert mean(found[200]) >= 0.85 and all(mean(found[n]) == 1 for n in (250, 300, 400, 600, 1000))
+    assert mean(covered[250]) > 0.7 and mean(covered[400]) > 0.8 and mean(covered[1000]) > 0.9
+
+
+def test_documents_that_only_share_a_passage_do_not_chain(make_docs, monkeypatch):
+    """Boilerplate makes all documents candidates of one another by tables; signatures keep them apart, so no texts meet."""
+    shared = words(60, 60)
+    pairs = [(i, shared + " " + words(100 + i, 60)) for i in range(60)]
+    met = []
+    real = minhash._forest_of
+    monkeypatch.setattr(minhash, "_forest_of", lambda members, *a: met.append((a[-1], members.count())) or real(members, *a))
+    got = minhash.near_duplicates(make_docs(*pairs), 85).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got)
+    assert dict(met)["near"] > 60 and dict(met)["links"] == 0
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_large_groups_lose_no_link(make_docs, monkeypatch, block):
+    """A core of near copies, pairs that are alike but not like the core, and all pairs compared by brute force."""
+    base, pairs = words(77, 90).split(" "), []
+    for i in range(30):
+        w = base[:]
+        w[(i * 7) % 90] = f"v{i}"
+        if i % 5 == 0:  # farther from the core, like one another
+            w[10:22] = [f"far{k}" for k in range(12)]
+        pairs.append((i + 1, " ".join(w)))
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", block)
+    for deviations in (4.5, None):
+        got = minhash.near_duplicates(make_docs(*pairs), 80, deviations=deviations).collect()
+        assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute_near(pairs, 80)
+
+
+def test_ridge_is_that_of_all_rows_at_once(spark):
+    """Sums by partition give the weights and bins of the normal equations over all rows."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, len(quality.STATISTICS))).astype(np.float32)
+    y = (x[:, 0] + 0.3 * rng.normal(size=400) > 0).astype(int)
+    rows = spark.createDataFrame([(v.tolist(), int(t)) for v, t in zip(x, y)], "stats array<float>, label int").repartition(5)
+    model = quality.fit(rows)
+    x = x.astype(float)
+    mean, spread = x.mean(0), x.std(0) + 1e-6
+    f = quality.fourier(x, mean, spread)
+    shrink = np.full(f.shape[1], quality.RIDGE)
+    shrink[-1] = 1e-6
+    assert np.allclose(model["mean"], mean) and np.allclose(model["weights"], np.linalg.solve(f.T @ f + np.diag(shrink), f.T @ y), atol=1e-4)
+    p = quality.predict(x, model)
+    assert ((p >= 0.5) == (y == 1)).mean() > 0.9 and quality.fit(rows.where("label = 1")) == {"constant": 1.0}
+
+
+def test_quotation_marks_of_several_kinds():
+    for text in ('he "x', "er „x", "il «x", "she “x"):
+        raw = text.encode()
+        data, at = np.frombuffer(raw, np.uint8), np.array([len(raw) - 1])
+        assert toxicity.Scorer._quoted(data, np.array([0, len(raw)]), at, np.array([0])).tolist() == [True]
+    raw = "«a» x".encode()
+    assert toxicity.Scorer._quoted(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), np.array([len(raw) - 1]), np.array([0])).tolist() == [False]
+
+
+def test_stages_take_any_rows(spark, tmp_path, make_docs, messy):
+    """Null, empty and very long texts, repeated ids, clashing names and empty tables go through every filtering stage."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1), (4, 0), (12, 0), (None, 1), (3, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, words(4, 30)), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = make_docs(*messy).withColumnsRenamed({"place": "stay", "keys": "cls", "component": "one", "score": "label"})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.where("false"), str(tmp_path)).collect() == [], name
+        docs = stage(spark, docs, str(tmp_path))
+        rows = docs.collect()
+        assert docs.columns[:2] == ["doc_id", "text"] and len(docs.columns) == 10, name
+        assert any(r["doc_id"] == 6 for r in rows) or name == "mixing", name
+    assert not any(r["doc_id"] == 12 for r in rows)
+
+
 def test_pipeline_is_its_stages(spark, tmp_path, make_docs):
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline
