@@ -22,11 +22,11 @@ def query(fn):
     return fn
 
 
-def _keywords(spark, sf_dir):
+def _keywords(spark, sf_dir, key="path"):
     d = B.table(spark, sf_dir, "documents")
     total = d.agg(F.count("*").alias("total"))
-    counts = R.term_counts(d.withColumn("path", B.path_column()), "path", "text").crossJoin(F.broadcast(total))  # one row
-    return G.keywords(counts, "path", F.col("total"))
+    counts = R.term_counts(d.withColumn("path", B.path_column()), key, "text").crossJoin(F.broadcast(total))  # one row
+    return G.keywords(counts, key, F.col("total"))
 
 
 KEYWORDS_SQL = f"""{S.POSTINGS}, paths AS (SELECT doc_id, lang || '/' || source || '/' || doc_id || '.md' AS path FROM documents), dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY 1),
@@ -43,27 +43,18 @@ def similar_keyword_part(spark, sf_dir):
 ORACLES["similar_keyword_part"] = f"WITH {KEYWORDS_SQL}, {_KW_PART} SELECT path, other, round(w, 6) AS w FROM kpart"
 
 
-def _customers(spark, sf_dir):
-    return B.entities(spark, sf_dir).select("path")
-
-
-def _small_links(spark, sf_dir):
-    return B.links(spark, sf_dir).where(F.col("type").isin("about", "relates"))
-
-
 @query
 def similar_graph_part(spark, sf_dir):
-    """Orders that share parts with an order of a customer of high balance."""
-    rich = B.table(spark, sf_dir, "customer").where("c_acctbal > 9900").select("c_custkey")
-    of = B.table(spark, sf_dir, "orders").join(rich, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(F.concat(F.lit("order/"), "o_orderkey").alias("path"))
-    return G.graph_part(B.nodes(spark, sf_dir), _small_links(spark, sf_dir), of).select("path", "other", F.round("w", 6).alias("w"))
+    """All nodes with a direct link to, or a common neighbour with, each node whose number is divisible by 20, over links of all types."""
+    n = B.nodes(spark, sf_dir)
+    return G.graph_part(n, B.links(spark, sf_dir), n.where(_TWENTIETH)).select("path", "other", F.round("w", 6).alias("w"))
 
 
-ORACLES["similar_graph_part"] = f"""WITH {B.NODES_SQL}, {B.LINKS_SQL}, l AS (SELECT src, dst FROM links WHERE type IN ('about', 'relates') AND src <> dst), near AS (SELECT src AS path, dst AS x FROM l UNION ALL SELECT dst, src FROM l),
-deg AS (SELECT path, count(*) AS deg FROM near GROUP BY 1), f AS (SELECT 'order/' || o_orderkey AS path FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9900)),
-m AS (SELECT * FROM near WHERE path IN (SELECT path FROM f)),
-p AS (SELECT path, x AS other, 0.8::DOUBLE AS w FROM m UNION ALL SELECT m.path, n.x, sum(1.1::DOUBLE / log2(2 + deg)) FROM m JOIN deg d ON d.path = m.x JOIN near n ON n.path = m.x WHERE n.x <> m.path GROUP BY 1, 2)
-SELECT path, other, round(sum(w), 6) AS w FROM p GROUP BY 1, 2"""
+_TWENTIETH = "cast(substring_index(path, '/', -1) AS bigint) % 20 = 0"
+_GRAPH = lambda of: f"""WITH {B.LINKS_SQL}, l AS (SELECT src, dst FROM links WHERE src <> dst), near AS (SELECT path, x, count(*) AS c FROM (SELECT src AS path, dst AS x FROM l UNION ALL SELECT dst, src FROM l) GROUP BY 1, 2),
+m AS (SELECT * FROM near{of}), deg AS (SELECT path, sum(c) AS deg FROM near GROUP BY 1), p AS (SELECT path, x AS other, 0.8::DOUBLE * c AS w FROM m UNION ALL SELECT m.path, n.x, sum(m.c * n.c * 1.1::DOUBLE / log2(2 + deg)) FROM m JOIN deg d ON d.path = m.x JOIN near n ON n.path = m.x WHERE n.x <> m.path GROUP BY 1, 2)
+SELECT path, other, round(sum(w), 6) AS w FROM p GROUP BY 1, 2"""
+ORACLES["similar_graph_part"] = _GRAPH(" WHERE split_part(path, '/', 2)::BIGINT % 20 = 0")
 
 
 @query
@@ -73,9 +64,7 @@ def similar_graph_whole(spark, sf_dir):
     return G.graph_part(n, B.links(spark, sf_dir), n).select("path", "other", F.round("w", 6).alias("w"))
 
 
-ORACLES["similar_graph_whole"] = f"""WITH {B.LINKS_SQL}, l AS (SELECT src, dst FROM links WHERE src <> dst), near AS (SELECT path, x, count(*) AS c FROM (SELECT src AS path, dst AS x FROM l UNION ALL SELECT dst, src FROM l) GROUP BY 1, 2),
-deg AS (SELECT path, sum(c) AS deg FROM near GROUP BY 1), p AS (SELECT path, x AS other, 0.8::DOUBLE * c AS w FROM near UNION ALL SELECT m.path, n.x, sum(m.c * n.c * 1.1::DOUBLE / log2(2 + deg)) FROM near m JOIN deg d ON d.path = m.x JOIN near n ON n.path = m.x WHERE n.x <> m.path GROUP BY 1, 2)
-SELECT path, other, round(sum(w), 6) AS w FROM p GROUP BY 1, 2"""
+ORACLES["similar_graph_whole"] = _GRAPH("")
 
 
 def _part_notes(spark, sf_dir):
@@ -95,37 +84,23 @@ SELECT a.path, b.path AS other, round(sum(1.4::DOUBLE / log2(2 + h)), 6) AS w FR
 
 def _similar(spark, sf_dir, limit=8):
     n = B.table(spark, sf_dir, "documents").count()
-    shown = B.notes(spark, sf_dir).select("path", F.lit(0).alias("deg"), (F.col("lang") == "de").alias("chronicle"), (F.col("klass") != "evidence").alias("shown"))
-    return G.similar([G.keyword_part(_keywords(spark, sf_dir), n)], shown, limit)
+    notes = B.notes(spark, sf_dir).select(F.col("pos").alias("path"), F.col("path").alias("name"), "tags", F.lit(0).alias("deg"), (F.col("lang") == "de").alias("chronicle"), (F.col("klass") != "evidence").alias("shown"))
+    words = _keywords(spark, sf_dir, "doc_id").withColumnRenamed("doc_id", "path")  # pairs of numbers, not of names
+    return G.similar_with_tags([G.keyword_part(words, n, others=notes.where("shown"))], notes, limit)
 
 
 @query
 def similar_notes(spark, sf_dir):
-    return _similar(spark, sf_dir)
-
-
-_SIM = f"""WITH {KEYWORDS_SQL}, {_KW_PART}, {B.NOTES_SQL}, sim AS (SELECT path, other, score FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, other) AS r FROM
-(SELECT k.path, other, round(w * (CASE WHEN lang = 'de' THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END) / log2(2), 6) AS score FROM kpart k JOIN notes n ON n.path = other WHERE klass <> 'evidence')) WHERE r <= 8)"""
-ORACLES["similar_notes"] = f"{_SIM} SELECT * FROM sim"
-
-
-def _similar_whole(spark, sf_dir, limit=8):
-    n = B.table(spark, sf_dir, "documents").count()
-    notes = B.notes(spark, sf_dir).select("path", "tags", F.lit(0).alias("deg"), (F.col("lang") == "de").alias("chronicle"), (F.col("klass") != "evidence").alias("shown"))
-    return G.similar_with_tags([G.keyword_part(_keywords(spark, sf_dir), n)], notes, limit)
-
-
-@query
-def similar_notes_whole(spark, sf_dir):
     """Similar notes by shared keywords and shared tags; documents have no links, so no links or degrees."""
-    return _similar_whole(spark, sf_dir)
+    return _similar(spark, sf_dir)
 
 
-ORACLES["similar_notes_whole"] = f"""WITH {KEYWORDS_SQL}, {_KW_PART}, {B.NOTES_SQL}, t AS (SELECT path, unnest(tags) AS tag FROM notes), held AS (SELECT tag, count(*) AS h FROM t GROUP BY 1),
+_SIM = f"""WITH {KEYWORDS_SQL}, {_KW_PART}, {B.NOTES_SQL}, t AS (SELECT path, unnest(tags) AS tag FROM notes), held AS (SELECT tag, count(*) AS h FROM t GROUP BY 1),
 tpart AS (SELECT a.path, b.path AS other, sum(1.4::DOUBLE / log2(2 + h)) AS w FROM t a JOIN held ON a.tag = held.tag JOIN t b ON a.tag = b.tag AND a.path <> b.path GROUP BY 1, 2),
-every AS (SELECT path, other, sum(w) AS w FROM (SELECT * FROM kpart UNION ALL SELECT * FROM tpart) GROUP BY 1, 2)
-SELECT path, other, score FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, other) AS r FROM
-(SELECT k.path, other, round(w * (CASE WHEN lang = 'de' THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END) / log2(2), 6) AS score FROM every k JOIN notes n ON n.path = other WHERE klass <> 'evidence')) WHERE r <= 8"""
+every AS (SELECT path, other, sum(w) AS w FROM (SELECT * FROM kpart UNION ALL SELECT * FROM tpart) GROUP BY 1, 2),
+sim AS (SELECT path, other, score FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, other) AS r FROM
+(SELECT k.path, other, round(w * (CASE WHEN lang = 'de' THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END) / log2(2), 6) AS score FROM every k JOIN notes n ON n.path = other WHERE klass <> 'evidence')) WHERE r <= 8)"""
+ORACLES["similar_notes"] = f"{_SIM} SELECT * FROM sim"
 
 
 @query
@@ -194,24 +169,12 @@ SELECT p.entity, count(*) AS total, string_agg(claim, ',' ORDER BY place) FILTER
 
 @query
 def co_mentioned(spark, sf_dir):
-    """Parts that share orders with a part; the six with the most."""
-    of = B.table(spark, sf_dir, "part").where("p_size = 1").select(F.concat(F.lit("part/"), "p_partkey").alias("path"))
-    return E.near(B.links(spark, sf_dir), of, kind="relates")
-
-
-ORACLES["co_mentioned"] = """WITH l AS (SELECT DISTINCT l_orderkey AS o, 'part/' || l_partkey AS p FROM lineitem), m AS (SELECT * FROM l WHERE p IN (SELECT 'part/' || p_partkey FROM part WHERE p_size = 1)),
-n AS (SELECT m.p AS entity, l.p AS other, count(*) AS n FROM m JOIN l ON l.o = m.o AND l.p <> m.p GROUP BY 1, 2)
-SELECT entity, other, n FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC, other) AS r FROM n) WHERE r <= 6"""
-
-
-@query
-def co_mentioned_whole(spark, sf_dir):
     """For every part the six that share the most orders with it."""
     of = B.table(spark, sf_dir, "part").select(F.concat(F.lit("part/"), "p_partkey").alias("path"))
     return E.near(B.links(spark, sf_dir), of, kind="relates")
 
 
-ORACLES["co_mentioned_whole"] = """WITH l AS (SELECT DISTINCT l_orderkey AS o, 'part/' || l_partkey AS p FROM lineitem), n AS (SELECT m.p AS entity, l.p AS other, count(*) AS n FROM l AS m JOIN l ON l.o = m.o AND l.p <> m.p GROUP BY 1, 2)
+ORACLES["co_mentioned"] = """WITH l AS (SELECT DISTINCT l_orderkey AS o, 'part/' || l_partkey AS p FROM lineitem), n AS (SELECT m.p AS entity, l.p AS other, count(*) AS n FROM l AS m JOIN l ON l.o = m.o AND l.p <> m.p GROUP BY 1, 2)
 SELECT entity, other, n FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC, other) AS r FROM n) WHERE r <= 6"""
 
 

@@ -219,6 +219,8 @@ def test_whole_graph_similarity_has_every_node(spark, sf):
     got = {(r.path, r.other): r.w for r in catalog.QUERIES["similar_graph_whole"](spark, sf).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
     assert {p.split("/")[0] for p, _ in got} == {"customer", "order", "part", "nation", "region", "supplier"}
+    some = {(r.path, r.other): r.w for r in catalog.QUERIES["similar_graph_part"](spark, sf).collect()}
+    assert some == {k: w for k, w in got.items() if int(k[0].split("/")[1]) % 20 == 0}
 
 
 def test_co_mentions_of_every_part(spark, sf):
@@ -233,7 +235,7 @@ def test_co_mentions_of_every_part(spark, sf):
         for a in here:
             count[a].update(here - {a})
     want = {(a, b, n) for a, c in count.items() for b, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:6]}
-    assert {tuple(r) for r in catalog.QUERIES["co_mentioned_whole"](spark, sf).select("entity", "other", "n").collect()} == want
+    assert {tuple(r) for r in catalog.QUERIES["co_mentioned"](spark, sf).select("entity", "other", "n").collect()} == want
 
 
 def test_similar_notes_with_tags_are_those_of_all_pairs(spark, sf):
@@ -250,10 +252,10 @@ def test_similar_notes_with_tags_are_those_of_all_pairs(spark, sf):
     rows = lambda df: sorted(tuple(r) for r in df.select("path", "other", "score").collect())
     got, want = rows(X.similar_with_tags(parts, notes)), rows(X.similar([*parts, X.tag_part(notes, notes)], notes))
     assert got == want and got != rows(X.similar(parts, notes))
-    assert set(catalog.QUERIES["similar_notes_whole"](spark, sf).columns) == {"path", "other", "score"}
+    assert set(catalog.QUERIES["similar_notes"](spark, sf).columns) == {"path", "other", "score"}
     from corpusloom.catalog import relations
 
-    near = relations._similar_whole(spark, sf, 3)
+    near = relations._similar(spark, sf, 3)
     ends = {r[0] for r in near.select("path").union(near.select("other")).collect()}
     assert {r.path for r in catalog.QUERIES["label_spreading"](spark, sf).collect()} == ends
 
