@@ -12,6 +12,7 @@ from corpusloom.operators import rank as R
 from corpusloom.operators import similar as G
 from corpusloom.operators import vectors as V
 from corpusloom.sources import bindings as B
+from corpusloom.storage import stored
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -22,11 +23,15 @@ def query(fn):
     return fn
 
 
-def _keywords(spark, sf_dir, key="path"):
-    d = B.table(spark, sf_dir, "documents")
-    total = d.agg(F.count("*").alias("total"))
-    counts = R.term_counts(d.withColumn("path", B.path_column()), key, "text").crossJoin(F.broadcast(total))  # one row
-    return G.keywords(counts, key, F.col("total"))
+def _keywords(spark, sf_dir):
+    """(doc_id, term): the keywords of the notes, a stored table."""
+
+    def build():
+        d = B.table(spark, sf_dir, "documents")
+        total = d.agg(F.count("*").alias("total"))
+        return G.keywords(R.term_counts(d, "doc_id", "text").crossJoin(F.broadcast(total)), "doc_id", F.col("total"))  # one row
+
+    return stored(spark, "keywords", f"{sf_dir}/documents.parquet", build)
 
 
 KEYWORDS_SQL = f"""{S.POSTINGS}, paths AS (SELECT doc_id, lang || '/' || source || '/' || doc_id || '.md' AS path FROM documents), dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY 1),
@@ -34,10 +39,20 @@ kw AS (SELECT path, term FROM (SELECT p.path, o.term, row_number() OVER (PARTITI
 _KW_PART = "kwdf AS (SELECT term, count(*) AS df FROM kw GROUP BY 1 HAVING count(*) <= (SELECT count(*) FROM documents) / 4.0), kpart AS (SELECT a.path, b.path AS other, sum(1 / log2(2 + df)) AS w FROM kw a JOIN kwdf ON a.term = kwdf.term JOIN kw b ON a.term = b.term AND a.path <> b.path GROUP BY 1, 2)"
 
 
+@query
+def stored_keywords(spark, sf_dir):
+    """How many keywords and different ones the stored table has; the first query of a session makes it."""
+    return _keywords(spark, sf_dir).agg(F.count("*").alias("n_keywords"), F.count_distinct("term").alias("n_terms"))
+
+
+ORACLES["stored_keywords"] = f"WITH {KEYWORDS_SQL} SELECT count(*) AS n_keywords, count(DISTINCT term) AS n_terms FROM kw"
+
+
 @query
 def similar_keyword_part(spark, sf_dir):
-    n = B.table(spark, sf_dir, "documents").count()
-    return G.keyword_part(_keywords(spark, sf_dir), n).select("path", "other", F.round("w", 6).alias("w"))
+    d = B.table(spark, sf_dir, "documents")
+    words = _keywords(spark, sf_dir).join(d.select("doc_id", B.path_column().alias("path")), "doc_id").select("path", "term")
+    return G.keyword_part(words, d.count()).select("path", "other", F.round("w", 6).alias("w"))
 
 
 ORACLES["similar_keyword_part"] = f"WITH {KEYWORDS_SQL}, {_KW_PART} SELECT path, other, round(w, 6) AS w FROM kpart"
@@ -85,7 +100,7 @@ SELECT a.path, b.path AS other, round(sum(1.4::DOUBLE / log2(2 + h)), 6) AS w FR
 def _similar(spark, sf_dir, limit=8):
     n = B.table(spark, sf_dir, "documents").count()
     notes = B.notes(spark, sf_dir).select(F.col("pos").alias("path"), F.col("path").alias("name"), "tags", F.lit(0).alias("deg"), (F.col("lang") == "de").alias("chronicle"), (F.col("klass") != "evidence").alias("shown"))
-    words = _keywords(spark, sf_dir, "doc_id").withColumnRenamed("doc_id", "path")  # pairs of numbers, not of names
+    words = _keywords(spark, sf_dir).withColumnRenamed("doc_id", "path")  # pairs of numbers, not of names
     return G.similar_with_tags([G.keyword_part(words, n, others=notes.where("shown"))], notes, limit)
 
 
