@@ -257,14 +257,14 @@ def label_spreading(spark, sf_dir):
 
 @query
 def cluster_labels(spark, sf_dir):
-    return C.labels(_doc_clusters(spark, sf_dir), relations._keywords(spark, sf_dir), B.notes(spark, sf_dir).select("path", "title"))
+    return C.labels(_doc_clusters(spark, sf_dir), relations.keywords_by_path(spark, sf_dir), B.notes(spark, sf_dir).select("path", "title"))
 
 
 @query
 def cluster_profile(spark, sf_dir):
     """In how many documents of each source each keyword is."""
     d = B.table(spark, sf_dir, "documents").select(B.path_column().alias("path"), F.col("source").alias("cluster"))
-    return C.profiles(d, relations._keywords(spark, sf_dir))
+    return C.profiles(d, relations.keywords_by_path(spark, sf_dir))
 
 
 ORACLES["cluster_profile"] = f"WITH {relations.KEYWORDS_SQL} SELECT source AS cluster, term, count(*) AS n FROM kw JOIN (SELECT source, lang || '/' || source || '/' || doc_id || '.md' AS path FROM documents) d ON d.path = kw.path GROUP BY 1, 2"
@@ -272,7 +272,7 @@ ORACLES["cluster_profile"] = f"WITH {relations.KEYWORDS_SQL} SELECT source AS cl
 
 @query
 def adopt_loose(spark, sf_dir):
-    return C.adopt_loose(_doc_clusters(spark, sf_dir), relations._keywords(spark, sf_dir))
+    return C.adopt_loose(_doc_clusters(spark, sf_dir), relations.keywords_by_path(spark, sf_dir))
 
 
 @query

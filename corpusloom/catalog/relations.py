@@ -34,6 +34,12 @@ def _keywords(spark, sf_dir):
     return stored(spark, "keywords", f"{sf_dir}/documents.parquet", build)
 
 
+def keywords_by_path(spark, sf_dir):
+    """(path, term): the same under the notes' paths."""
+    paths = B.table(spark, sf_dir, "documents").select("doc_id", B.path_column().alias("path"))
+    return _keywords(spark, sf_dir).join(paths, "doc_id").select("path", "term")
+
+
 KEYWORDS_SQL = f"""{S.POSTINGS}, paths AS (SELECT doc_id, lang || '/' || source || '/' || doc_id || '.md' AS path FROM documents), dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY 1),
 kw AS (SELECT path, term FROM (SELECT p.path, o.term, row_number() OVER (PARTITION BY p.path ORDER BY round(o.n * ln((SELECT count(*) FROM documents) / df::DOUBLE), 6) DESC, o.term) AS r FROM postings o JOIN dfs ON o.term = dfs.term JOIN paths p ON p.doc_id = o.doc_id) WHERE r <= 10)"""
 _KW_PART = "kwdf AS (SELECT term, count(*) AS df FROM kw GROUP BY 1 HAVING count(*) <= (SELECT count(*) FROM documents) / 4.0), kpart AS (SELECT a.path, b.path AS other, sum(1 / log2(2 + df)) AS w FROM kw a JOIN kwdf ON a.term = kwdf.term JOIN kw b ON a.term = b.term AND a.path <> b.path GROUP BY 1, 2)"
@@ -50,9 +56,8 @@ ORACLES["stored_keywords"] = f"WITH {KEYWORDS_SQL} SELECT count(*) AS n_keywords
 
 @query
 def similar_keyword_part(spark, sf_dir):
-    d = B.table(spark, sf_dir, "documents")
-    words = _keywords(spark, sf_dir).join(d.select("doc_id", B.path_column().alias("path")), "doc_id").select("path", "term")
-    return G.keyword_part(words, d.count()).select("path", "other", F.round("w", 6).alias("w"))
+    n = B.table(spark, sf_dir, "documents").count()
+    return G.keyword_part(keywords_by_path(spark, sf_dir), n).select("path", "other", F.round("w", 6).alias("w"))
 
 
 ORACLES["similar_keyword_part"] = f"WITH {KEYWORDS_SQL}, {_KW_PART} SELECT path, other, round(w, 6) AS w FROM kpart"

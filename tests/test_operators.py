@@ -314,3 +314,38 @@ def test_an_index_gives_the_ranks_of_the_texts(spark, sf):
         chunks = B.chunks(spark, sf)
         plain = R.rank_chunks(chunks, query, 30).drop("t").collect()
         assert sorted(plain) == sorted(R.rank_chunks(chunks, query, 30, index=T._chunk_words(spark, sf)).drop("t").collect())
+
+
+def test_loose_documents_join_the_cluster_whose_words_they_share(spark, sf):
+    """The registered queries on clusters, worked out plainly from their clusters and keywords."""
+    import math
+    from collections import Counter
+
+    from corpusloom import catalog
+    from corpusloom.catalog import relations
+
+    cluster = {r.path: r.cluster for r in catalog.QUERIES["label_spreading"](spark, sf).collect()}
+    words: dict[str, set] = {}
+    for r in relations.keywords_by_path(spark, sf).collect():
+        words.setdefault(r.path, set()).add(r.term)
+    df = Counter(t for w in words.values() for t in w)
+    size = Counter(cluster.values())
+    count = Counter((c, t) for p, c in cluster.items() for t in words.get(p, ()))
+    want = {}
+    for p, c in cluster.items():
+        want[p] = c
+        if size[c] < 3:
+            s = {k: round(sum(count[k, t] / size[k] / math.log2(2 + df[t]) for t in words.get(p, ())), 6) for k in size if size[k] >= 3}
+            best = min(((-v, k) for k, v in s.items() if v > 0.02), default=(0, None))
+            want[p] = best[1]
+    got = {r.path: r.cluster for r in catalog.QUERIES["adopt_loose"](spark, sf).collect()}
+    assert got == want
+    labels = {r.cluster: (r["size"], r.label) for r in catalog.QUERIES["cluster_labels"](spark, sf).collect()}
+    assert {c: n for c, (n, _) in labels.items()} == dict(size) and all(t for _, t in labels.values())
+
+
+def test_queries_without_sql_run(spark, sf):
+    from corpusloom import catalog
+
+    for name in sorted(set(catalog.QUERIES) - set(catalog.ORACLES)):
+        assert catalog.QUERIES[name](spark, sf).count() > 0, name
