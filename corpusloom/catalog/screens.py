@@ -16,6 +16,7 @@ from corpusloom.operators import finders as N
 from corpusloom.operators import graph as G
 from corpusloom.operators import model as M
 from corpusloom.operators import reports as P
+from corpusloom.operators import versions as H
 from corpusloom.plans import query as Q
 from corpusloom.sources import bindings as B
 from corpusloom.sources import files
@@ -181,7 +182,7 @@ def marked_lines(spark, sf_dir):
 
 _met = " OR ".join(f"{S.match('k', S.lit(v))} > 0" for t in A.query_terms("idiot clown") for v in t)
 ORACLES["marked_lines"] = f"""SELECT doc_id, i::BIGINT AS i, array_to_string(list_transform(regexp_extract_all(t, '[0-9a-zA-Zа-яёА-ЯЁ]+|[^0-9a-zA-Zа-яёА-ЯЁ]+'), lambda p: CASE WHEN length(p) >= 2 AND len(list_filter([{S.stem('p')}, {S.translit(S.stem('p'))}], lambda k: {_met})) > 0 THEN '<mark>' || p || '</mark>' ELSE p END), '') AS marked,
-  regexp_replace(replace(regexp_replace(t, '\\[\\[([^\\]|]+\\|)?([^\\]]+)\\]\\]', '\\2', 'g'), '**', ''), '^\\s*(?:[-*>]|\\d+\\.)\\s+', '') AS plain
+  regexp_replace(replace(regexp_replace(regexp_replace(t, '\\[\\[[^\\]|#]+(?:#[^\\]|]*)?\\|([^\\]]+)\\]\\]', '\\1', 'g'), '\\[\\[([^\\]|#]+)(?:#[^\\]|]*)?\\|?\\]\\]', '\\1', 'g'), '**', ''), '^[-*>]\\s+', '') AS plain
 FROM (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE trim(t) <> '' AND regexp_matches(lower(t), 'idio|clow')"""
 
 
@@ -235,3 +236,61 @@ def helper_packs(spark, sf_dir):
 
 ORACLES["helper_packs"] = f"""WITH {B.NOTES_SQL}, t AS (SELECT string_agg('#' || tag || ' (' || n || ')', ', ' ORDER BY n DESC, tag) AS s FROM (SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM notes) GROUP BY 1 ORDER BY n DESC, tag LIMIT 40))
 SELECT path, 'Mark the note.' || chr(10) || chr(10) || 'Note ' || title || chr(10) || chr(10) || s || chr(10) || chr(10) || '- ' || base AS pack FROM notes, t WHERE len(tags) > 0"""
+
+
+@query
+def write_receipts(spark, sf_dir):
+    """Turns written to files: the clean path and the id of the version, or why not."""
+    c = B.table(spark, sf_dir, "conversations")
+    back, up = F.col("turn") % 3 == 1, F.col("conv_id") % 7 == 3
+    path = F.concat(F.when(back, "\\notes\\").otherwise("/notes/"), F.when(up, "../").otherwise(""), F.col("role"), F.lit("/"), F.col("conv_id").cast("string"), F.lit(".md/"))
+    return c.withColumn("r", T.receipt(path, F.col("text"))).select("conv_id", "turn", "r.path", "r.commit", "r.error")
+
+
+ORACLES["write_receipts"] = """SELECT conv_id, turn, CASE WHEN conv_id % 7 <> 3 THEN 'notes/' || role || '/' || conv_id || '.md' END AS path,
+  CASE WHEN conv_id % 7 <> 3 THEN left(sha1(text), 7) END AS commit, CASE WHEN conv_id % 7 = 3 THEN 'bad path' END AS error FROM conversations"""
+
+
+@query
+def overlaid_listing(spark, sf_dir):
+    """What is in a folder, where the files of an overlay (all labelled documents, one larger) count first."""
+    n = B.notes(spark, sf_dir)
+    over = n.where("status <> ''").select("path", (F.col("bytes") + 1).cast("long").alias("size"))
+    every = H.overlay(n.select("path", F.col("bytes").cast("long").alias("size")), over)
+    folder = files.listing(every, "/en/").unionByName(files.listing(every)).unionByName(files.listing(every, "de/src1"))
+    return folder.select("path", "is_folder", "size")
+
+
+ORACLES["overlaid_listing"] = f"""WITH {B.NOTES_SQL}, f AS (SELECT path, lang, source, bytes + CASE WHEN status <> '' THEN 1 ELSE 0 END AS size FROM notes)
+SELECT DISTINCT lang || '/' || source AS path, true AS is_folder, NULL::BIGINT AS size FROM f WHERE lang = 'en' UNION ALL SELECT DISTINCT lang, true, NULL FROM f UNION ALL SELECT path, false, size::BIGINT FROM f WHERE path LIKE 'de/src1/%'"""
+
+
+@query
+def notes_of_chunks(spark, sf_dir):
+    """Notes put together again from their chunks."""
+    n = files.notes_of_chunks(B.chunks(spark, sf_dir))
+    return n.select("path", "base", "title", "bytes", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
+ORACLES["notes_of_chunks"] = """WITH l AS (SELECT doc_id, lang || '/' || source || '/' || doc_id || '.md' AS path, unnest(range(len(s))) AS i, unnest(s) AS t FROM (SELECT *, string_split(text, chr(10)) AS s FROM documents)),
+n AS (SELECT doc_id, path, string_agg(t, chr(10) || chr(10) ORDER BY i) AS text FROM l WHERE trim(t, ' ') <> '' GROUP BY 1, 2)
+SELECT path, doc_id::VARCHAR AS base, doc_id::VARCHAR AS title, len(text) AS bytes, md5(text) AS digest FROM n"""
+
+
+def _linked(name: str, nation: int, status: str) -> str:
+    field, to = D.field_of("depends"), f"nation/{nation}"
+    text = D.set_field(D.add_link(D.add_link(name, field, f"{to}.md"), field, f"[[{to.upper()}|again]]"), "old", "1")
+    text = D.set_field(D.set_field(text, "status", status), "old", "")
+    return D.remove_link(text, field, to) if nation == 0 else text
+
+
+@query
+def typed_links(spark, sf_dir):
+    """Links and fields put into, and taken out of, the front matter of a note for each supplier."""
+    s = B.table(spark, sf_dir, "supplier")
+    status = F.when(F.col("s_acctbal") > 0, "active").otherwise("review")
+    return s.select("s_suppkey", D.mapped(_linked, "string")("s_name", "s_nationkey", status).alias("text"))
+
+
+ORACLES["typed_links"] = """SELECT s_suppkey, '---' || chr(10) || CASE WHEN s_nationkey = 0 THEN '' ELSE 'depends_on: ["[[nation/' || s_nationkey || ']]"]' || chr(10) END
+  || 'status: ' || CASE WHEN s_acctbal > 0 THEN 'active' ELSE 'review' END || chr(10) || '---' || chr(10) || chr(10) || s_name AS text FROM supplier"""

@@ -197,10 +197,12 @@ def note_date(path: Column, title: Column, at: Column) -> Column:
 
 
 def clean_fragment(text: Column) -> Column:
-    """Without the brackets of links (an alias stands for its link), bold marks and the marks of lists and quotes."""
-    t = F.regexp_replace(text, "\\[\\[([^\\]|]+\\|)?([^\\]]+)\\]\\]", "$2")
+    """Without the brackets of links (an alias stands for its link, else the target without its heading), bold
+    marks, and marks of lists and quotes where a line begins with one."""
+    t = F.regexp_replace(text, "\\[\\[[^\\]|#]+(?:#[^\\]|]*)?\\|([^\\]]+)\\]\\]", "$1")
+    t = F.regexp_replace(t, "\\[\\[([^\\]|#]+)(?:#[^\\]|]*)?\\|?\\]\\]", "$1")
     t = F.replace(t, F.lit("**"), F.lit(""))
-    return F.regexp_replace(t, "(?m)^\\s*(?:[-*>]|\\d+\\.)\\s+", "")
+    return F.regexp_replace(t, "(?m)^[-*>]\\s+", "")
 
 
 # ---------------------------------------------------------------- the same for the words of a query

@@ -170,6 +170,21 @@ def remove_link(text: str, name: str, target: str) -> str:
     return with_front(text, fields)
 
 
+def field_of(link_type: str) -> str:
+    """The field of a note that holds the links of a type."""
+    return next((field for field, known in LINK_TYPES.items() if known == link_type), link_type)
+
+
+def set_field(text: str, name: str, value: str | list[str] | None) -> str:
+    """The text with a field of its front matter set, or without it if the value is empty."""
+    fields, _ = parse_front(text)
+    if value in (None, ""):
+        fields.pop(name, None)
+    else:
+        fields[name] = value
+    return with_front(text, fields)
+
+
 # ---------------------------------------------------------------- sections
 
 

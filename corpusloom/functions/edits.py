@@ -17,6 +17,23 @@ def _ended(text: Column) -> Column:
     return F.regexp_replace(text, "\\s+$", "")
 
 
+def safe_path(path: Column) -> Column:
+    """The path with / between its parts and none around it; null where a part is "..", which leads out of the root."""
+    clean = F.regexp_replace(F.translate(F.coalesce(path, F.lit("")), "\\", "/"), "^/+|/+$", "")
+    return F.when(~F.array_contains(F.split(clean, "/"), ".."), clean)
+
+
+def commit_id(content: Column) -> Column:
+    """Seven hex digits that name a version of a file."""
+    return F.substring(F.sha1(F.encode(content, "UTF-8")), 1, 7)
+
+
+def receipt(path: Column, content: Column) -> Column:
+    """struct(path, commit, error) of a write of a whole file; a path that leads out of the root is an error."""
+    safe = safe_path(path)
+    return F.struct(safe.alias("path"), F.when(safe.isNotNull(), commit_id(content)).alias("commit"), F.when(safe.isNull(), "bad path").alias("error"))
+
+
 def guarded(operation: Column, now: Column, content: Column) -> Column:
     """struct(content, error) of a whole-file write: append makes or adds after a blank line, create needs that
     there is no file (now is null), write that there is one; anything else is an error."""

@@ -187,12 +187,16 @@ def read_markdown(spark: SparkSession, root: str) -> DataFrame:
     return d.select(inside.alias("path"), F.regexp_replace("value", "\\A\ufeff", "").alias("text"))
 
 
+# Names that no listing shows.
+HIDDEN = (".git", "node_modules", ".obsidian")
+
+
 def listing(files: DataFrame, folder: str = "") -> DataFrame:
-    """(path, is_folder, size) of what is right below a folder, hidden names left out; files: (path, size)."""
+    """(path, is_folder, size) of what is right below a folder, HIDDEN names left out; files: (path, size)."""
     head = f"{folder.strip('/')}/" if folder.strip("/") else ""
     f = files.where(F.col("path").startswith(head)).withColumn("rest", F.substring(F.col("path"), F.lit(len(head) + 1), F.length("path")))
     name = F.substring_index("rest", "/", 1)
-    d = f.where(~name.startswith(".")).groupBy(F.concat(F.lit(head), name).alias("path"), F.col("rest").contains("/").alias("is_folder")).agg(F.sum("size").alias("size"))
+    d = f.where(~name.isin(*HIDDEN)).groupBy(F.concat(F.lit(head), name).alias("path"), F.col("rest").contains("/").alias("is_folder")).agg(F.sum("size").alias("size"))
     return d.select("path", "is_folder", F.when(~F.col("is_folder"), F.col("size")).alias("size"))
 
 

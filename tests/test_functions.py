@@ -136,3 +136,16 @@ def test_wikilinks_and_markdown(spark):
     html = D.render("# T\n- [x] done\n1. one\n> q\n```\n<c>\n```\n**b** *i* `k` [[n|m]]\n---")
     for part in ('<div class="md-h1"><strong>T</strong></div>', "<li>☑ done</li>", "<ol><li>one</li></ol>", "<blockquote>q</blockquote>", "&lt;c&gt;", "<strong>b</strong> <em>i</em> <code>k</code>", 'data-wiki="n">m</a>', "<hr>"):
         assert part in html, part
+
+
+def test_paths_receipts_and_fields(spark):
+    from corpusloom.functions import edits as T
+
+    d = spark.createDataFrame([("/a\\b.md/", "x"), ("a/../b", "x"), ("a..b", None), (None, "")], "p string, t string")
+    got = [tuple(r) for r in d.select(T.receipt(F.col("p"), F.col("t")).alias("r")).select("r.*").collect()]
+    assert got == [("a/b.md", "11f6ad8", None), (None, None, "bad path"), ("a..b", None, None), ("", "da39a3e", None)]
+    assert D.field_of("depends") == "depends_on" and D.field_of("about") == "about"
+    text = D.set_field("body", "status", "active")
+    assert text == "---\nstatus: active\n---\n\nbody" and D.parse_front(D.set_field(text, "status", ""))[0] == {}
+    plain = lambda t: spark.range(1).select(A.clean_fragment(F.lit(t))).first()[0]
+    assert plain("[[a#H]] [[b#H|c]] [[d|]] **e**") == "a c d e" and plain("> q\n- l\n1. n") == "q\nl\n1. n"
