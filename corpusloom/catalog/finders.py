@@ -32,9 +32,9 @@ def hybrid_search(spark, sf_dir):
     """Ranking by words and by vectors, fused; a vector belongs to the document of its number."""
     words = R.placed(R.bm25(text._post(spark, sf_dir, text.QUERY), text._notes(spark, sf_dir), text.QUERY, 25), F.desc("rank"), "doc_id")
     e = B.table(spark, sf_dir, "embeddings").join(text._notes(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), "path"), "vec_id")
-    near = V.top(e, relations._one_vector(spark, sf_dir), 25)
-    near = R.placed(near.join(text._notes(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), "path"), "vec_id"), F.desc("score"), "vec_id")
-    return R.fuse([words, near])
+    asked = relations._one_vector(spark, sf_dir).first()["q"]
+    near = lambda: R.placed(V.search(e, asked, 25).join(e.select("vec_id", "path"), "vec_id"), F.desc("score"), "vec_id")
+    return R.hybrid(words, near)
 
 
 ORACLES["hybrid_search"] = f"""WITH {relations._Q}, v AS (SELECT d.lang || '/' || d.source || '/' || d.doc_id || '.md' AS path, vec_id, round({relations._DOT}, 6) AS score FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, q ORDER BY score DESC, vec_id LIMIT 25),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -190,6 +191,16 @@ def with_snippets(found: DataFrame, texts: DataFrame, key: str, query: str, coun
     return found.join(F.broadcast(texts.join(F.broadcast(chosen), key).select(key, cut.alias("frag"))), key, "left")
 
 
+def hybrid(words: DataFrame, near: Callable[[], DataFrame] | None) -> DataFrame:
+    """Placed results by words and by vectors, fused. `near` makes the second; the words stand alone where there is
+    none or where it raises ValueError, as it does for vectors of another length or model."""
+    try:
+        second = [] if near is None else [near()]
+    except ValueError:
+        second = []
+    return fuse([words, *second])
+
+
 def fuse(lists: list[DataFrame], k: int = RRF_K, weights: list[float] | None = None, limit: int = 25) -> DataFrame:
     """Reciprocal rank fusion of lists of (path, place from 0): path, rrf, first_list."""
     parts = [df.select("path", F.lit(i).alias("list"), (F.lit(float(weights[i] if weights else 1.0)) / (k + F.col("place") + 1)).alias("w")) for i, df in enumerate(lists)]

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.storage import scratch
+
 #: Queries that meet the vectors in one product.
 QUERY_BLOCK = 4096
 
@@ -38,6 +40,15 @@ def check(dim: int, model: str | None, query: list[float], query_model: str | No
         raise ValueError(f"the vectors are of {model}, the query is of {query_model}")
 
 
+def search(vectors: DataFrame, query: list[float], limit: int, model: str | None = None, query_model: str | None = None, scale: float = 1.0) -> DataFrame:
+    """The best of the vectors for a query given as numbers; none without vectors, an error where the two do not fit."""
+    spark, first = vectors.sparkSession, vectors.select(F.size("embedding").alias("dim")).where("dim >= 0").first()
+    if first is None:
+        return spark.createDataFrame([], "vec_id long, score double")
+    check(first["dim"], model, query, query_model)
+    return top(vectors, spark.createDataFrame([([float(x) for x in query],)], "q array<double>"), limit, scale)
+
+
 def top(vectors: DataFrame, query: DataFrame, limit: int, scale: float = 1.0) -> DataFrame:
     return scored(vectors, query, scale).select("vec_id", "score").orderBy(F.desc("score"), "vec_id").limit(limit)
 
@@ -55,24 +66,27 @@ def first_places(vectors: DataFrame, queries: DataFrame, quantised: bool = False
     query, then how many are ahead of it. Products are matrix products of a batch with a block, and what
     leaves a batch is a row for each query, so no pairs are made.
     """
-    out = None
+    base, spark = vectors.select("vec_id", "label", "embedding"), vectors.sparkSession
+    out = spark.createDataFrame([], "query long, place long")
+    for ids, labels, q in _blocks(queries):
+        best = {r["query"]: (r["score"], r["vec_id"]) for r in base.mapInArrow(_best(ids, labels, q, quantised), "query long, score double, vec_id long").groupBy("query").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("n"))).alias("m")).select("query", "m.score", (-F.col("m.n")).alias("vec_id")).collect()}  # a row for each query of the block
+        ahead = base.mapInArrow(_ahead(ids, q, best, quantised), "query long, n long").groupBy("query").agg((F.sum("n") + 1).alias("place"))
+        every = spark.createDataFrame([(int(i), int(i) in best) for i in ids], "query long, found boolean")
+        part = every.join(ahead, "query", "left").select("query", F.when(F.col("found"), F.col("place")).alias("place"))
+        out = out.unionByName(scratch(part))  # so that no plan keeps a block
+    return out
+
+
+def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The queries in blocks of QUERY_BLOCK; the driver holds one at a time."""
     block: list = []
-    blocks = []
-    for r in queries.select("vec_id", "label", "embedding").toLocalIterator():  # the driver holds one block
+    for r in queries.select("vec_id", "label", "embedding").toLocalIterator():
         block.append(r)
         if len(block) == QUERY_BLOCK:
-            blocks.append(_pack(block))
+            yield _pack(block)
             block = []
     if block:
-        blocks.append(_pack(block))
-    base = vectors.select("vec_id", "label", "embedding")
-    for ids, labels, q in blocks:
-        best = {r["query"]: (r["score"], r["vec_id"]) for r in base.mapInArrow(_best(ids, labels, q, quantised), "query long, score double, vec_id long").groupBy("query").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("n"))).alias("m")).select("query", "m.score", (-F.col("m.n")).alias("vec_id")).collect()}  # a row for each query of the block
-        ahead = base.mapInArrow(_ahead(ids, q, best, quantised), "query long, n long").groupBy("query").agg((F.sum("n") + 1).alias("place"))
-        every = base.sparkSession.createDataFrame([(int(i), int(i) in best) for i in ids], "query long, found boolean")
-        part = every.join(ahead, "query", "left").select("query", F.when(F.col("found"), F.col("place")).alias("place"))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else base.sparkSession.createDataFrame([], "query long, place long")
+        yield _pack(block)
 
 
 def _pack(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -349,3 +349,30 @@ def test_queries_without_sql_run(spark, sf):
 
     for name in sorted(set(catalog.QUERIES) - set(catalog.ORACLES)):
         assert catalog.QUERIES[name](spark, sf).count() > 0, name
+
+
+def test_search_by_vectors_that_do_not_fit(spark):
+    from corpusloom.operators import vectors as V
+
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, None)], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in V.search(v, [0.0, 2.0], 1, "m", "m").collect()] == [(2, 0.8)]
+    assert V.search(v.where("vec_id = 3"), [1.0], 5).collect() == []
+    for bad in (lambda: V.search(v, [1.0], 5), lambda: V.search(v, [1.0, 0.0], 5, "m", "n")):
+        with pytest.raises(ValueError):
+            bad()
+    words = spark.createDataFrame([("x", 0), ("y", 1)], "path string, place long")
+    alone = R.fuse([words]).collect()
+    assert R.hybrid(words, None).collect() == alone == R.hybrid(words, lambda: V.search(v, [1.0], 5)).collect()
+    both = R.hybrid(words, lambda: spark.createDataFrame([("y", 0)], "path string, place long"))
+    assert both.orderBy(F.desc("rrf")).first()["path"] == "y"
+
+
+def test_first_places_in_blocks(spark, sf, monkeypatch):
+    from corpusloom.operators import vectors as V
+    from corpusloom.sources import bindings as B
+
+    e = B.table(spark, sf, "embeddings")
+    ask = lambda: sorted(tuple(r) for r in V.first_places(e, e.where("vec_id % 20 = 0")).collect())
+    whole = ask()
+    monkeypatch.setattr(V, "QUERY_BLOCK", 7)
+    assert len(whole) > 7 and ask() == whole
