@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, embeddings, minhash, mixing, quality, substrings, tokenids, toxicity, urlfilter, warc
+from corpusloom.llm import decontaminate, embeddings, minhash, mixing, quality, resample, substrings, tokenids, toxicity, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_source_mixing": op2_source_mixing,
@@ -70,6 +74,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_url_filter": op10_url_filter,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -134,5 +139,33 @@ reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.b FROM
 c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY 1),
 n AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
 SELECT x AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, x = component_id AS kept FROM c LEFT JOIN n ON n.a = c.x
+""",
+    "op12_importance_resampling": f"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents
+), tw AS (
+  SELECT list_filter(string_split_regex(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), runs AS (
+  SELECT doc_id, unnest(flatten([[array_to_string(w[i:i+k], ' ') FOR i IN range(1, len(w) - k + 1)] FOR k IN range(0, 3)])) AS f FROM w
+), target_runs AS (
+  SELECT unnest(flatten([[array_to_string(w[i:i+k], ' ') FOR i IN range(1, len(w) - k + 1)] FOR k IN range(0, 3)])) AS f FROM tw
+), steps AS (
+  SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t
+), hexes AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM runs UNION SELECT f FROM target_runs)),
+hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, [('0x' || substr(h, 2 * i + 1, 2))::BIGINT FOR i IN range(0, len(h) // 2)]),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 10000 AS b FROM hexes, steps
+), s AS (SELECT b, count(*) AS s FROM runs JOIN hashed USING (f) GROUP BY 1),
+t AS (SELECT b, count(*) AS t FROM target_runs JOIN hashed USING (f) GROUP BY 1),
+gains AS (
+  SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM runs) + 10000)::DOUBLE
+    / ((s + 1)::DOUBLE * ((SELECT count(*) FROM target_runs) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (b)
+), sums AS (SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM runs JOIN hashed USING (f) JOIN gains USING (b) GROUP BY 1),
+scored AS (
+  SELECT w.doc_id, len(w.w) >= 20 AS fit, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || w.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM w LEFT JOIN sums USING (doc_id)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY fit) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 5 * n // 100 THEN place END AS rank FROM ranked
 """,
 }
