@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import alignment, decontaminate, embeddings, minhash, mixing, quality, resample, substrings, tokenids, toxicity, urlfilter, warc
+from corpusloom.llm import alignment, decontaminate, embeddings, minhash, mixing, pii, quality, resample, substrings, tokenids, toxicity, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -80,6 +84,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_personal_data": op11_personal_data,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
