@@ -101,6 +101,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
     # w words have w + (w - 1) + ... runs of up to `order` words
     least = sum(max(least_words - k, 0) for k in range(order))
     scored = sums.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)).withColumn("fit", F.col("n_features") >= max(least, 1))
+    scored = materialise(scored, "scores")  # dealing by ranges reads its rows twice
     ranked = numbered(scored, F.desc("fit"), F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("row"))
     drawn = ranked.agg(F.floor(F.lit(percent) * F.count_if("fit") / 100).alias("drawn"))
     out = ranked.crossJoin(F.broadcast(drawn))  # one row
