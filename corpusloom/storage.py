@@ -31,7 +31,7 @@ def scratch(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _stamp(spark: SparkSession, path: str) -> tuple:
+def stamp_of(spark: SparkSession, path: str) -> tuple:
     """What tells whether the files at a path are still the same: their names, sizes and times, in order."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -47,7 +47,7 @@ def stored(spark: SparkSession, name: str, source: str, build: Callable[[], Data
     It is made anew when the files at the source change, or after `forget`. by: a column that parts its folders,
     so that a filter on it reads only theirs.
     """
-    key, stamp = (spark.sparkContext.applicationId, name, source), _stamp(spark, source)
+    key, stamp = (spark.sparkContext.applicationId, name, source), stamp_of(spark, source)
     if key not in _stored or _stored[key][0] != stamp:
         path = f"{shared_root(spark)}/stored-{name}-{uuid.uuid4().hex}"
         table = build()
