@@ -139,12 +139,18 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3,
 def expand(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3, seed: str = "") -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with all its columns.
 
-    Texts are joined with nothing but the plan, which has a row for each source.
+    Texts are joined with nothing but the plan, which has a row for each source. Null and empty texts have no
+    words and are taken as `mix` says; the null source is a source; repeated rows are taken each for itself;
+    an empty table gives none. Columns of any name stay as they are.
     """
     d = materialise(_sized(docs, seed, "text", "doc_id", "source"), "sizes")
     plan = plan_mix(d, weights, max_epochs)
-    plan = plan.select(*(F.col(c).alias(f"_m_{c}") for c in plan.columns))
-    out = docs.join(plan, docs["source"].cast("string").eqNullSafe(plan["_m_p_source"]))
-    copies = _copies(hash_place(F.col("doc_id"), seed), "_m_")
-    out = out.withColumn("_m_copies", copies).where("_m_copies > 0").withColumn("_m_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m_copies"))))
+    prefix = "_m_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    plan = plan.select(*(F.col(c).alias(f"{prefix}{c}") for c in plan.columns))
+    out = docs.join(plan, docs["source"].cast("string").eqNullSafe(plan[f"{prefix}p_source"]))
+    copies = _copies(hash_place(F.col("doc_id"), seed), prefix)
+    out = out.withColumn(f"{prefix}copies", copies).where(F.col(f"{prefix}copies") > 0)
+    out = out.withColumn(f"{prefix}turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{prefix}copies"))))
     return out.select(*docs.columns)

@@ -324,3 +324,16 @@ def test_align_by_hand():
     groups, links, of_a, of_b, stops = alignment.align(10, np.array([2, 4, 6, 10]), np.array([1, 4, 7, 10]), np.array([0, 4, 4, 10]))
     assert groups.tolist() == [1, 0, 1] and links.tolist() == [3, 0, 3]
     assert list(zip(of_a.tolist(), of_b.tolist())) == [(0, 0), (0, 1), (1, 1), (2, 2), (3, 2), (3, 3)] and stops.tolist() == [1, 2, 4, 6, 7, 10]
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    """Columns named like the plan's own come out as they went in."""
+    from corpusloom.llm import mixing
+
+    helpers = ["_m_copies", "_m_last", "_m_turn", "_m_p_source", "__m_whole", "_m_C_Bin"]
+    df = spark.createDataFrame([(i, words(i, 10 + i), f"s{i % 3}") for i in range(30)], "doc_id long, text string, source string").withColumns({c: F.lit(7 + k) for k, c in enumerate(helpers)})
+    got = mixing.expand(df)
+    assert got.columns == df.columns
+    taken = Counter(r["doc_id"] for r in got.collect())
+    assert taken and {tuple(r[c] for c in helpers) for r in got.collect()} == {(7, 8, 9, 10, 11, 12)}
+    assert taken == {r["doc_id"]: r["copies"] for r in mixing.mix(df.drop(*helpers)).collect() if r["copies"]}
