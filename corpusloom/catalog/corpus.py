@@ -10,6 +10,7 @@ from corpusloom.catalog import sqlparts as S
 from corpusloom.catalog.filters import DEG_SQL, ZONED_SQL
 from corpusloom.operators import graph as G
 from corpusloom.operators import model as M
+from corpusloom.operators import placing as L
 from corpusloom.operators import reports as P
 from corpusloom.sources import bindings as B
 
@@ -268,3 +269,15 @@ def label_grid_overlap(spark, sf_dir):
 
 
 ORACLES["label_grid_overlap"] = f"WITH {_POINTS} SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id < b.id AND a.x < b.x + 24 AND a.x + 24 > b.x AND a.y < b.y + 10 AND a.y + 10 > b.y"
+
+
+@query
+def placed_labels(spark, sf_dir):
+    """Labels of all vectors as nodes of a map of 1,200 by 800: the first vector is chosen, those of its group are its neighbours."""
+    p = _points(spark, sf_dir)
+    box = p.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    at = lambda c, size: (F.col(c) - F.col(f"{c}0")) / (F.col(f"{c}1") - F.col(f"{c}0")) * size
+    first = F.when(F.col("id") == 0, 0).when((F.col("group") == 0) & (F.col("id") < 20), 1).otherwise(2)
+    n = p.crossJoin(F.broadcast(box)).select("id", at("x", 1200).alias("x"), at("y", 800).alias("y"), (2 + F.col("id") % 5).alias("r"), (24 + 6 * F.length(F.col("id").cast("string"))).cast("double").alias("w"), (F.col("id") % 3).alias("tier"), first.alias("first"))  # one row
+    out = L.placed_labels(n, n.select("id", "x", "y", (F.col("r") * 2.2 + 2).alias("half")), 1200, 800)
+    return out.select("id", "spot", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
