@@ -8,6 +8,7 @@ from corpusloom.catalog import relations, sqlparts as S
 from corpusloom.functions import analyze as A
 from corpusloom.functions import docs as D
 from corpusloom.operators import communities as C
+from corpusloom.operators import modularity as Q
 from corpusloom.operators import model as M
 from corpusloom.operators import versions as H
 from corpusloom.sources import bindings as B
@@ -237,6 +238,12 @@ def _component_links(spark, sf_dir):
     return l, ends
 
 
+@query
+def modularity_communities(spark, sf_dir):
+    """Communities of the whole graph over links of all types, distributed."""
+    return Q.communities(C.weighted(B.links(spark, sf_dir)))
+
+
 @query
 def louvain_clusters(spark, sf_dir):
     """Communities among each customer's orders, by greedy modularity."""
