@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.catalog import sqlparts as S
 from corpusloom.catalog.filters import DEG_SQL, ZONED_SQL
+from corpusloom.operators import cycles as Y
 from corpusloom.operators import graph as G
 from corpusloom.operators import model as M
 from corpusloom.operators import placing as L
@@ -178,6 +180,26 @@ def dependency_layers_general(spark, sf_dir):
 ORACLES["dependency_layers_general"] = f"WITH {B.LINKS_SQL} SELECT DISTINCT path, CASE split_part(path, '/', 1) WHEN 'region' THEN 0 WHEN 'nation' THEN 1 ELSE 2 END::INTEGER AS level, false AS in_cycle FROM (SELECT src AS path FROM links WHERE type = 'part_of' UNION SELECT dst FROM links WHERE type = 'part_of')"
 
 
+@query
+def cycle_layers(spark, sf_dir):
+    """Orders of a customer and a year wait for the one before; where the first of them is finished (F) it waits for
+    the one in the middle, which makes a cycle."""
+    o = B.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("y"), "o_orderdate", "o_orderstatus")
+    group = Window.partitionBy("o_custkey", "y")
+    own = group.orderBy("o_orderdate", "o_orderkey")
+    o = o.withColumns({"src": F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")), "r": F.row_number().over(own), "n": F.count("*").over(group)})
+    middle = F.max(F.when(F.col("r") == F.floor(F.col("n") / 2) + 1, F.col("src"))).over(group)
+    o = o.select("src", F.lag("src").over(own).alias("before"), "r", "n", "o_orderstatus", middle.alias("middle"))
+    back = o.where("r = 1 and n > 1 and o_orderstatus = 'F'").select("src", F.col("middle").alias("dst"))
+    links = o.where("before is not null").select("src", F.col("before").alias("dst")).unionByName(back)
+    return Y.cycle_layers(links.withColumn("type", F.lit("depends")))
+
+
+ORACLES["cycle_layers"] = """WITH o AS (SELECT 'order/' || o_orderkey AS path, o_custkey AS c, year(o_orderdate) AS y, row_number() OVER w AS r, count(*) OVER (PARTITION BY o_custkey, year(o_orderdate)) AS n, first_value(o_orderstatus) OVER w AS s FROM orders WINDOW w AS (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderdate, o_orderkey)),
+p AS (SELECT *, CASE WHEN s = 'F' THEN n // 2 + 1 ELSE 0 END AS m FROM o WHERE n > 1), q AS (SELECT *, min(path) FILTER (r <= m) OVER (PARTITION BY c, y) AS least FROM p)
+SELECT path, (CASE WHEN m = 0 THEN r - 1 WHEN r <= m THEN 0 ELSE r - m END)::INTEGER AS level, CASE WHEN r <= m THEN least ELSE path END AS component, (CASE WHEN r <= m THEN m ELSE 1 END)::BIGINT AS members, CASE WHEN m = 0 THEN 'free' WHEN r <= m THEN 'cycle' ELSE 'above' END AS state FROM q"""
+
+
 def _points(spark, sf_dir):
     e = B.table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("id"), F.col("label").alias("group"), (F.get("embedding", F.lit(0)).cast("double") * 1000).alias("x"), (F.get("embedding", F.lit(1)).cast("double") * 1000).alias("y")).withColumns({"colour": F.when(F.col("x") > 0, "warm").otherwise("cold"), "shown": F.col("y") > -100})
