@@ -273,9 +273,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SIZE, text:
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs of which one stays for each group of near-duplicates, with all their columns.
 
-    Rows that repeat a doc_id are one document, and one of them stays. Rows of a null doc_id stay.
+    Rows that repeat a doc_id are one document, and one of them stays: that with the smallest text, and of equal
+    texts that whose row comes first as JSON, so reruns agree. Rows of a null doc_id stay, and so
+    do documents without a text or words, each its own. An empty table stays empty; columns of any name go through.
     """
     found, key = near_duplicates(docs, percent), unused(docs, "stay")
-    stay = found.where("kept and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
-    known = docs.join(stay, docs["doc_id"].cast("long") == stay[key], "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null"))
+    stay = found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("rows"))
+    again, rows = materialise(stay, "stay"), docs.where("doc_id is not null")
+    one = rows.join(again.where("rows = 1").select(key), rows["doc_id"].cast("long") == F.col(key), "left_semi")
+    several = rows.join(again.where("rows > 1").select(key), rows["doc_id"].cast("long") == F.col(key), "left_semi")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    least = several.groupBy(F.col("doc_id").cast("long")).agg(F.min_by(whole, F.struct("text", F.to_json(whole))).alias("row"))
+    return one.unionByName(least.select("row.*")).unionByName(docs.where("doc_id is null"))

@@ -2,7 +2,7 @@
 
 The lexicon holds the words that labelled toxic documents have far more often
 than the others. Its trie is intersected with Levenshtein automata: a state is
-a set of (trie node, edits so far), and it moves on one byte of a word. States
+a set of (trie node, edits so far), and it moves on one letter (code point) of a word. States
 are made as texts need them and remembered, so a block of words runs through
 the automaton as array look-ups, all words in step, and most die early.
 
@@ -39,40 +39,54 @@ ADDRESS = ("you", "your", "du", "dein", "sie", "tu", "te", "ton", "vous", "tus",
 REPORTS = ("said", "says", "wrote", "called", "quote", "quoted", "sagte", "schrieb", "zitat", "dit", "cite", "dijo", "cita", "escribió")
 
 
-def edits_for(term: bytes) -> int:
+def edits_for(term: str) -> int:
     """Edits that a term allows: none to 4 letters, one to 8, else two."""
-    n = len(term.decode("utf-8", "replace"))
+    n = len(term)
     return 0 if n <= 4 else 1 if n <= 8 else 2
 
 
+def code_points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of spans of UTF-8, one span after the other, and where each span's begin and end."""
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    raw = data[np.repeat(starts - first, sizes) + np.arange(sizes.sum())].astype(np.int64)
+    lead = (raw & 0xC0) != 0x80
+    places = np.flatnonzero(lead)
+    counts = np.concatenate([[0], np.cumsum(lead)])
+    head, padded = raw[places], np.concatenate([raw, [0, 0, 0]]) & 0x3F
+    more = (head >= 0xC0).astype(np.int64) + (head >= 0xE0) + (head >= 0xF0)
+    out = head & np.array([0x7F, 0x1F, 0x0F, 0x07])[more]
+    for k in (1, 2, 3):
+        out = np.where(more >= k, out << 6 | padded[places + k], out)
+    return out, counts[first], counts[first + sizes]
+
+
 class Automaton:
-    """The trie of some terms, intersected with their Levenshtein automata; bytes are letters."""
+    """The trie of some terms, intersected with their Levenshtein automata; code points are letters."""
 
     def __init__(self, terms: list[str]):
         self.children: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]
         self.room: list[int] = [0]  # most edits of any term at or below the node
         for t, term in enumerate(terms):
-            raw = term.encode()
-            allowed, node = edits_for(raw), 0
+            allowed, node = edits_for(term), 0
             self.room[0] = max(self.room[0], allowed)
-            for b in raw:
-                if b not in self.children[node]:
-                    self.children[node][b] = len(self.children)
+            for letter in map(ord, term):
+                if letter not in self.children[node]:
+                    self.children[node][letter] = len(self.children)
                     self.children.append({})
                     self.ends.append(-1)
                     self.room.append(0)
-                node = self.children[node][b]
+                node = self.children[node][letter]
                 self.room[node] = max(self.room[node], allowed)
             self.ends[node] = t
-        self.allowed = [edits_for(t.encode()) for t in terms]
-        used = sorted({b for c in self.children for b in c})
-        self.byte_class = np.zeros(256, np.int32)  # 0: of no term
-        self.byte_class[used] = np.arange(1, len(used) + 1)
-        self.bytes = [-1, *used]
+        self.allowed = [edits_for(t) for t in terms]
+        used = sorted({x for c in self.children for x in c})
+        self.used = np.array(used, np.int64)
+        self.letters = [-1, *used]  # by class; class 0: of no term
         self.sets: list[frozenset] = [frozenset()]  # state 0 is dead
         self.known: dict[frozenset, int] = {frozenset(): 0}
-        self.step = np.full((256, len(self.bytes)), -1, np.int32)
+        self.step = np.full((256, len(self.letters)), -1, np.int32)
         self.step[0] = 0
         self.accept: list[tuple[int, int]] = [(-1, 0)]
         self.start = self._state(self._closed({0: 0}))
@@ -102,10 +116,10 @@ class Automaton:
 
     def _move(self, state: int, cls: int) -> int:
         best: dict[int, int] = {}
-        b = self.bytes[cls]
+        letter = self.letters[cls]
         for node, e in self.sets[state]:
-            for byte, child in self.children[node].items():
-                cost = e + (byte != b)
+            for x, child in self.children[node].items():
+                cost = e + (x != letter)
                 if cost <= self.room[child] and cost < best.get(child, 99):
                     best[child] = cost
             if e + 1 <= self.room[node] and e + 1 < best.get(node, 99):
@@ -115,12 +129,17 @@ class Automaton:
         return to
 
     def match(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each word the nearest term (-1: none) and its edits; all words move in step."""
+        """For each word, a span of UTF-8, the nearest term (-1: none) and its edits; all words move in step."""
+        letters, starts, ends = code_points(data, starts, ends)
+        at = np.searchsorted(self.used, letters)
+        known = at < len(self.used)
+        known[known] = self.used[at[known]] == letters[known]
+        classes = np.where(known, at + 1, 0).astype(np.int32)
         state = np.full(len(starts), self.start, np.int32)
         alive, at = np.flatnonzero(ends > starts), 0
         while len(alive):
             here = state[alive]
-            cls = self.byte_class[data[starts[alive] + at]]
+            cls = classes[starts[alive] + at]
             to = self.step[here, cls]
             while (to < 0).any():
                 pairs = np.unique(np.stack([here[to < 0], cls[to < 0]], 1), axis=0)

@@ -137,6 +137,16 @@ def test_mix(make_docs, messy):
     assert sum(copies.values()) == sum(r["copies"] for r in got)
 
 
+def test_one_row_of_a_repeated_id_stays_by_order(spark):
+    long_ = words(1, 30)
+    rows = [(1, "z " + long_, 9, None), (1, "a " + long_, 5, {"k": 1}), (1, "a " + long_, 4, {"k": 1}), (2, long_[::-1], 1, None), (None, long_, 0, None), (None, long_, 0, None)]
+    schema = "doc_id long, text string, stay int, `rows` map<string,int>"
+    for order in (rows, rows[::-1]):
+        got = minhash.keep_one(spark.createDataFrame(order, schema).repartition(3))
+        assert got.columns == ["doc_id", "text", "stay", "rows"]
+        assert sorted((r.doc_id or 0, r.text, r.stay) for r in got.collect()) == sorted([(0, long_, 0), (0, long_, 0), (1, "a " + long_, 4), (2, long_[::-1], 1)])
+
+
 def test_mix_of_nothing(make_docs):
     assert mixing.mix(make_docs()).collect() == []
     assert [r["taken"] for r in mixing.mix(make_docs((1, None), (2, ""))).collect()] == [0, 0]
@@ -146,7 +156,7 @@ def test_mix_of_nothing(make_docs):
 
 
 def test_automaton_is_edit_distance():
-    terms = ["idiot", "scum", "worthless", "père"]
+    terms = ["idiot", "scum", "worthless", "père", "crétin", "дурак", "a😀bcd"]
     a = toxicity.Automaton(terms)
 
     def distance(x, y):
@@ -157,15 +167,25 @@ def test_automaton_is_edit_distance():
                 p, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, p + (c != e))
         return d[-1]
 
-    probes = ["idiot", "idlot", "idiots", "idot", "xidiot", "idit0", "scum", "scums", "worthless", "w0rthles", "wrthlss", "worthleess", "pere", "père", "", "zzz"]
+    probes = ["idiot", "idlot", "idiots", "idot", "xidiot", "idit0", "scum", "scums", "worthless", "w0rthles", "wrthlss", "worthleess", "pere", "père", "", "zzz", "cretin", "crètin", "crtin", "idióta", "idiót", "дуракк", "дюрак", "дю", "a😀bd", "a😃bcd", "€"]
     raw = [p.encode() for p in probes]
     ends = np.cumsum([len(r) for r in raw])
     term, edits = a.match(np.frombuffer(b"".join(raw), np.uint8), ends - [len(r) for r in raw], ends)
-    for p, t, e in zip(raw, term, edits):
-        near = [(distance(p, x.encode()), i) for i, x in enumerate(terms) if distance(p, x.encode()) <= toxicity.edits_for(x.encode())]
+    for p, t, e in zip(probes, term, edits):
+        near = [(distance(p, x), i) for i, x in enumerate(terms) if distance(p, x) <= toxicity.edits_for(x)]
         assert (t, e) == ((min(near)[1], min(near)[0]) if near else (-1, 0)), p
 
 
+def test_code_points_of_spans():
+    parts = ["aé€😀", "", "z", "дом", "😀"]
+    raw = [p.encode() for p in parts]
+    ends = np.cumsum([len(r) for r in raw])
+    points, a, b = toxicity.code_points(np.frombuffer(b"".join(raw), np.uint8), ends - [len(r) for r in raw], ends)
+    assert ["".join(map(chr, points[i:j])) for i, j in zip(a, b)] == parts
+    none = np.empty(0, np.int64)
+    assert [len(x) for x in toxicity.code_points(np.empty(0, np.uint8), none, none)] == [0, 0, 0]
+
+
 def _labelled(spark, make_docs):
     texts = [(i, words(i, 40) + ((" worthless ", " idiot ", " you worthless idiot ")[i // 4 % 3] if i % 4 == 0 else " ") + words(900 + i, 20)) for i in range(400)]
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0), "e") for i in range(400)] + [(None, 1, 1, "e"), (3, None, None, "e")], "doc_id long, quality int, toxic int, score string")
