@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import decontaminate, minhash, mixing, tokenids, toxicity
-from corpusloom.llm.common import materialise
+from corpusloom.llm.common import drop, materialise
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +53,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop(before)  # nothing reads an earlier stage's rows again
     return STAGES[-1][1](spark, docs, sf_dir)
