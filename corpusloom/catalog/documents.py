@@ -12,6 +12,7 @@ from corpusloom.operators import modularity as Q
 from corpusloom.operators import model as M
 from corpusloom.operators import versions as H
 from corpusloom.sources import bindings as B
+from corpusloom.storage import shared_root
 from corpusloom.streaming import feed
 
 QUERIES: dict = {}
@@ -38,6 +39,21 @@ def sections(spark, sf_dir):
 ORACLES["sections"] = "SELECT conv_id, turn, length(text)::BIGINT AS n, coalesce(sum(length(role) + 4 + length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM conversations"
 
 
+@query
+def outlines(spark, sf_dir):
+    """Conversations as notes: a turn is a section, of the first level for users, the second for assistants, else the third."""
+    c = B.table(spark, sf_dir, "conversations")
+    marks = F.when(F.col("role") == "user", "# ").when(F.col("role") == "assistant", "## ").otherwise("### ")
+    turn = F.concat(marks, F.col("turn").cast("string"), F.lit("\n"), F.regexp_replace("text", "\n", " "))
+    n = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", turn.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    return D.outlines(n, "conv_id")
+
+
+ORACLES["outlines"] = """WITH c AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END AS level, length(text) AS n FROM conversations),
+h AS (SELECT *, level + 1 + length(turn::VARCHAR) AS w FROM c), p AS (SELECT *, (sum(w + n + 2) OVER (PARTITION BY conv_id ORDER BY turn) - (w + n + 2))::BIGINT AS "at", (sum(w + n + 2) OVER (PARTITION BY conv_id) - 1)::BIGINT AS size FROM h)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, level::INTEGER AS level, turn::VARCHAR AS title, "at", "at" + w AS head, coalesce((SELECT min(x."at") FROM p x WHERE x.conv_id = p.conv_id AND x.turn > p.turn AND x.level <= p.level) - 1, size)::BIGINT AS "end" FROM p"""
+
+
 @query
 def wikilinks(spark, sf_dir):
     """References of pages as links: an anchor's target, heading and text."""
@@ -179,10 +195,30 @@ def write_queues_replay(spark, sf_dir):
     return feed.replay(q, queue_of="path")
 
 
+@query
+def write_queue_stream(spark, sf_dir):
+    """The same queues as a stream of files whose rows come in no order, each item run once in its turn."""
+    import uuid
+
+    from pyspark.sql.window import Window
+
+    e = B.table(spark, sf_dir, "events")
+    q = e.select(F.col("event_id").alias("id"), F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("path"), F.when(F.col("value") > 150, "network").otherwise("write").alias("kind"), (F.col("event_type") != "error").alias("ok"))
+    q = q.withColumn("seq", F.row_number().over(Window.partitionBy("path").orderBy("id")).cast("long"))
+    root = f"{shared_root(spark)}/queues-{uuid.uuid4().hex}"
+    q.withColumn("queue", F.col("path")).repartition(F.xxhash64("id")).write.parquet(f"{root}/items")
+    items = spark.readStream.schema(spark.read.parquet(f"{root}/items").schema).parquet(f"{root}/items")
+    with feed.rocks(spark):
+        run = feed.replay_stream(items).writeStream.format("parquet").option("path", f"{root}/ran").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return feed.outcomes(spark.read.parquet(f"{root}/ran"))
+
+
 ORACLES["write_queue_replay"] = """WITH q AS (SELECT event_id AS id, 'user/' || user_id AS path, value > 150 AS net, event_type <> 'error' AS ok FROM events), s AS (SELECT min(id) FILTER (net) AS stop FROM q),
 j AS (SELECT q.*, stop IS NULL OR id < stop AS b FROM q, s) SELECT path, count(*) FILTER (b AND ok) AS applied, count(*) FILTER (b AND NOT ok) AS dropped, count(*) FILTER (NOT b) AS waiting, max(id) FILTER (b AND ok) AS last_id FROM j GROUP BY 1"""
 ORACLES["write_queues_replay"] = """WITH q AS (SELECT event_id AS id, 'user/' || user_id AS path, value > 150 AS net, event_type <> 'error' AS ok FROM events), s AS (SELECT path, min(id) AS stop FROM q WHERE net GROUP BY 1),
 j AS (SELECT q.*, stop IS NULL OR id < stop AS b FROM q LEFT JOIN s ON q.path = s.path) SELECT path, count(*) FILTER (b AND ok) AS applied, count(*) FILTER (b AND NOT ok) AS dropped, count(*) FILTER (NOT b) AS waiting, max(id) FILTER (b AND ok) AS last_id FROM j GROUP BY 1"""
+ORACLES["write_queue_stream"] = ORACLES["write_queues_replay"]
 
 
 def _versions(spark, sf_dir):

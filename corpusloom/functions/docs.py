@@ -15,8 +15,9 @@ from itertools import accumulate, groupby
 from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.functions import analyze as A
 
@@ -233,6 +234,26 @@ def outline(text: str) -> list[Section]:
     return found[::-1]
 
 
+def outlines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, place, level, title, at, head, end) of every heading of every document: `outline` as a table.
+
+    Lines are rows with running offsets; a section ends before the nearest heading to come of its level or above,
+    a window for each of the six levels over the headings of one document (one sort). Null texts and texts without
+    headings give no rows; `key` tells documents apart. Lengths are in characters.
+    """
+    lines = docs.select(F.col(key).alias("key"), F.length(text).cast("long").alias("size"), F.posexplode(F.split(text, "\n")).alias("line", "t"))
+    before = Window.partitionBy("key").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("at", F.coalesce(F.sum(F.length("t") + 1).over(before), F.lit(0)).cast("long"))
+    marks = F.regexp_extract("t", r"(?U)\A(#{1,6})\s", 1)
+    h = lines.withColumn("level", F.length(marks)).where("level > 0")
+    h = h.withColumn("title", F.regexp_replace(F.expr("substr(t, level + 1)"), r"(?U)\A\s+", ""))
+    order = Window.partitionBy("key").orderBy("line")
+    after = order.rowsBetween(1, Window.unboundedFollowing)
+    ends = [F.min(F.when(F.col("level") <= k, F.col("at"))).over(after) for k in range(1, 7)]
+    end = F.coalesce(F.element_at(F.array(*ends), F.col("level")) - 1, F.col("size"))
+    return h.select(F.col("key").alias(key), F.row_number().over(order).cast("long").alias("place"), "level", "title", "at", (F.col("at") + F.length("t")).alias("head"), end.alias("end"))
+
+
 def headings(text: str, limit: int = 100) -> list[str]:
     """The headings as they are listed to a reader, indented by level."""
     return ["  " * (x.level - 1) + "#" * x.level + " " + x.title for x in outline(text)[:limit]]

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # Silence that ends a burst of changes, and waits before a reload.
 WATCH_GAP, TOUCHED_GAP, OTHER_GAP = "500 milliseconds", "800 milliseconds", "35 seconds"
@@ -58,6 +63,71 @@ def replay(queue: DataFrame, key: str = "path", queue_of: str | None = None) ->
     )
 
 
+class Replayer(StatefulProcessor):
+    """Runs one queue: items wait in a buffer until all before them have come, then run in order. State: the
+    next seq, whether the queue has stopped, and the items that came early, which is all that it holds."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.at = handle.getValueState("at", "next long, stopped boolean")
+        self.early = handle.getMapState("early", "seq long", "id long, path string, kind string, ok boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        at, stopped = self.at.get() if self.at.exists() else (1, False)
+        for part in rows:
+            for seq, *item in part[["seq", "id", "path", "kind", "ok"]].itertuples(index=False, name=None):
+                if seq >= at:  # else it has run: a source may send it again
+                    self.early.updateValue((int(seq),), (int(item[0]), item[1], item[2], bool(item[3])))
+        ran = []
+        while self.early.containsKey((at,)):
+            id_, path, kind, ok = self.early.getValue((at,))
+            self.early.removeKey((at,))
+            stopped = stopped or kind == "network"
+            ran.append((str(key[0]), at, id_, path, "waiting" if stopped else "applied" if ok else "dropped"))
+            at += 1
+            if len(ran) == 10_000:
+                yield pd.DataFrame(ran, columns=RAN)
+                ran = []
+        self.at.update((at, stopped))
+        if ran:
+            yield pd.DataFrame(ran, columns=RAN)
+
+    def close(self) -> None:
+        pass
+
+
+RAN = ["queue", "seq", "id", "path", "outcome"]
+
+
+def replay_stream(queue: DataFrame, queue_of: str = "queue") -> DataFrame:
+    """The outcome (applied, dropped or waiting) of each item of a stream of queues, once, in the order of its seq.
+
+    queue: a queue's name in the column `queue_of`, seq (1, 2, 3... in each queue), id, path, kind, ok; rows may
+    come in any order and more than once. An item runs when all before it have come; the first network error of a queue
+    stops that queue. Rows without a queue or seq do not run. Needs the RocksDB state store (`rocks`).
+    """
+    q = queue.where(F.col(queue_of).isNotNull() & (F.col("seq") >= 1))
+    q = q.select(F.col(queue_of).cast("string").alias("queue"), F.col("seq").cast("long").alias("seq"), F.col("id").cast("long").alias("id"), "path", F.coalesce("kind", F.lit("write")).alias("kind"), F.coalesce("ok", F.lit(False)).alias("ok"))
+    return q.groupBy("queue").transformWithStateInPandas(Replayer(), "queue string, seq long, id long, path string, outcome string", "append", "none")
+
+
+@contextmanager
+def rocks(spark) -> Iterator[None]:
+    """Streams of this session that start within keep their state in RocksDB, which `replay_stream` needs."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def outcomes(ran: DataFrame, key: str = "path") -> DataFrame:
+    """What `replay` gives, of the outcomes of `replay_stream`: key, applied, dropped, waiting, last_id."""
+    n = lambda x: F.count_if(F.col("outcome") == x).alias(x)
+    return ran.groupBy(key).agg(n("applied"), n("dropped"), n("waiting"), F.max(F.when(F.col("outcome") == "applied", F.col("id"))).alias("last_id"))
+
+
 EVENT = "ts timestamp, kind string, path string, touched boolean"
 
 

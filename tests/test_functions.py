@@ -149,3 +149,13 @@ def test_paths_receipts_and_fields(spark):
     assert text == "---\nstatus: active\n---\n\nbody" and D.parse_front(D.set_field(text, "status", ""))[0] == {}
     plain = lambda t: spark.range(1).select(A.clean_fragment(F.lit(t))).first()[0]
     assert plain("[[a#H]] [[b#H|c]] [[d|]] **e**") == "a c d e" and plain("> q\n- l\n1. n") == "q\nl\n1. n"
+
+
+def test_outline_as_a_table(spark):
+    texts = ["# a\nx\n## b\n### c\n## d\n# e", "no heading", "", None, "####### seven\n#tag\n#\n# \n###### six\ty \n\n#\u00a0\u00a0nb\r\n## z", "x\n### deep\n# top\n\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "at int, text string")
+    got = {}
+    for r in D.outlines(docs.withColumnRenamed("at", "doc"), "doc").orderBy("doc", "place").collect():
+        got.setdefault(r["doc"], []).append((r["level"], r["title"], r["at"], r["head"], r["end"]))
+    want = {i: [(x.level, x.title, x.at, x.head, x.end) for x in D.outline(t or "")] for i, t in enumerate(texts)}
+    assert got == {i: w for i, w in want.items() if w}
