@@ -139,7 +139,7 @@ def pushes(spark, folder: str, kinds: tuple[str, ...] = ("push",)) -> DataFrame:
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Drive a stream over what is there now into a table in memory."""
+    """Drive a stream over what is there now into a table in the driver's memory; for short streams."""
     spark = stream.sparkSession
     w = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
     q = (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
@@ -147,6 +147,13 @@ def run_once(stream: DataFrame, name: str, mode: str = "append", checkpoint: str
     return spark.table(name)
 
 
+def run_to_table(stream: DataFrame, path: str) -> DataFrame:
+    """Drive a stream over what is there now into a table in a folder, which tasks write: no row passes the driver."""
+    run = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def backoff(attempt: int, jitter: float = 0.0) -> float:
     """Seconds before the next try to connect."""
     return min(30.0, 2.0 ** min(attempt, 5)) + jitter
