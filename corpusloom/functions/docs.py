@@ -23,7 +23,7 @@ from corpusloom.functions import analyze as A
 
 # The kinds of typed links and the names of their fields.
 LINK_TYPES = {"relates": "relates", "depends_on": "depends", "blocks": "blocks", "part_of": "part_of", "supersedes": "supersedes", "source": "source", "contradicts": "contradicts", "about": "about"}
-EXCERPT, KEEP, DIFF_CELLS = 320, 2, 400_000
+EXCERPT, KEEP = 320, 2
 
 
 def mapped(fn: Callable, returns: str):
@@ -327,31 +327,66 @@ def capture(text: str | None, heading: str, line: str, template: str = "") -> tu
     return append(text, f"## {heading}\n\n{line}"), "append"
 
 
-def diff(old: str, new: str) -> list[tuple[str, str]]:
-    """Runs of (same | del | add, lines), by a longest common subsequence of lines; where both would do, a
-    deletion comes first. Texts of more than 400,000 pairs of lines are replaced whole."""
-    a, b = (old or "").rstrip().split("\n"), (new or "").rstrip().split("\n")
-    if len(a) * len(b) > DIFF_CELLS:
-        return [("del", "\n".join(a)), ("add", "\n".join(b))]
-    longest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, x in reversed(list(enumerate(a))):
-        row, below = longest[i], longest[i + 1]
-        for j in range(len(b) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x == b[j] else max(below[j], row[j + 1])
-    steps: list[tuple[str, str]] = []
+def _band_row(a: list[str], b: list[str], i: int, low: int, width: int, below: list[int] | None) -> list[int]:
+    """How many lines are deleted or added from line i of a and line i + low + k of b on, for each k of a band."""
+    n, m, none = len(a), len(b), len(a) + len(b) + 1
+    row = [none] * width
+    for k in range(min(width - 1, m - i - low), max(-1, -i - low - 1), -1):
+        j = i + low + k
+        if j == m or i == n:
+            row[k] = n - i + m - j
+        elif a[i] == b[j]:
+            row[k] = below[k]
+        else:
+            row[k] = 1 + min(below[k - 1] if k else none, row[k + 1] if k + 1 < width else none)
+    return row
+
+
+def _edit_steps(a: list[str], b: list[str]) -> Iterator[tuple[str, str]]:
+    """(same | del | add, line), by a longest common subsequence; where both would do, a deletion comes first.
+
+    Only a band around the diagonal is computed, which doubles until it is sure to hold all shortest ways; so the
+    time goes with the lines times their differences. One row in the square root of all is kept, the others are made again.
+    """
+    n, m, more = len(a), len(b), 1
+    while True:
+        low, width = min(0, m - n) - more - 1, abs(m - n) + 2 * more + 3  # an edge that no shortest way touches
+        every = int(n**0.5) + 1
+        row, kept = None, {}
+        for i in range(n, -1, -1):
+            row = _band_row(a, b, i, low, width, row)
+            if (n - i) % every == 0:
+                kept[i] = row
+        if row[-low] <= abs(m - n) + 2 * more:
+            break
+        more *= 2
     i = j = 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            steps.append(("same", a[i]))
+    rows: dict[int, list[int]] = {}
+    while i < n or j < m:
+        if i < n and j < m and a[i] == b[j]:
+            yield "same", a[i]
             i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and longest[i + 1][j] >= longest[i][j + 1]:
-            steps.append(("del", a[i]))
+            continue
+        if i < n and j < m and (i not in rows or i + 1 not in rows):
+            end = n - (n - i - 1) // every * every
+            rows = {end: kept[end]}
+            for r in range(end - 1, i - 1, -1):
+                rows[r] = _band_row(a, b, r, low, width, rows[r + 1])
+        k = j - i - low
+        if j == m or i < n and rows[i + 1][k - 1] <= rows[i][k + 1]:
+            yield "del", a[i]
             i += 1
         else:
-            steps.append(("add", b[j]))
+            yield "add", b[j]
             j += 1
+
+
+def diff(old: str, new: str) -> list[tuple[str, str]]:
+    """Runs of (same | del | add, lines), by a longest common subsequence of lines; where both would do, a
+    deletion comes first. Texts of any size are compared in full."""
+    a, b = (old or "").rstrip().split("\n"), (new or "").rstrip().split("\n")
     runs: list[tuple[str, list[str]]] = []
-    for kind, line in steps:
+    for kind, line in _edit_steps(a, b):
         if not runs or runs[-1][0] != kind:
             runs.append((kind, []))
         runs[-1][1].append(line)
