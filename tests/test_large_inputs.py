@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.catalog import documents
 from corpusloom.functions import docs as D
+from corpusloom.operators import similar as X
 
 
 def _whole_table(a, b):
@@ -52,3 +53,19 @@ def test_stream_of_changes_keeps_no_rows_in_the_driver(spark, tmp_path):
     got = documents.change_feed_stream(spark, str(tmp_path))
     assert {t.name for t in spark.catalog.listTables()} == before  # a table in memory is the driver's
     assert 1990 < got.count() < 2000 and got.where("n <> 1").count() == 0
+
+
+def test_similar_by_words_has_the_rows_of_all_pairs(spark, monkeypatch):
+    r = random.Random(4)
+    words = spark.createDataFrame(sorted({(i, f"w{int(r.expovariate(0.12))}") for i in range(300) for _ in range(8)}), "path long, term string")
+    tags = [None, [], ["a"], ["a", "b"], ["b", "c"]]
+    rows = [(i, f"n{i * 7919 % 300:03d}", r.choice(tags), r.randint(0, 3), r.random() < 0.2, r.random() < 0.8) for i in range(300)]
+    notes = spark.createDataFrame(rows, "path long, name string, tags array<string>, deg int, chronicle boolean, shown boolean")
+    want = sorted(map(tuple, X.similar_with_tags([X.keyword_part(words, 300, others=notes.where("shown"))], notes, 5).collect()))
+    for asking, found in ((65_536, 131_072), (100, 70)):  # one pair of blocks, and fifteen
+        monkeypatch.setattr(X, "ASKING", asking)
+        monkeypatch.setattr(X, "FOUND", found)
+        got = X.similar_by_words(words, notes, 300, 5)
+        assert sorted(map(tuple, got.collect())) == want and len(want) > 1000
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan  # pairs of notes with a common keyword are no rows
