@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.catalog import documents
 from corpusloom.functions import docs as D
+from corpusloom.operators import rank as R
 from corpusloom.operators import similar as X
 
 
@@ -69,3 +70,21 @@ def test_similar_by_words_has_the_rows_of_all_pairs(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == want and len(want) > 1000
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan  # pairs of notes with a common keyword are no rows
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_words_are_counted_where_their_text_is(spark):
+    docs = spark.createDataFrame([(1, "a/one two.md", "Ones ones oning налоги two two two"), (2, "b.md", None), (3, "c/one.md", "x")], "doc_id long, path string, text string")
+    got = {(r.doc_id, r.term): (r.tf_body, r.tf_meta) for r in R.postings(docs).collect()}
+    assert got == {(1, "ones"): (2.0, 0), (1, "oning"): (1.0, 0), (1, "налог"): (1.0, 0), (1, "nalog"): (1.0, 0), (1, "two"): (2.0, 1), (1, "one"): (0.0, 1), (1, "md"): (0.0, 1), (2, "md"): (0.0, 1), (3, "one"): (0.0, 1), (3, "md"): (0.0, 1)}
+    assert _exchanges(R.postings(docs)) == 1 and _exchanges(R.term_counts(docs, "doc_id", "text")) == 1  # the texts; no row of a word moves
+
+
+def test_words_of_a_chunk_are_told_apart_in_its_row(spark):
+    chunks = spark.createDataFrame([("a/two.md", 0, ["en", "two"], "two three three"), ("b.md", 1, [], None)], "path string, i long, h array<string>, t string")
+    words = R.chunk_words(chunks)
+    assert sorted((r.path, r.w, r.weight) for r in words.collect()) == [("a/two.md", "en", 1.35), ("a/two.md", "md", 1.35), ("a/two.md", "three", 1.0), ("a/two.md", "two", 1.35), ("b.md", "md", 1.35)]
+    assert _exchanges(words) == 0
