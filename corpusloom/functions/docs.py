@@ -64,6 +64,11 @@ def front_matter_field(text: Column, key: str) -> Column:
     return F.nullif(F.regexp_replace(found, "^[\"']|[\"']$", ""), F.lit(""))
 
 
+def front(text: Column) -> Column:
+    """The front matter with its marks, '' without one; `parse_front` and `add_tag` need no more of a text. A null text counts as ''."""
+    return F.regexp_extract(F.coalesce(text, F.lit("")), r"\A---\r?\n[\s\S]*?\r?\n---\r?\n?", 0)
+
+
 def without_front_matter(text: Column) -> Column:
     return F.regexp_replace(text, r"\A---\n[\s\S]*?\n---\n?", "")
 
@@ -414,6 +419,11 @@ def _met(word: Column, terms: list[list[str]]) -> Column:
     return (F.length(word) >= 2) & F.exists(A.keys_of(word), like)
 
 
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """What `of` makes of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def excerpt(text: Column, terms: list[list[str]], span: int = EXCERPT) -> Column:
     """About `span` characters around the first word that matches, cut between words; else the beginning.
 
@@ -421,17 +431,26 @@ def excerpt(text: Column, terms: list[list[str]], span: int = EXCERPT) -> Column
     and ends at the first edge that is `span` after.
     """
     bare = lambda w: F.regexp_replace(F.lower(w), "[^0-9a-zа-яё]", "")
-    pieces = F.regexp_extract_all(text, F.lit(r"\s+|\S+"), F.lit(0))
-    at = F.array_position(F.transform(pieces, lambda p: _met(bare(p), terms)), F.lit(True)).cast("int")
-    half = F.length(F.array_join(F.slice(pieces, F.lit(1), F.greatest(at, F.lit(1))), "")) - span // 2
+    met = lambda w: F.when(A.may_match(w, terms), _met(w, terms)).otherwise(False)
+    place = lambda pieces: F.array_position(F.transform(pieces, lambda p: _once(bare(p), met)), F.lit(True)).cast("int")
+    ahead = lambda pieces, at: F.length(F.array_join(F.slice(pieces, F.lit(1), F.greatest(at, F.lit(1))), "")) - span // 2
     # up to the piece that the character after the edge is in
-    start = F.when(half > 0, F.length(F.regexp_replace(F.substring(text, F.lit(1), F.greatest(half, F.lit(1))), r"(\s+|\S+)\z", ""))).otherwise(F.lit(0))
-    body, rest = F.substring(text, start + 1, F.lit(span)), F.substring(text, start + 1 + span, F.length(text))
-    tail = F.when(body.rlike(r"\s\z"), F.regexp_extract(rest, r"\A\s+", 0)).otherwise(F.regexp_extract(rest, r"\A\S+", 0))
-    more = F.when(F.length(rest) > F.length(tail), "…").otherwise("")
-    around = F.concat(F.when(start > 0, "…").otherwise(""), F.regexp_replace(F.concat(body, tail), r"\A\s+|\s+\z", ""), more)
-    first = F.concat(F.regexp_replace(F.substring(text, 1, span), r"\A\s+|\s+\z", ""), F.when(F.length(text) > span, "…").otherwise(""))
-    return F.when(at > 0, around).otherwise(first)
+    edge = lambda t, half: F.when(half > 0, F.length(F.regexp_replace(F.substring(t, F.lit(1), F.greatest(half, F.lit(1))), r"(\s+|\S+)\z", ""))).otherwise(F.lit(0))
+
+    def around(t: Column, start: Column) -> Column:
+        body = F.substring(t, start + 1, F.lit(span))
+
+        def cut(rest: Column) -> Column:
+            tail = F.when(body.rlike(r"\s\z"), F.regexp_extract(rest, r"\A\s+", 0)).otherwise(F.regexp_extract(rest, r"\A\S+", 0))
+            more = lambda x: F.when(F.length(rest) > F.length(x), "…").otherwise("")
+            return _once(tail, lambda x: F.concat(F.when(start > 0, "…").otherwise(""), F.regexp_replace(F.concat(body, x), r"\A\s+|\s+\z", ""), more(x)))
+
+        return _once(F.substring(t, start + 1 + span, F.length(t)), cut)
+
+    first = lambda t: F.concat(F.regexp_replace(F.substring(t, 1, span), r"\A\s+|\s+\z", ""), F.when(F.length(t) > span, "…").otherwise(""))
+    shown = lambda t, half, at: F.when(at > 0, _once(edge(t, half), lambda start: around(t, start))).otherwise(first(t))
+    found = lambda t, pieces, at: _once(ahead(pieces, at), lambda half: shown(t, half, at))
+    return _once(text, lambda t: _once(F.regexp_extract_all(t, F.lit(r"\s+|\S+"), F.lit(0)), lambda pieces: _once(place(pieces), lambda at: found(t, pieces, at))))
 
 
 def mark(text: Column, terms: list[list[str]]) -> Column:
