@@ -13,6 +13,8 @@ from corpusloom.storage import scratch
 
 #: Queries that meet the vectors in one product.
 QUERY_BLOCK = 4096
+#: Products that a task holds at once.
+PRODUCTS = 1 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -99,17 +101,27 @@ def _matrix(batch: pa.RecordBatch, quantised: bool) -> np.ndarray:
     return np.clip(np.floor(x * 127 + 0.5), -127, 127) / 127 if quantised else x
 
 
+def _parts(batch: pa.RecordBatch, n_queries: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose products with the queries are PRODUCTS numbers."""
+    rows = max(PRODUCTS // max(n_queries, 1), 1)
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def _best(ids, labels, q, quantised):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most, least = np.full(len(ids), -np.inf), np.full(len(ids), np.iinfo(np.int64).max)
         for batch in batches:
-            if batch.num_rows:
-                vec, label = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                s = np.round(_matrix(batch, quantised) @ q.T, 6)
+            for part in _parts(batch, len(ids)):
+                vec, label = part.column(0).to_numpy(), part.column(1).to_numpy()
+                s = np.round(_matrix(part, quantised) @ q.T, 6)
                 s[(label[:, None] != labels[None]) | (vec[:, None] == ids[None])] = -np.inf
                 top = s.max(0)
                 first = np.where(s == top, vec[:, None], np.iinfo(np.int64).max).min(0)
-                some = np.isfinite(top)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(top[some]), pa.array(first[some])], names=["query", "score", "vec_id"])
+                least = np.where(top > most, first, np.where(top == most, np.minimum(first, least), least))
+                most = np.maximum(most, top)
+        some = np.isfinite(most)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(most[some]), pa.array(least[some])], names=["query", "score", "vec_id"])
 
     return run
 
@@ -118,11 +130,12 @@ def _ahead(ids, q, best, quantised):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = np.array([best.get(int(i), (np.inf, 0))[0] for i in ids])
         first = np.array([best.get(int(i), (np.inf, 0))[1] for i in ids])
+        n = np.zeros(len(ids), np.int64)
         for batch in batches:
-            if batch.num_rows:
-                vec = batch.column(0).to_numpy()
-                s = np.round(_matrix(batch, quantised) @ q.T, 6)
-                ahead = ((s > score) | (s == score) & (vec[:, None] < first)) & (vec[:, None] != ids[None])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ahead.sum(0).astype(np.int64))], names=["query", "n"])
+            for part in _parts(batch, len(ids)):
+                vec = part.column(0).to_numpy()
+                s = np.round(_matrix(part, quantised) @ q.T, 6)
+                n += (((s > score) | (s == score) & (vec[:, None] < first)) & (vec[:, None] != ids[None])).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["query", "n"])
 
     return run
