@@ -90,9 +90,12 @@ ORACLES["stem_df"] = f"WITH {S.POSTINGS} SELECT term, count(*) AS df, sum(n)::BI
 
 @query
 def stop_word_share(spark, sf_dir):
-    words = F.filter(F.split(F.lower("text"), A.SEPARATOR), lambda w: F.length(w) >= 2)
-    d = B.table(spark, sf_dir, "documents").select("lang", F.size(words).cast("long").alias("n"), F.size(A.tokens(F.col("text"))).cast("long").alias("kept"))
-    return d.groupBy("lang").agg(F.sum("n").alias("n_words"), F.round(1 - F.sum("kept") / F.sum("n"), 6).alias("stop_share"))
+    """Words are counted by language before they are told apart, so each different word is looked at once for a language."""
+    d = B.table(spark, sf_dir, "documents").select("lang", F.explode_outer(F.split(F.lower("text"), A.SEPARATOR)).alias("w"))
+    d = d.groupBy("lang", "w").agg(F.count("*").alias("n"))
+    some = lambda c: F.sum(F.when(c, F.col("n")).when(F.col("w").isNotNull(), 0))
+    d = d.groupBy("lang").agg(some(F.length("w") >= 2).alias("n_words"), some(A.is_token(F.col("w"))).alias("kept"))
+    return d.select("lang", "n_words", F.round(1 - F.col("kept") / F.col("n_words"), 6).alias("stop_share"))
 
 
 ORACLES["stop_word_share"] = f"""SELECT lang, sum(n)::BIGINT AS n_words, round(1 - sum(k) / sum(n)::DOUBLE, 6) AS stop_share FROM (
